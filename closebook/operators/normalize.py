@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from closebook.functions import ledger as L
-from closebook.operators.columns import add_missing, resolve_columns
+from closebook.operators.columns import add_missing, resolve_columns, resolve_headers
 from closebook.operators.lookup import lookup_join
 from closebook.schemas import AMOUNT, TB
+from closebook.sources.files import RawTables
 
 
 def split_amount(df: DataFrame, column: str = "Amount") -> DataFrame:
@@ -87,3 +88,55 @@ def fill_from_name(
 def project(df: DataFrame, required: Sequence[str]) -> DataFrame:
     """Exactly the required columns, in their order."""
     return df.select(*[F.col(f"`{c}`") for c in required])
+
+
+def file_headers(headers: DataFrame, required: Sequence[str], fuzzy: bool = True) -> DataFrame:
+    """Per file: where each column sits, how many were renamed, which required ones it lacks.
+
+    Ledger columns are never lacking, as absent ones are added.
+    """
+    extra = [c for c in required if c not in TB.names]
+    found = resolve_headers(headers, TB.names, fuzzy)
+    found = found.withColumn("_canonical", F.map_keys("resolved"))
+    places = [
+        F.coalesce(F.array_position("header", F.element_at("resolved", c)), F.lit(0)).alias(c)
+        for c in TB.names
+    ] + [F.array_position("header", c).alias(c) for c in dict.fromkeys(["Amount", *extra])]
+    lacking = F.array_except(
+        F.array(*[F.lit(c) for c in extra]).cast("array<string>"), F.col("header")
+    )
+    return found.select(
+        "file_path",
+        "file_name",
+        F.struct(*places).alias("place"),
+        F.size(F.array_except("_canonical", "header")).alias("aliased"),
+        lacking.alias("missing"),
+    )
+
+
+def ledger_of_cells(raw: RawTables, required: Sequence[str], small: bool | None = None) -> DataFrame:
+    """Canonical ledger rows of files with different headers.
+
+    ``raw.headers`` comes from ``file_headers``. A single amount column is split where the
+    file has not both Debit and Credit.
+    """
+    extra = [c for c in required if c not in TB.names]
+    places = raw.headers.select("file_path", "place")
+    rows = lookup_join(raw.rows, places, ["file_path"], small=small)
+
+    def cell(name: str) -> Column:
+        return F.get("cells", (F.col(f"place.`{name}`") - 1).cast("int"))
+
+    split = (F.col("place.Amount") > 0) & (F.least("place.Debit", "place.Credit") == 0)
+    amt = L.amount(cell("Amount"))
+    return rows.select(
+        "file_name",
+        cell("EntityCode").alias("EntityCode"),
+        cell("AccountCode").alias("AccountCode"),
+        cell("AccountName").alias("AccountName"),
+        F.when(split, L.debit_part(amt)).otherwise(L.amount(cell("Debit"))).alias("Debit"),
+        F.when(split, L.credit_part(amt)).otherwise(L.amount(cell("Credit"))).alias("Credit"),
+        L.period_key(cell("Period")).alias("Period"),
+        L.currency_code(cell("CurrencyCode")).alias("CurrencyCode"),
+        *[cell(c).alias(c) for c in extra],
+    )

@@ -1,13 +1,188 @@
-"""Readers."""
+"""Readers. All cells are read as text; typing happens in the operators."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from closebook.sources import workbook as W
+
 PRIOR_NAME = r"^(.*)_EngagementLetter_FY([0-9]+)\.docx$"
 
 
+@dataclass
+class RawTables:
+    """Files whose headers may all differ.
+
+    headers(file_path, file_name, header) has one row per file; rows(file_path, file_name,
+    block, row_no, cells) one per data row, ordered within a file by (block, row_no).
+    """
+
+    headers: DataFrame
+    rows: DataFrame
+
+
+def expand(template: str, **values: str) -> str:
+    """Path template with ``{name}`` fields filled in."""
+    return template.format(**values)
+
+
+def _named(df: DataFrame) -> DataFrame:
+    """Add the file name; paths in file metadata are URL-encoded."""
+    name = F.url_decode(F.replace(F.element_at(F.split("file_path", "/"), -1), F.lit("+"), F.lit("%2B")))
+    return df.withColumn("file_name", name)
+
+
+def _binary_files(spark: SparkSession, path: str) -> DataFrame | None:
+    """Files at ``path`` (a glob may match none) with their metadata path."""
+    try:
+        files = spark.read.format("binaryFile").load(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    return files.select(F.col("_metadata.file_path").alias("file_path"), "path", "content")
+
+
+def read_workbooks(spark: SparkSession, path: str) -> RawTables | None:
+    """Workbooks, or delimited text under a workbook's name. One task decodes one file."""
+    files = _binary_files(spark, path)
+    if files is None:
+        return None
+    files = files.select("file_path", "content")
+    headers = files.mapInArrow(W.decode_headers, W.HEADER_SCHEMA)
+    rows = files.mapInArrow(W.decode_rows, W.ROW_SCHEMA).withColumn("block", F.lit(0).cast("long"))
+    return RawTables(_named(headers), _named(rows))
+
+
+def read_delimited(spark: SparkSession, path: str) -> RawTables | None:
+    """CSV files with headers of their own, split into blocks by Spark.
+
+    Headers come from the first line of each file; the rows are read by position, as wide as
+    the widest header.
+    """
+    files = _binary_files(spark, path)
+    if files is None:
+        return None
+    headers = files.select("file_path", "path").mapInArrow(W.peek_headers, W.HEADER_SCHEMA)
+    width = headers.agg(F.max(F.size("header"))).first()[0] or 1
+    names = [f"_c{i}" for i in range(width)]
+    lines = spark.read.csv(
+        path, schema=", ".join(f"{n} string" for n in names), header=True, enforceSchema=True
+    )
+    rows = lines.select(
+        F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row_no"),
+        F.array(*names).alias("cells"),
+    )
+    return RawTables(_named(headers), _named(rows))
+
+
+def read_tb_files(spark: SparkSession, folder: str, period: str) -> RawTables | None:
+    """All ``TB_*_{period}`` files of a folder, workbooks and CSV; None if there are none."""
+    stem = f"{folder.rstrip('/')}/TB_*_{period}"
+    parts = [read_workbooks(spark, stem + ".xlsx"), read_delimited(spark, stem + ".csv")]
+    parts = [p for p in parts if p is not None]
+    if not parts:
+        return None
+    return RawTables(
+        reduce(DataFrame.unionByName, [p.headers for p in parts]),
+        reduce(DataFrame.unionByName, [p.rows for p in parts]),
+    )
+
+
+ORDER = ["_file", "_block", "_row"]
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """One table with one header, by suffix: ``.xlsx``, ``.csv``, else Parquet.
+
+    Columns ``_file``, ``_block`` and ``_row`` (ORDER) give the order of the rows.
+    """
+    if path.endswith(".xlsx"):
+        raw = read_workbooks(spark, path)
+        if raw is None:
+            raise FileNotFoundError(path)
+        header = raw.headers.first()["header"]
+        cells = [F.get("cells", F.lit(i)).alias(name) for i, name in enumerate(header)]
+        order = [F.col("file_path").alias("_file"), F.col("block").alias("_block"), F.col("row_no").alias("_row")]
+        return raw.rows.select(*cells, *order)
+    if path.endswith(".csv"):
+        table = spark.read.csv(path, header=True)
+        row, block = F.monotonically_increasing_id(), F.col("_metadata.file_block_start")
+    else:
+        table = spark.read.parquet(path)
+        row, block = F.col("_metadata.row_index"), F.lit(0).cast("long")
+    return table.select(
+        "*",
+        F.col("_metadata.file_path").alias("_file"),
+        block.alias("_block"),
+        row.alias("_row"),
+    )
+
+
+def json_records(document: Column, wrapper: str | None) -> Column:
+    """Records of a JSON document: a list, an object that wraps one, or a single object."""
+    listed = F.try_variant_get(document, "$", "array<variant>")
+    wrapped = F.try_variant_get(document, f"$.{wrapper}", "array<variant>")
+    return F.coalesce(listed, wrapped, F.array(document))
+
+
+def read_records(spark: SparkSession, path: str, wrapper: str) -> DataFrame:
+    """Records (``record`` VARIANT and the ORDER columns) of a roster or catalogue file.
+
+    ``.json`` is one document, ``.jsonl`` one record per line (for large rosters); ``.csv``,
+    ``.xlsx`` and Parquet tables give one record per row.
+    """
+    if path.endswith((".json", ".jsonl")):
+        whole = path.endswith(".json")
+        lines = spark.read.text(path, wholetext=whole).select(
+            F.parse_json("value").alias("doc"),
+            F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().alias("_line"),
+        )
+        if not whole:
+            return lines.select(F.col("doc").alias("record"), "_file", "_block", F.col("_line").alias("_row"))
+        items = F.posexplode(json_records(F.col("doc"), wrapper)).alias("_pos", "record")
+        return lines.select("_file", "_block", items).select(
+            "record", "_file", "_block", F.col("_pos").cast("long").alias("_row")
+        )
+    table = read_table(spark, path)
+    return table.select(record_of(table, ORDER).alias("record"), *ORDER)
+
+
+def record_of(df: DataFrame, without: list[str] | None = None) -> Column:
+    """All columns of a row as one VARIANT record."""
+    names = [c for c in df.columns if c not in (without or [])]
+    return F.to_variant_object(F.struct(*[F.col(f"`{c}`") for c in names]))
+
+
+def read_template(spark: SparkSession, path: str) -> str:
+    """Text of one template file, as UTF-8 or else Latin-1."""
+    content = F.col("content")
+    text = F.when(
+        F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8")
+    ).otherwise(F.decode(content, "ISO-8859-1"))
+    return spark.read.format("binaryFile").load(path).select(text).first()[0]
+
+
+def read_prior_letters(spark: SparkSession, folder: str) -> DataFrame | None:
+    """(slug, fiscal_year, text) of a folder of prior letters; malformed bytes are dropped."""
+    files = _binary_files(spark, f"{folder.rstrip('/')}/*_EngagementLetter_FY*.docx")
+    if files is None:
+        return None
+    clean = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"))
+    valid = F.is_valid_utf8(F.col("content").cast("string"))
+    text = F.when(valid, F.decode("content", "UTF-8")).otherwise(clean)
+    return prior_letter_keys(_named(files.select("file_path", text.alias("text"))))
+
+
 def prior_letter_keys(files: DataFrame) -> DataFrame:
     """(slug, fiscal_year, text) of prior letters given as (file_name, text)."""
     return files.filter(F.col("file_name").rlike(PRIOR_NAME)).select(
@@ -15,3 +190,41 @@ def prior_letter_keys(files: DataFrame) -> DataFrame:
         F.regexp_extract("file_name", PRIOR_NAME, 2).alias("fiscal_year"),
         "text",
     )
+
+
+def read_catalog(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Steps and toolsets of a catalogue document; a missing or malformed one is empty."""
+    try:
+        text = spark.read.text(path, wholetext=True)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        text = spark.createDataFrame([], "value string")
+    entries = text.select(
+        F.explode(F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")).alias("entry")
+    ).filter("schema_of_variant(entry) LIKE 'OBJECT%'")
+    steps = entries.selectExpr(
+        "try_variant_get(entry, '$.id', 'string') AS id",
+        "try_variant_get(entry, '$.name', 'string') AS name",
+        "try_variant_get(entry, '$.description', 'string') AS description",
+    )
+    toolsets = entries.selectExpr(
+        "try_variant_get(entry, '$.name', 'string') AS name",
+        "explode(try_variant_get(entry, '$.toolsets', 'array<variant>')) AS toolset",
+    ).selectExpr(
+        "try_variant_get(toolset, '$.id', 'string') AS id",
+        "name",
+        "try_variant_get(toolset, '$.tutorial', 'string') AS tutorial",
+        "try_variant_get(toolset, '$.tools', 'array<string>') AS tools",
+    )
+    return steps, toolsets
+
+
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """(file_path, md5, sha256) of each file; no rows if there is none."""
+    files = _binary_files(spark, path)
+    if files is None:
+        return spark.createDataFrame([], "file_path string, md5 string, sha256 string")
+    return files.select(
+        "file_path", F.md5("content").alias("md5"), F.sha2("content", 256).alias("sha256")
+    )
