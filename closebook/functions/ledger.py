@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from closebook.functions.text import non_empty, strip
+from closebook.functions.text import non_empty
 from closebook.schemas import AMOUNT, RATE, REPORTED
 
 
@@ -17,9 +18,15 @@ def is_blank(c: Column) -> Column:
     return c.isNull() | (c == "")
 
 
+def _parse(c: Column, kind: T.DecimalType) -> Column:
+    # A failed cast raises and catches an exception for its cell, which is slow; most blanks
+    # and words are told apart by their first character.
+    return F.when(c.cast("string").rlike(r"^[\x00-\x20]*[+-]?[0-9.]"), c.try_cast(kind))
+
+
 def parse_amount(c: Column) -> Column:
     """Amount of a text cell, NULL where it is no number."""
-    return c.try_cast(AMOUNT)
+    return _parse(c, AMOUNT)
 
 
 def amount(c: Column) -> Column:
@@ -27,9 +34,17 @@ def amount(c: Column) -> Column:
     return F.coalesce(parse_amount(c), F.lit(0).cast(AMOUNT))
 
 
+def amount_of(df: DataFrame, name: str) -> Column:
+    """Amount in a column of any type, zero where it is no number."""
+    c = F.col(name)
+    if df.schema[name].dataType == T.StringType():
+        return amount(c)
+    return F.coalesce(c.try_cast(AMOUNT), F.lit(0).cast(AMOUNT))
+
+
 def parse_rate(c: Column) -> Column:
     """Rate of a text cell, NULL where it is no number."""
-    return c.try_cast(RATE)
+    return _parse(c, RATE)
 
 
 def period_key(c: Column) -> Column:
@@ -43,7 +58,7 @@ def is_period(c: Column) -> Column:
 
 
 def currency_code(c: Column) -> Column:
-    return F.upper(non_empty(strip(c)))
+    return F.upper(non_empty(F.trim(c)))
 
 
 def debit_part(amt: Column) -> Column:

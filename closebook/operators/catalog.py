@@ -54,10 +54,11 @@ def latest_toolsets(updates: DataFrame, order_by: Sequence[str]) -> DataFrame:
     rows = updates.select(
         F.col("step_name").alias("name"),
         X.tutorial_ref(F.col("tutorial_path")).alias("tutorial"),
-        X.tool_names(F.col("tools")).alias("tools"),
+        "tools",
         F.struct(*order_by).alias("_order"),
     )
-    return keep_last(rows, ["name", "tutorial"], ["_order"]).drop("_order")
+    last = keep_last(rows, ["name", "tutorial"], ["_order"])
+    return last.select("name", "tutorial", X.tool_names(F.col("tools")).alias("tools"))
 
 
 def _upsert(old: DataFrame, new: DataFrame, keys: list[str], value: str, make_id: IdMaker) -> DataFrame:

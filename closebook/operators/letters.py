@@ -11,6 +11,7 @@ from closebook import schemas as S
 from closebook.functions import text as X
 from closebook.functions.records import first_field, service_codes
 from closebook.operators.lookup import keep_last, lookup_join, salted_join
+from closebook.session import staged
 
 
 def client_fields(clients: DataFrame, period: str, record: str = "record") -> DataFrame:
@@ -40,8 +41,8 @@ def service_index(
         first_field(S.SERVICE_TEXT_KEYS, record, default="").alias("description"),
         first_field(S.SERVICE_RATE_KEYS, record).alias("rate"),
         F.struct(*order_by).alias("_order"),
-    ).filter(F.col("code").isNotNull())
-    return keep_last(rows, ["code"], ["_order"]).drop("_order")
+    )
+    return keep_last(rows, ["code"], ["_order"]).drop("_order").dropna(subset=["code"])
 
 
 def service_details(
@@ -53,7 +54,8 @@ def service_details(
     A code is unusable when the index lacks it or has no rate for it.
     """
     lists = clients.select("codes").distinct()
-    items = lists.select("codes", F.posexplode("codes").alias("pos", "code"))
+    # The outer form keeps Spark from testing the array, and so computing it again, at the scan.
+    items = lists.select("codes", F.posexplode_outer("codes").alias("pos", "code")).dropna()
     found = lookup_join(items, index, ["code"], small=small_index)
     per_list = (
         found.withColumn("rate", X.rate_display(F.col("rate")))
@@ -75,7 +77,7 @@ def validate_services(
     small_details: bool | None = None,
 ) -> DataFrame:
     """Clients with ``invalid`` codes and ``service_summary``; clients without codes get NULLs."""
-    details = service_details(clients, index, small_index)
+    details = staged(service_details(clients, index, small_index), "service_details")
     return lookup_join(clients, details, ["codes"], small=small_details)
 
 
@@ -90,12 +92,14 @@ def with_prior_letter(
     """Add ``prior_text`` of the year before, found by name slug; NULL when there is none.
 
     ``prior`` holds (slug, fiscal_year, text) once per slug and year. Letters are long, so
-    they are never broadcast. ``counted`` as in ``salted_join``.
+    they are never broadcast; ``prior_filled`` says whether there is any text, so that who
+    needs only that does not move the letters. ``counted`` as in ``salted_join``.
     """
     texts = prior.select(
         F.col("slug").alias("_slug"),
         F.col("fiscal_year").alias("_year"),
         F.col("text").alias("prior_text"),
+        (F.coalesce("text", F.lit("")) != "").alias("prior_filled"),
     )
     on = ["_slug", "_year"]
     counted = None if counted is None else _with_letter_key(counted)
@@ -114,29 +118,33 @@ def assess_clients(
     period: str,
     small_index: bool | None = None,
 ) -> DataFrame:
-    """One row per client record with its outcome: letter, missing_fields or bad_services."""
-    fields = client_fields(clients, period)
+    """One row per client record with its outcome: letter, missing_fields or bad_services.
+
+    The records are taken apart once, into the work folder; code lists, letter keys and the
+    result are all read from there.
+    """
+    fields = staged(client_fields(clients, period), "client_fields")
     checked = validate_services(fields, index, small_index)
     if prior is None:
+        none = F.lit(None).cast("string")
         found = checked.withColumns(
-            {"prior_text": F.lit(None).cast("string"), "prior_note": F.lit(None).cast("string")}
+            {"prior_text": none, "prior_filled": F.lit(False), "prior_note": none}
         )
     else:
         found = with_prior_letter(checked, prior, fields).withColumn("prior_note", _prior_note())
-    rolled = F.coalesce(F.col("prior_text") != "", F.lit(False))
     return found.withColumns(
         {
             "outcome": F.when(F.size("missing") > 0, "missing_fields")
             .when(F.size("invalid") > 0, "bad_services")
             .otherwise("letter"),
-            "source": F.when(rolled, "rolled_forward").otherwise("template"),
+            "source": F.when(F.col("prior_filled"), "rolled_forward").otherwise("template"),
         }
     )
 
 
 def _prior_note() -> Column:
     return F.when(
-        F.col("prior_text").isNull(),
+        F.col("prior_filled").isNull(),
         F.concat(
             F.lit("Prior year letter not found for "),
             F.col("client_name"),

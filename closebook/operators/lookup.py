@@ -45,7 +45,8 @@ def lookup_join(
 
     A lookup measured as small is broadcast, so the facts do not move. Any other lookup is
     shuffled, with hot keys of the facts cut into pieces (see ``salted_join``). Pass ``small``
-    when the size is already known or when measuring would read a large table.
+    when the size is already known or when measuring would read a large table. A lookup made
+    from the facts is best ``staged`` first, so that measuring it does not make it twice.
     """
     if measured_small(lookup) if small is None else small:
         return facts.join(F.broadcast(lookup), list(on), how)
@@ -81,7 +82,8 @@ def salted_join(
     piece. Equal rows share a piece; adaptive skew handling may still split that one.
     Keys are counted on ``counted``, by default the facts; pass an earlier stage of the facts
     with the same keys where that is cheaper to compute. Rows with a NULL key match nothing and are spread over NULL_PIECES.
-    Broadcast are only the hot keys themselves, at most MAX_HOT_KEYS rows.
+    By hint, only the hot keys themselves are broadcast, at most MAX_HOT_KEYS rows; Spark may
+    broadcast the lookup too when it finds it below its own threshold.
     """
     hot = F.broadcast(hot_keys(facts if counted is None else counted, on, rows_per_piece))
     row_hash = F.xxhash64(*_hashed(facts))

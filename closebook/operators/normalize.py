@@ -11,6 +11,7 @@ from closebook.functions import ledger as L
 from closebook.operators.columns import add_missing, resolve_columns, resolve_headers
 from closebook.operators.lookup import lookup_join
 from closebook.schemas import AMOUNT, TB
+from closebook.session import staged
 from closebook.sources.files import RawTables
 
 
@@ -18,14 +19,14 @@ def split_amount(df: DataFrame, column: str = "Amount") -> DataFrame:
     """Signed amount to Debit and Credit, where the table has not both of them already."""
     if column not in df.columns or {"Debit", "Credit"} <= set(df.columns):
         return df
-    amt = L.amount(F.col(column))
+    amt = L.amount_of(df, column)
     return df.withColumns({"Debit": L.debit_part(amt), "Credit": L.credit_part(amt)})
 
 
 def coerce_ledger(df: DataFrame) -> DataFrame:
     """Typed amounts, period and currency; absent ledger columns are added."""
     present = set(df.columns)
-    typed = {c: L.amount(F.col(c)) for c in ("Debit", "Credit") if c in present}
+    typed = {c: L.amount_of(df, c) for c in ("Debit", "Credit") if c in present}
     if "Period" in present:
         typed["Period"] = L.period_key(F.col("Period"))
     if "CurrencyCode" in present:
@@ -72,7 +73,8 @@ def fill_from_name(
             }
         )
     columns = df.columns
-    flagged = lookup_join(df, blank_files(df, file_col), [file_col], small=small)
+    blank = staged(blank_files(df, file_col), "blank_files")
+    flagged = lookup_join(df, blank, [file_col], small=small)
     return flagged.withColumns(
         {
             "EntityCode": F.when(

@@ -11,9 +11,9 @@ from closebook.functions import ledger as L
 from closebook.schemas import AMOUNT
 
 
-def total(column: str) -> Column:
+def total(df: DataFrame, column: str) -> Column:
     """Sum of a column, cells that are no number counting as zero."""
-    return F.coalesce(F.sum(L.amount(F.col(column))), F.lit(0).cast(AMOUNT))
+    return F.coalesce(F.sum(L.amount_of(df, column)), F.lit(0).cast(AMOUNT))
 
 
 def is_balanced(debit: Column, credit: Column) -> Column:
@@ -23,7 +23,7 @@ def is_balanced(debit: Column, credit: Column) -> Column:
 
 def balance_check(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """Debit and credit totals per group, and whether they agree."""
-    sums = df.groupBy(*by).agg(total("Debit").alias("debit"), total("Credit").alias("credit"))
+    sums = df.groupBy(*by).agg(total(df, "Debit").alias("debit"), total(df, "Credit").alias("credit"))
     return sums.withColumn("balanced", is_balanced(F.col("debit"), F.col("credit")))
 
 
@@ -31,7 +31,7 @@ def debits_equal_credits(df: DataFrame) -> bool:
     """Whole-table balance; False where a column is absent."""
     if not {"Debit", "Credit"} <= set(df.columns):
         return False
-    sums = df.agg(total("Debit").alias("debit"), total("Credit").alias("credit"))
+    sums = df.agg(total(df, "Debit").alias("debit"), total(df, "Credit").alias("credit"))
     return bool(sums.select(is_balanced(F.col("debit"), F.col("credit"))).first()[0])
 
 
@@ -39,8 +39,8 @@ def file_report(df: DataFrame, file_col: str = "file_name") -> DataFrame:
     """Per file: rows, totals, periods that are no real month, and whether it balances."""
     report = df.groupBy(file_col).agg(
         F.count("*").alias("rows"),
-        total("Debit").alias("debit"),
-        total("Credit").alias("credit"),
+        total(df, "Debit").alias("debit"),
+        total(df, "Credit").alias("credit"),
         F.count_if(~L.is_period(F.col("Period"))).alias("odd_periods"),
     )
     return report.withColumn("balanced", is_balanced(F.col("debit"), F.col("credit")))

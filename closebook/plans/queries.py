@@ -13,6 +13,7 @@ from closebook.functions.records import service_codes
 from closebook.operators import catalog, columns, fx, letters, normalize, quality, support
 from closebook.plans import views as V
 from closebook.schemas import FX_ADJ, TB
+from closebook.session import staged
 from closebook.sources.files import prior_letter_keys
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -222,8 +223,9 @@ def _prior(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _assessed(spark: SparkSession, sf: str) -> DataFrame:
+    index = staged(_index(spark, sf), "services")
     return letters.assess_clients(
-        V.clients(spark, sf), _index(spark, sf), _prior(spark, sf), V.LETTER_PERIOD
+        V.clients(spark, sf), index, _prior(spark, sf), V.LETTER_PERIOD
     )
 
 
@@ -340,7 +342,11 @@ def letter_manifest(spark, sf):
 
 @query
 def client_exceptions(spark, sf):
-    return letters.exceptions(_assessed(spark, sf))
+    # Who gets a letter does not depend on the letter of the year before.
+    index = _index(spark, sf)
+    return letters.exceptions(
+        letters.assess_clients(V.clients(spark, sf), index, None, V.LETTER_PERIOD)
+    )
 
 
 @query
@@ -350,7 +356,10 @@ def notifications(spark, sf):
 
 @query
 def letter_metrics(spark, sf):
-    return letters.letter_metrics(_assessed(spark, sf), _index(spark, sf), V.RECIPIENTS)
+    index = staged(_index(spark, sf), "services")
+    clients, prior = V.clients(spark, sf), _prior(spark, sf)
+    assessed = letters.assess_clients(clients, index, prior, V.LETTER_PERIOD)
+    return letters.letter_metrics(assessed, index, V.RECIPIENTS)
 
 
 # Support text, hashes, catalogue
@@ -449,7 +458,7 @@ def catalog_upsert(spark, sf):
 @query
 def close_pipeline(spark, sf):
     """Collect, translate and assemble; one log row per step, each with its own counts."""
-    tb = _collected(spark, sf).withColumnRenamed("Memo", "DocumentNo")
+    tb = staged(_collected(spark, sf).withColumnRenamed("Memo", "DocumentNo"), "ledger")
     adjusted = fx.translate(tb, V.rates(spark, sf))
     collected = tb.agg(
         F.count("*").alias("rows"),
