@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime, timezone
 
-from pyspark.errors import AnalysisException, PySparkException
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +15,11 @@ from closebook.session import staged
 from closebook.sources import files, sinks
 
 
+def _cause(error: Exception) -> str:
+    """The error without its stack trace."""
+    return " ".join(line.strip() for line in str(error).split("\n\tat ")[0].splitlines())
+
+
 def draft_letters(
     spark: SparkSession,
     period: str,
@@ -44,18 +49,18 @@ def draft_letters(
     if absent:
         raise ValueError(f"Missing required params: {absent}")
     try:
-        clients = staged(files.read_records(spark, client_metadata, "clients"), "clients")
+        clients = staged(files.read_records(spark, client_metadata, "clients", single=True), "clients")
     except (AnalysisException, FileNotFoundError):
         return StepResult(False, [f"Client metadata file not found: {client_metadata}"])
-    except PySparkException as error:
-        return StepResult(False, [f"Failed to load client metadata: {error}"])
+    except Exception as error:
+        return StepResult(False, [f"Failed to load client metadata: {_cause(error)}"])
     try:
         services = files.read_records(spark, service_lines, "service_lines")
         index = staged(letters.service_index(services, files.ORDER), "services")
     except (AnalysisException, FileNotFoundError):
         return StepResult(False, [f"Service line reference file not found: {service_lines}"])
-    except PySparkException as error:
-        return StepResult(False, [f"Failed to load service line reference data: {error}"])
+    except Exception as error:
+        return StepResult(False, [f"Failed to load service line reference data: {_cause(error)}"])
     try:
         template = files.read_template(spark, template_path)
     except AnalysisException:

@@ -11,7 +11,7 @@ POSTINGS = """postings AS (
          CAST(CAST(strftime(o_orderdate, '%Y%m') AS INT) + 2000 AS VARCHAR) AS period,
          'TB_N' || n_nationkey || '_' ||
            CAST(CAST(strftime(o_orderdate, '%Y%m') AS INT) + 2000 AS VARCHAR) || '.xlsx' AS file_name,
-         CAST(1 + r_regionkey * 0.075 AS DECIMAL(18,10)) AS rate
+         CAST(1 + r_regionkey * 0.075 AS DECIMAL(17,10)) AS rate
   FROM orders JOIN customer ON o_custkey = c_custkey
   JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 
@@ -20,11 +20,11 @@ LEDGER = (
     + """,
 ledger AS (
   SELECT doc, 'N' || nation AS entity, 'AR' AS account, 'Receivables' AS account_name,
-         CAST(amt AS DECIMAL(18,4)) AS debit, CAST(0 AS DECIMAL(18,4)) AS credit,
+         CAST(amt AS DECIMAL(20,4)) AS debit, CAST(0 AS DECIMAL(20,4)) AS credit,
          period, currency, region, status, file_name, rate FROM postings
   UNION ALL
   SELECT doc, 'N' || nation, 'REV-' || substr(priority, 1, 1), NULL,
-         CAST(0 AS DECIMAL(18,4)), CAST(amt AS DECIMAL(18,4)),
+         CAST(0 AS DECIMAL(20,4)), CAST(amt AS DECIMAL(20,4)),
          period, currency, region, status, file_name, rate FROM postings)"""
 )
 
@@ -170,11 +170,11 @@ support AS (
   SELECT 0 AS section, position, line FROM (
     SELECT row_number() OVER (ORDER BY period, entity, doc, account) AS position,
       concat_ws(' | ', entity, account, coalesce(account_name, ''), debit, credit, period, currency,
-                CAST(reported AS DECIMAL(18,2))) AS line FROM translated) WHERE position <= 1000
+                CAST(reported AS DECIMAL(24,2))) AS line FROM translated) WHERE position <= 1000
   UNION ALL
   SELECT 1, position, line FROM (
     SELECT row_number() OVER (ORDER BY doc, account) AS position,
-      concat_ws(' | ', entity, account, local, rate, CAST(reported AS DECIMAL(18,2)), '202112') AS line
+      concat_ws(' | ', entity, account, local, rate, CAST(reported AS DECIMAL(24,2)), '202112') AS line
       FROM translated) WHERE position <= 1000)"""
 )
 
@@ -189,12 +189,12 @@ support AS (
   SELECT line FROM (
     SELECT row_number() OVER (ORDER BY p NULLS FIRST, out_entity NULLS FIRST, doc, account) AS position,
       concat_ws(' | ', coalesce(out_entity, ''), account, coalesce(account_name, ''), debit, credit,
-                coalesce(p, ''), currency, CAST(reported AS DECIMAL(18,2))) AS line
+                coalesce(p, ''), currency, CAST(reported AS DECIMAL(24,2))) AS line
     FROM translated) WHERE position <= 1000
   UNION ALL
   SELECT line FROM (
     SELECT row_number() OVER (ORDER BY doc, account) AS position,
-      concat_ws(' | ', coalesce(out_entity, ''), account, local, rate, CAST(reported AS DECIMAL(18,2)),
+      concat_ws(' | ', coalesce(out_entity, ''), account, local, rate, CAST(reported AS DECIMAL(24,2)),
                 '202112') AS line FROM translated) WHERE position <= 1000)"""
 )
 
@@ -399,7 +399,7 @@ SELECT step_id, name, description, toolset_id, tutorial, tools FROM toolsets JOI
     "close_pipeline": f"""WITH {CLOSED}
 SELECT 'collect' AS step, count(*) AS rows, CAST(sum(debit - credit) AS DOUBLE) AS amount FROM translated
 UNION ALL
-SELECT 'translate', count(rate), CAST(sum(abs(CAST(reported AS DECIMAL(18,2)))) AS DOUBLE) FROM translated
+SELECT 'translate', count(rate), CAST(sum(abs(CAST(reported AS DECIMAL(24,2)))) AS DOUBLE) FROM translated
 UNION ALL
 SELECT 'support', count(*), CAST(sum(length(line)) AS DOUBLE) FROM support""",
 }

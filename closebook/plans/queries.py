@@ -11,6 +11,7 @@ from closebook.functions import ledger as L
 from closebook.functions import text as X
 from closebook.functions.records import service_codes
 from closebook.operators import catalog, columns, fx, letters, normalize, quality, support
+from closebook.operators.lookup import lookup_join
 from closebook.plans import views as V
 from closebook.schemas import FX_ADJ, TB
 from closebook.session import staged
@@ -446,8 +447,10 @@ def catalog_upsert(spark, sf):
         ["day", "seq"],
         catalog.keyed_id,
     )
-    steps = steps.withColumnRenamed("id", "step_id")
-    return toolsets.join(steps, "name").select(
+    # A step may own a large share of the toolsets, so its row is looked up, not merged.
+    steps = staged(steps.withColumnRenamed("id", "step_id"), "steps")
+    toolsets = staged(toolsets, "toolsets")
+    return lookup_join(toolsets, steps, ["name"], "inner").select(
         "step_id", "name", "description", F.col("id").alias("toolset_id"), "tutorial", _joined("tools")
     )
 

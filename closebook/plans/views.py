@@ -59,7 +59,7 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return booked.selectExpr(
         "o_orderkey AS DocumentNo",
-        "CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DECIMAL(18,4)) AS amt",
+        "CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DECIMAL(20,4)) AS amt",
         "o_orderpriority AS priority",
         "o_orderstatus AS status",
         "n_nationkey AS nation",
@@ -90,9 +90,9 @@ def ledger(spark: SparkSession, sf_dir: str, slip: bool = False) -> DataFrame:
     revenue = "amt + CASE WHEN amt > 499000 THEN 0.01 ELSE 0 END" if slip else "amt"
     legs = f"""inline(array(
         named_struct('AccountCode', 'AR', 'AccountName', 'Receivables',
-                     'Debit', amt, 'Credit', CAST(0 AS DECIMAL(18,4))),
+                     'Debit', amt, 'Credit', CAST(0 AS DECIMAL(20,4))),
         named_struct('AccountCode', concat('REV-', substr(priority, 1, 1)), 'AccountName', NULL,
-                     'Debit', CAST(0 AS DECIMAL(18,4)), 'Credit', CAST({revenue} AS DECIMAL(18,4)))))"""
+                     'Debit', CAST(0 AS DECIMAL(20,4)), 'Credit', CAST({revenue} AS DECIMAL(20,4)))))"""
     return postings(spark, sf_dir).selectExpr(
         "DocumentNo",
         "concat('N', nation) AS EntityCode",
@@ -142,7 +142,7 @@ def raw_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "region").selectExpr(
         "upper(substr(r_name, 1, 3)) AS CurrencyCode",
-        "CAST(1 + r_regionkey * 0.075 AS DECIMAL(18,10)) AS FXRate",
+        "CAST(1 + r_regionkey * 0.075 AS DECIMAL(17,10)) AS FXRate",
     )
 
 

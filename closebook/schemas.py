@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 # Money is decimal, never double: sums stay exact in any order, and HALF_UP
-# rounding is well defined. AMOUNT * RATE needs 37 digits, so Spark keeps its scale.
-AMOUNT = T.DecimalType(18, 4)
-RATE = T.DecimalType(18, 10)
-REPORTED = T.DecimalType(18, 2)
+# rounding is well defined. AMOUNT * RATE needs 38 digits, so Spark keeps its scale.
+AMOUNT = T.DecimalType(20, 4)
+RATE = T.DecimalType(17, 10)
+REPORTED = T.DecimalType(24, 2)
 
 TB = T.StructType(
     [

@@ -126,18 +126,20 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def json_records(document: Column, wrapper: str | None) -> Column:
-    """Records of a JSON document: a list, an object that wraps one, or a single object."""
+def json_records(document: Column, wrapper: str, single: bool) -> Column:
+    """Records of a JSON document: a list, an object that wraps one, or, if ``single``, an object."""
     listed = F.try_variant_get(document, "$", "array<variant>")
     wrapped = F.try_variant_get(document, f"$.{wrapper}", "array<variant>")
-    return F.coalesce(listed, wrapped, F.array(document))
+    error = F.raise_error(F.lit(f"JSON must be a list or contain '{wrapper}'"))
+    return F.coalesce(listed, wrapped, F.array(document) if single else error.cast("array<variant>"))
 
 
-def read_records(spark: SparkSession, path: str, wrapper: str) -> DataFrame:
+def read_records(spark: SparkSession, path: str, wrapper: str, single: bool = False) -> DataFrame:
     """Records (``record`` VARIANT and the ORDER columns) of a roster or catalogue file.
 
     ``.json`` is one document, ``.jsonl`` one record per line (for large rosters); ``.csv``,
-    ``.xlsx`` and Parquet tables give one record per row.
+    ``.xlsx`` and Parquet tables give one record per row. ``single`` also takes a document
+    that is one record.
     """
     if path.endswith((".json", ".jsonl")):
         whole = path.endswith(".json")
@@ -149,7 +151,7 @@ def read_records(spark: SparkSession, path: str, wrapper: str) -> DataFrame:
         )
         if not whole:
             return lines.select(F.col("doc").alias("record"), "_file", "_block", F.col("_line").alias("_row"))
-        items = F.posexplode(json_records(F.col("doc"), wrapper)).alias("_pos", "record")
+        items = F.posexplode(json_records(F.col("doc"), wrapper, single)).alias("_pos", "record")
         return lines.select("_file", "_block", items).select(
             "record", "_file", "_block", F.col("_pos").cast("long").alias("_row")
         )

@@ -109,7 +109,7 @@ DOCS = [{"ClientID": "1", "n": [1]}, {"ClientID": "2"}]
 )
 def test_record_files(spark, tmp_path, name, text, count):
     (tmp_path / name).write_text(text)
-    got = files.read_records(spark, str(tmp_path / name), "clients").orderBy(*files.ORDER)
+    got = files.read_records(spark, str(tmp_path / name), "clients", single=True).orderBy(*files.ORDER)
     ids = [r[0] for r in got.select(F.expr("try_variant_get(record, '$.ClientID', 'string')")).collect()]
     assert ids == ["1", "2"][:count]
 
