@@ -1,36 +1,47 @@
 """Fields of free-form records held as VARIANT, one record per row.
 
-The expressions are SQL text: ``record`` names the VARIANT column. A value under several
-possible keys is found by listing the candidates once and keeping the first that is filled.
+The expressions are SQL text over column names. A record is first turned into a map of texts,
+so that looking for a field under several keys reads the record once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from closebook.functions.text import WS_CHARS
 from closebook.schemas import ITEM_CODE_KEYS, NESTED_LIST_KEYS, SERVICE_LIST_KEYS
 
 _SPACES = "".join(f"\\u{ord(c):04x}" for c in WS_CHARS)
+_FILLED = "NOT IN ('', '[]')"
 
 
-def _candidates(v: str, keys: Sequence[str], kind: str) -> str:
-    return "array(" + ", ".join(f"try_variant_get({v}, '$.{k}', '{kind}')" for k in keys) + ")"
+def field_texts(record: str = "record") -> Column:
+    """All fields of a record as text; lists and objects as JSON."""
+    return F.try_variant_get(record, "$", "map<string,string>")
 
 
-def _first_text(v: str, keys: Sequence[str]) -> str:
-    return f"get(filter({_candidates(v, keys, 'string')}, t -> t NOT IN ('', '[]')), 0)"
-
-
-def first_field(keys: Sequence[str], record: str = "record", default: str | None = None) -> Column:
+def first_field(keys: Sequence[str], texts: str = "texts", default: str | None = None) -> Column:
     """First value under ``keys`` that is not null, ``""`` or ``[]``; zero counts as a value."""
-    found = F.expr(_first_text(record, keys))
+    found = F.expr(_first([f"{texts}['{k}']" for k in keys]))
     return found if default is None else F.coalesce(found, F.lit(default))
 
 
+def _first(values: Sequence[str]) -> str:
+    return "coalesce(" + ", ".join(f"CASE WHEN {v} {_FILLED} THEN {v} END" for v in values) + ")"
+
+
+def service_value(record: str = "record", texts: str = "texts") -> Column:
+    """First service assignment that is not null, ``""`` or ``[]``, as VARIANT."""
+    cases = [
+        f"WHEN {texts}['{k}'] {_FILLED} THEN try_variant_get({record}, '$.{k}', 'variant')"
+        for k in SERVICE_LIST_KEYS
+    ]
+    return F.expr("CASE " + " ".join(cases) + " END")
+
+
 def _codes(v: str, depth: int) -> str:
     """Codes of a service value: delimited text, list, or object that wraps a list.
 
@@ -38,24 +49,36 @@ def _codes(v: str, depth: int) -> str:
     service values again, so text among them is split. ``depth`` bounds the wrapping.
     """
     item, inner = f"i{depth}", f"w{depth}"
-    own = f"filter(array({_first_text(v, ITEM_CODE_KEYS)}), c -> c IS NOT NULL)"
+
+    def code_of(x: str) -> str:
+        return _first([f"try_variant_get({x}, '$.{k}', 'string')" for k in ITEM_CODE_KEYS])
+
+    own = f"filter(array({code_of(v)}), c -> c IS NOT NULL)"
     if depth:
-        lists = _candidates(v, NESTED_LIST_KEYS, "array<variant>")
-        wrapped = f"get(filter({lists}, l -> size(l) > 0), 0)"
+        lists = ", ".join(f"try_variant_get({v}, '$.{k}', 'array<variant>')" for k in NESTED_LIST_KEYS)
+        wrapped = f"get(filter(array({lists}), l -> size(l) > 0), 0)"
         own = f"coalesce(flatten(transform({wrapped}, {inner} -> {_codes(inner, depth - 1)})), {own})"
     return f"""CASE substr(schema_of_variant({v}), 1, 5)
       WHEN 'STRIN' THEN split(try_variant_get({v}, '$', 'string'), '[;,]')
       WHEN 'ARRAY' THEN transform(try_variant_get({v}, '$', 'array<variant>'), {item} ->
-        CASE WHEN schema_of_variant({item}) LIKE 'OBJECT%' THEN {_first_text(item, ITEM_CODE_KEYS)}
+        CASE WHEN schema_of_variant({item}) LIKE 'OBJECT%' THEN {code_of(item)}
              ELSE try_variant_get({item}, '$', 'string') END)
       WHEN 'OBJEC' THEN {own}
       ELSE array() END"""
 
 
-def service_codes(record: str = "record", depth: int = 2) -> Column:
-    """Codes of the first filled service assignment: trimmed, upper-cased, each once, in order."""
-    values = _candidates(record, SERVICE_LIST_KEYS, "variant")
-    filled = f"slice(filter({values}, v -> try_variant_get(v, '$', 'string') NOT IN ('', '[]')), 1, 1)"
-    codes = f"flatten(transform({filled}, v -> {_codes('v', depth)}))"
-    clean = f"transform({codes}, c -> upper(trim(BOTH '{_SPACES}' FROM c)))"
+def codes_of(value: str, depth: int = 2) -> Column:
+    """Codes of a service value: trimmed, upper-cased, each once, in order."""
+    clean = f"transform({_codes(value, depth)}, c -> upper(trim(BOTH '{_SPACES}' FROM c)))"
     return F.expr(f"array_distinct(filter({clean}, c -> c <> ''))")
+
+
+def with_texts(df: DataFrame, record: str = "record") -> DataFrame:
+    """Add ``texts``, in a projection of its own so that it is computed once per row."""
+    return df.withColumn("texts", field_texts(record))
+
+
+def with_service_codes(df: DataFrame, record: str = "record") -> DataFrame:
+    """Add ``codes``; ``texts`` must be there."""
+    valued = df.withColumn("_services", service_value(record))
+    return valued.withColumn("codes", codes_of("_services")).drop("_services")

@@ -9,20 +9,22 @@ from pyspark.sql import functions as F
 
 from closebook import schemas as S
 from closebook.functions import text as X
-from closebook.functions.records import first_field, service_codes
+from closebook.functions.records import first_field, with_service_codes, with_texts
 from closebook.operators.lookup import keep_last, lookup_join, salted_join
 from closebook.session import staged
 
 
 def client_fields(clients: DataFrame, period: str, record: str = "record") -> DataFrame:
     """Typed fields of each client record, and the names of required fields it lacks."""
-    return clients.select(
-        "*",
-        first_field(S.CLIENT_ID_KEYS, record).alias("client_id"),
-        first_field(S.CLIENT_NAME_KEYS, record).alias("client_name"),
-        first_field(S.FISCAL_YEAR_KEYS, record, default=period[:4] or None).alias("fiscal_year"),
-        service_codes(record).alias("codes"),
-    ).withColumn("missing", F.expr(_MISSING))
+    fields = with_texts(clients, record).withColumns(
+        {
+            "client_id": first_field(S.CLIENT_ID_KEYS),
+            "client_name": first_field(S.CLIENT_NAME_KEYS),
+            "fiscal_year": first_field(S.FISCAL_YEAR_KEYS, default=period[:4] or None),
+        }
+    )
+    coded = with_service_codes(fields, record).drop("texts")
+    return coded.withColumn("missing", F.expr(_MISSING))
 
 
 _MISSING = """filter(array(
@@ -36,13 +38,17 @@ def service_index(
     services: DataFrame, order_by: Sequence[str], record: str = "record"
 ) -> DataFrame:
     """One row (code, description, rate) per service code; the last record by ``order_by`` wins."""
-    rows = services.select(
-        F.upper(X.strip(first_field(S.SERVICE_CODE_KEYS, record))).alias("code"),
-        first_field(S.SERVICE_TEXT_KEYS, record, default="").alias("description"),
-        first_field(S.SERVICE_RATE_KEYS, record).alias("rate"),
+    rows = with_texts(services, record).select(
+        F.upper(X.strip(first_field(S.SERVICE_CODE_KEYS))).alias("code"),
+        first_field(S.SERVICE_TEXT_KEYS, default="").alias("description"),
+        first_field(S.SERVICE_RATE_KEYS).alias("rate"),
         F.struct(*order_by).alias("_order"),
     )
-    return keep_last(rows, ["code"], ["_order"]).drop("_order").dropna(subset=["code"])
+    # A mark beside the code, as a filter on the key itself would move down to the scan and
+    # take the records apart a second time there.
+    marked = rows.withColumn("_coded", F.col("code").isNotNull())
+    last = keep_last(marked, ["code"], ["_order"])
+    return last.filter("_coded").select("code", "description", "rate")
 
 
 def service_details(
@@ -121,9 +127,12 @@ def assess_clients(
     """One row per client record with its outcome: letter, missing_fields or bad_services.
 
     The records are taken apart once, into the work folder; code lists, letter keys and the
-    result are all read from there.
+    result are all read from there. Of the record itself, only the text of an incomplete one
+    is kept (``record_text``), for its exception.
     """
-    fields = staged(client_fields(clients, period), "client_fields")
+    text = F.when(F.size("missing") > 0, F.to_json("record")).alias("record_text")
+    fields = client_fields(clients, period)
+    fields = staged(fields.select("*", text).drop("record"), "client_fields")
     checked = validate_services(fields, index, small_index)
     if prior is None:
         none = F.lit(None).cast("string")
@@ -188,13 +197,13 @@ def manifest(letters: DataFrame) -> DataFrame:
     return letters.drop("letter_text")
 
 
-def exceptions(assessed: DataFrame, record: str = "record") -> DataFrame:
+def exceptions(assessed: DataFrame) -> DataFrame:
     """(client_id, reason) of each client that gets no letter."""
     lacking = F.concat(
         F.lit("Record missing required fields "),
         X.quoted_list(F.col("missing")),
         F.lit(": "),
-        F.to_json(record),
+        F.col("record_text"),
     )
     invalid = F.concat(
         F.lit("Service line validation failed for client "),

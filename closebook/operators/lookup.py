@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
-ROWS_PER_PIECE = 200_000
+ROWS_PER_PIECE = 100_000
 MAX_HOT_KEYS = 1_000
 NULL_PIECES = 1_000_000
 

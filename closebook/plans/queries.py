@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from closebook.functions import ledger as L
 from closebook.functions import text as X
-from closebook.functions.records import service_codes
+from closebook.functions.records import with_service_codes, with_texts
 from closebook.operators import catalog, columns, fx, letters, normalize, quality, support
 from closebook.operators.lookup import lookup_join
 from closebook.plans import views as V
@@ -246,15 +246,15 @@ def client_fields(spark, sf):
 
 
 @query
-def service_codes_(spark, sf):
-    codes = service_codes()
-    return V.clients(spark, sf).select("c_custkey", F.array_join(codes, "|").alias("codes"))
+def service_codes(spark, sf):
+    coded = with_service_codes(with_texts(V.clients(spark, sf)))
+    return coded.select("c_custkey", _joined("codes"))
 
 
 @query
 def service_codes_nested(spark, sf):
-    codes = service_codes()
-    return V.nested_clients(spark, sf).select("c_custkey", F.array_join(codes, "|").alias("codes"))
+    coded = with_service_codes(with_texts(V.nested_clients(spark, sf)))
+    return coded.select("c_custkey", _joined("codes"))
 
 
 @query
@@ -352,7 +352,8 @@ def client_exceptions(spark, sf):
 
 @query
 def notifications(spark, sf):
-    return letters.notifications(_letters(spark, sf), V.RECIPIENTS, V.STAMP).select("position", "line")
+    made = staged(letters.manifest(_letters(spark, sf)), "manifest")
+    return letters.notifications(made, V.RECIPIENTS, V.STAMP).select("position", "line")
 
 
 @query

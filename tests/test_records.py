@@ -8,7 +8,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from closebook.functions.records import first_field, service_codes
+from closebook.functions.records import first_field, with_service_codes, with_texts
 from closebook.schemas import SERVICE_LIST_KEYS
 from closebook.sources.files import record_of
 
@@ -19,7 +19,8 @@ def records(spark, docs):
 
 
 def codes(spark, docs):
-    return [r[0] for r in records(spark, docs).select(service_codes()).collect()]
+    coded = with_service_codes(with_texts(records(spark, docs)))
+    return [r["codes"] for r in coded.orderBy("i").collect()]
 
 
 def expected(doc):
@@ -96,13 +97,13 @@ def test_random_shapes(spark):
 
 def test_first_field_skips_empties_only(spark):
     docs = [{"a": "", "b": "x"}, {"a": 0, "b": "x"}, {"a": None, "b": []}, {"a": [], "b": " "}, {}]
-    found = records(spark, docs).select(first_field(["a", "b"]), first_field(["a", "b"], default="?"))
+    found = with_texts(records(spark, docs)).select(first_field(["a", "b"]), first_field(["a", "b"], default="?"))
     assert [tuple(r) for r in found.collect()] == [("x", "x"), ("0", "0"), (None, "?"), (" ", " "), (None, "?")]
 
 
 def test_table_rows_are_records_too(spark):
     table = spark.createDataFrame([("C-1", "", "a;b")], "ClientID string, ClientName string, services string")
-    got = table.select(record_of(table).alias("record")).select(
-        first_field(["ClientID"]), first_field(["ClientName"]), service_codes()
+    got = with_service_codes(with_texts(table.select(record_of(table).alias("record")))).select(
+        first_field(["ClientID"]), first_field(["ClientName"]), "codes"
     )
     assert tuple(got.first()) == ("C-1", None, ["A", "B"])
