@@ -27,6 +27,17 @@ def client_fields(clients: DataFrame, period: str, record: str = "record") -> Da
     return coded.withColumn("missing", F.expr(_MISSING))
 
 
+def staged_fields(clients: DataFrame, period: str) -> DataFrame:
+    """``client_fields`` taken from the records once, into the work folder.
+
+    Code lists, letter keys and results are all read from there. Of the record itself, only
+    the text of an incomplete one is kept (``record_text``), for its exception.
+    """
+    text = F.when(F.size("missing") > 0, F.to_json("record")).alias("record_text")
+    fields = client_fields(clients, period).select("*", text).drop("record")
+    return staged(fields, "client_fields")
+
+
 _MISSING = """filter(array(
     CASE WHEN client_name IS NULL THEN 'client_name' END,
     CASE WHEN client_id IS NULL THEN 'client_id' END,
@@ -124,15 +135,8 @@ def assess_clients(
     period: str,
     small_index: bool | None = None,
 ) -> DataFrame:
-    """One row per client record with its outcome: letter, missing_fields or bad_services.
-
-    The records are taken apart once, into the work folder; code lists, letter keys and the
-    result are all read from there. Of the record itself, only the text of an incomplete one
-    is kept (``record_text``), for its exception.
-    """
-    text = F.when(F.size("missing") > 0, F.to_json("record")).alias("record_text")
-    fields = client_fields(clients, period)
-    fields = staged(fields.select("*", text).drop("record"), "client_fields")
+    """One row per client record with its outcome: letter, missing_fields or bad_services."""
+    fields = staged_fields(clients, period)
     checked = validate_services(fields, index, small_index)
     if prior is None:
         none = F.lit(None).cast("string")

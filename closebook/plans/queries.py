@@ -264,13 +264,15 @@ def service_index(spark, sf):
 
 @query
 def service_validation(spark, sf):
-    checked = letters.validate_services(_fields(spark, sf), _index(spark, sf))
+    fields = letters.staged_fields(V.clients(spark, sf), V.LETTER_PERIOD)
+    checked = letters.validate_services(fields, _index(spark, sf))
     return checked.select("c_custkey", F.array_join("invalid", "|").alias("invalid"))
 
 
 @query
 def service_summary(spark, sf):
-    checked = letters.validate_services(_fields(spark, sf), _index(spark, sf))
+    fields = letters.staged_fields(V.clients(spark, sf), V.LETTER_PERIOD)
+    checked = letters.validate_services(fields, _index(spark, sf))
     return checked.filter(F.size("invalid") == 0).select("c_custkey", "service_summary")
 
 
@@ -312,7 +314,8 @@ def valid_clients(spark, sf):
 
 @query
 def prior_letter_join(spark, sf):
-    named = _fields(spark, sf).filter("client_name IS NOT NULL")
+    fields = letters.staged_fields(V.clients(spark, sf), V.LETTER_PERIOD)
+    named = fields.filter("client_name IS NOT NULL")
     found = letters.with_prior_letter(named, _prior(spark, sf))
     return found.select("c_custkey", "prior_text")
 
