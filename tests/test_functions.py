@@ -128,8 +128,8 @@ def python_tool(tool):
 
 
 def test_tool_names(spark):
-    tools = ["Deltek Vantagepoint mock API integration", "Practice CS mock API integration", "Practice CS"]
-    assert apply(spark, [tools], X.tool_names, "array<string>") == [["Deltek Vantagepoint", "Practice CS"]]
+    tools = ["Ledger Suite mock API integration", "Client Desk mock API integration", "Client Desk"]
+    assert apply(spark, [tools], X.tool_names, "array<string>") == [["Ledger Suite", "Client Desk"]]
     assert apply(spark, [["A  Sandbox", "mock", "  ", None]], X.tool_names, "array<string>") == [["A", "mock"]]
     rng = random.Random(2)
     words = ["Tool", "Mock", "sandbox", "API", "integrations", "WORKFLOW", "x", "automation"]
