@@ -7,6 +7,10 @@ sets are one class, known by a digest of the set. Classes are compared as follow
    differ in fewer slices than there are: they agree on a whole slice. Each class gives a key for
    each slice, made of the hashes inside. How many slices depends on the size, by size levels;
    a set also gives keys for the level below if a smaller partner may be there.
+   N-grams that very many documents have (a shared passage) would make unrelated documents alike, so
+   slices hold the others only, as far as these fill enough slices: two sets differ in no more of
+   them than in all. What is frequent, a table of counters of fixed size tells; any choice is exact.
+
 2. Classes with a common key are candidates. Only a star for each key is written, and the stars'
    connected components are the candidate clusters: all links lie inside them.
 3. A cluster's sets are dealt into blocks of bounded size, and each pair of blocks is one group:
@@ -21,6 +25,7 @@ Nothing is sampled or capped; a hot cluster is spread over its pairs of blocks.
 from __future__ import annotations
 
 import hashlib
+import math
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -30,15 +35,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from closebook.llm.graph import components
+from closebook.llm.tables import summed_tables
 from closebook.llm.words import SOLID, mix, ngrams, slices, words_of
 from closebook.session import staged
 
 PERCENT = 90
 SIZE = 3
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 23
 NODE = 32
 FILTER_BITS = 1 << 24
 BATCH_KEYS = 2_000_000
+COUNTERS = 1 << 20
 
 
 # Sets and their digests
@@ -104,41 +111,71 @@ def level(n: int, percent: int) -> tuple[int, int]:
 _levels: dict[int, list[int]] = {}
 
 
-def slices_of_level(high: int, percent: int) -> tuple[int, int]:
-    """Number of slices, and how many of them may be empty, in a level up to ``high``."""
+def slices_of_level(low: int, high: int, percent: int) -> tuple[int, int]:
+    """Number of slices, and how many of them may be empty, in a level of sizes.
+
+    Hashes fall on slices at random, so a share of exp(-(n-grams a slice)) is empty; as many and
+    half again are spared for.
+    """
     differ = (100 - percent) * (high + 100 * high // percent) // (100 + percent)
-    spare = 1 + differ // 40
+    spare = 2 + math.ceil(1.6 * differ * math.exp(-low / (differ + 1)))
     return (differ + 1 + spare if differ else 0), spare
 
 
-def keys_of(one: np.ndarray, percent: int) -> np.ndarray:
+def frequent_counters(docs: DataFrame, size: int = SIZE) -> np.ndarray:
+    """For each counter, whether the n-grams that share it are frequent: in more documents than
+    twice the mean counter and 50. Counts cover all documents; the table's size is fixed."""
+
+    def count(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for _, texts in slices(batches):
+            total += np.bincount((np.concatenate(sets_of(texts, size)) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        yield total
+
+    total = summed_tables(docs.select("text").filter("text <> ''"), count, COUNTERS)
+    return total > 2 * total.mean() + 50
+
+
+def keys_of(one: np.ndarray, percent: int, frequent: np.ndarray | None = None) -> np.ndarray:
     """Keys of a set: sets within the similarity, and not equal, have one in common.
 
     Of ``count`` slices two such sets differ in at most ``differ``. If one of them has no more
-    than ``spare`` empty slices, they agree on one that is not empty, so empty slices
-    give keys only to sets with more than that.
+    than ``spare`` empty slices, they agree on one that is not empty. A set with more empty slices, for lack of
+    rare n-grams, also gives keys for slices of all its n-grams; and if of those too many are
+    empty, for the empty ones. Two sets that both lack rare ones so meet there.
     """
     n, found = len(one), []
     if not n:
         return np.empty(0, np.uint64)
+    rare = one if frequent is None else one[~frequent[(one & np.uint64(COUNTERS - 1)).astype(np.int64)]]
     own, below = level(n, percent), level(least_partner(n, percent), percent)
     while True:
         low, high = own
-        count, spare = slices_of_level(high, percent)
+        count, spare = slices_of_level(low, high, percent)
         if count:
-            slot = (one >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)
-            begins = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
-            sums = np.add.reduceat(mix(one), begins)
-            places = slot[begins]
-            if count - len(begins) > spare:
-                empty = np.setdiff1d(np.arange(count, dtype=np.uint64), places)
-                places, sums = np.concatenate([places, empty]), np.concatenate([sums, np.zeros(len(empty), np.uint64)])
-            found.append(mix(sums + places * np.uint64(0x9E3779B97F4A7C15) + np.uint64(high << 20)))
+            keys, empty = _slice_keys(rare, count, high, 1)
+            found.append(keys)
+            if len(empty) > spare:
+                keys, empty = _slice_keys(one, count, high, 2)
+                found.append(keys)
+                if len(empty) > spare:
+                    found.append(mix(empty * np.uint64(0x9E3779B97F4A7C15) + np.uint64((high << 20) + 3)))
         if own == below:
             return np.concatenate(found) if found else np.empty(0, np.uint64)
         own = level(low - 1, percent)
 
 
+def _slice_keys(grams: np.ndarray, count: int, high: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the slices that hold n-grams, and the numbers of the empty ones."""
+    every = np.arange(count, dtype=np.uint64)
+    if not len(grams):
+        return np.empty(0, np.uint64), every
+    slot = (grams >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)
+    begins = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
+    sums, places = np.add.reduceat(mix(grams), begins), slot[begins]
+    return mix(sums + places * np.uint64(0x9E3779B97F4A7C15) + np.uint64((high << 20) + kind)), np.setdiff1d(every, places)
+
+
 def _packed(digests: list[bytes], keys: list[np.ndarray], buckets: int) -> pa.RecordBatch:
     """A row for each bucket of keys: keys, places in the digest table, the table."""
     sizes = [len(k) for k in keys]
@@ -178,7 +215,9 @@ def candidates(docs: DataFrame, percent: int = PERCENT, size: int = SIZE) -> Dat
     Keys travel packed, several megabytes a row at most; a key that many classes of a batch share is sent
     for one of them, with the star of the rest beside it.
     """
-    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = docs.sparkSession
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sent_counters = spark.sparkContext.broadcast(np.packbits(frequent_counters(docs, size)))
     pair = "bucket int, keys binary, owners binary, digests binary, a binary, b binary"
 
     def emit(batches):
@@ -186,12 +225,13 @@ def candidates(docs: DataFrame, percent: int = PERCENT, size: int = SIZE) -> Dat
         keys: list[np.ndarray] = []
         seen: set[bytes] = set()
         total = 0
+        frequent = np.unpackbits(sent_counters.value).astype(bool)
         for _, texts in slices(batches):
             for one in sets_of(texts, size):
                 digest = digest_of(one)
                 if digest is None or digest in seen:
                     continue
-                own = keys_of(one, percent)
+                own = keys_of(one, percent, frequent)
                 if len(own):
                     seen.add(digest)
                     digests.append(digest)
@@ -418,8 +458,8 @@ def _suspect_sets(docs: DataFrame, ids: DataFrame, clusters: DataFrame, size: in
                     yield pa.RecordBatch.from_arrays([pa.array(new, pa.binary()), pa.array([sets[d].tobytes() for d in new], pa.binary())], ["digest", "grams"])
 
     found = docs.select(row.alias("row"), "text").mapInArrow(fetch, "digest binary, grams binary")
-    exact = found.join(wanted.select("digest", "cluster"), "digest")
-    return staged(exact.groupBy("cluster", "digest").agg(F.first("grams").alias("grams")), "sets")
+    once = found.groupBy("digest").agg(F.first("grams").alias("grams"))
+    return staged(once.join(wanted.select("digest", "cluster"), "digest"), "sets")
 
 
 def _block_links(sets: DataFrame, percent: int, block_bytes: int) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from closebook.llm.classify import PREDICT_FROM, fold, labelled_sample, sigmoid, temperature
+from closebook.llm.tables import summed_tables
 from closebook.llm.words import Words, byte_table, joined, mix, slices
 from closebook.session import staged
 
@@ -27,7 +28,6 @@ SHAPES = 5
 SIZE = 32
 SIGNS = 4  # entries of a random vector that are not zero
 AROUND = 2
-FAN_IN = 64
 HIDDEN = 24
 
 _UPPER = byte_table(range(0x41, 0x5B))
@@ -75,44 +75,16 @@ def add_contexts(total: np.ndarray, words: Words, bucket: np.ndarray) -> None:
 
 
 def context_vectors(docs: DataFrame) -> np.ndarray:
-    """The buckets' context vectors over all texts: a table of fixed size.
-
-    Each task adds up its own table; tables are added in rounds of FAN_IN, as slices, so no
-    task reads more than so many.
-    """
-    n, parts = SHAPES * HASHES * SIZE, 8
-
-    def rows(total: np.ndarray):
-        for i, piece in enumerate(np.split(total, parts)):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([piece.astype("<i8").tobytes()], pa.binary())], ["slice", "total"])
+    """The buckets' context vectors over all texts: a table of fixed size."""
 
     def count(batches):
-        total, seen = np.zeros(n, np.int64), False
+        total = np.zeros(SHAPES * HASHES * SIZE, np.int64)
         for _, texts in slices(batches):
             add_contexts(total, *shaped_words(texts))
-            seen = True
-        if seen:
-            yield from rows(total)
-
-    def add(batches):
-        totals: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for i, piece in zip(batch.column("slice").to_pylist(), batch.column("total").to_pylist()):
-                totals[i] = totals.get(i, 0) + np.frombuffer(piece, "<i8")
-        for i, total in totals.items():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["slice", "total"])
-
-    schema = "slice int, total binary"
-    texts = docs.select("text").filter("text <> ''")
-    tasks = texts.rdd.getNumPartitions()
-    tables = texts.mapInArrow(count, schema)
-    while tasks > FAN_IN:
-        tasks = -(-tasks // FAN_IN)
-        tables = tables.withColumn("turn", F.pmod(F.spark_partition_id(), F.lit(tasks))).repartition(tasks * parts, "turn", "slice").drop("turn").mapInArrow(add, schema)
-    summed = tables.repartition(parts, "slice").mapInArrow(add, schema)
-    vectors = np.zeros((parts, n // parts))
-    for row in summed.collect():  # parts of one table
-        vectors[row["slice"]] += np.frombuffer(row["total"], "<i8")
+        yield total
+
+    total = summed_tables(docs.select("text").filter("text <> ''"), count, SHAPES * HASHES * SIZE)
+    vectors = total.astype(np.float64)
     vectors = vectors.reshape(SHAPES * HASHES, SIZE)
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
     return (vectors / np.where(norms > 0, norms, 1)).astype(np.float32)
