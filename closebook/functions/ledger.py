@@ -29,8 +29,14 @@ def parse_amount(c: Column) -> Column:
     return _parse(c, AMOUNT)
 
 
+def too_large(c: Column) -> Column:
+    """True for a text cell that is a number but has no place in an amount."""
+    failed = parse_amount(c).isNull() & c.rlike(r"^[\x00-\x20]*[+-]?[0-9.]")
+    return F.coalesce(F.when(failed, c.try_cast("double").isNotNull()), F.lit(False))
+
+
 def amount(c: Column) -> Column:
-    """Amount of a text cell, zero where it is no number."""
+    """Amount of a text cell, zero where it is no number; ``too_large`` tells what does not fit."""
     return F.coalesce(parse_amount(c), F.lit(0).cast(AMOUNT))
 
 

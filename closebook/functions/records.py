@@ -15,6 +15,8 @@ from closebook.functions.text import WS_CHARS
 from closebook.schemas import ITEM_CODE_KEYS, NESTED_LIST_KEYS, SERVICE_LIST_KEYS
 
 _SPACES = "".join(f"\\u{ord(c):04x}" for c in WS_CHARS)
+WRAPPERS = 6
+DEEPER = f"NESTED DEEPER THAN {WRAPPERS} LISTS"
 _FILLED = "NOT IN ('', '[]')"
 
 
@@ -46,7 +48,8 @@ def _codes(v: str, depth: int) -> str:
     """Codes of a service value: delimited text, list, or object that wraps a list.
 
     List elements are taken whole (an object by its code key); elements of a wrapped list are
-    service values again, so text among them is split. ``depth`` bounds the wrapping.
+    service values again, so text among them is split. A list wrapped more than ``depth`` times
+    gives DEEPER, which is no service, so that its client becomes an exception.
     """
     item, inner = f"i{depth}", f"w{depth}"
 
@@ -54,10 +57,12 @@ def _codes(v: str, depth: int) -> str:
         return _first([f"try_variant_get({x}, '$.{k}', 'string')" for k in ITEM_CODE_KEYS])
 
     own = f"filter(array({code_of(v)}), c -> c IS NOT NULL)"
+    lists = ", ".join(f"try_variant_get({v}, '$.{k}', 'array<variant>')" for k in NESTED_LIST_KEYS)
+    wrapped = f"get(filter(array({lists}), l -> size(l) > 0), 0)"
     if depth:
-        lists = ", ".join(f"try_variant_get({v}, '$.{k}', 'array<variant>')" for k in NESTED_LIST_KEYS)
-        wrapped = f"get(filter(array({lists}), l -> size(l) > 0), 0)"
         own = f"coalesce(flatten(transform({wrapped}, {inner} -> {_codes(inner, depth - 1)})), {own})"
+    else:
+        own = f"CASE WHEN {wrapped} IS NOT NULL THEN array('{DEEPER}') ELSE {own} END"
     return f"""CASE substr(schema_of_variant({v}), 1, 5)
       WHEN 'STRIN' THEN split(try_variant_get({v}, '$', 'string'), '[;,]')
       WHEN 'ARRAY' THEN transform(try_variant_get({v}, '$', 'array<variant>'), {item} ->
@@ -67,7 +72,7 @@ def _codes(v: str, depth: int) -> str:
       ELSE array() END"""
 
 
-def codes_of(value: str, depth: int = 2) -> Column:
+def codes_of(value: str, depth: int = WRAPPERS) -> Column:
     """Codes of a service value: trimmed, upper-cased, each once, in order."""
     clean = f"transform({_codes(value, depth)}, c -> upper(trim(BOTH '{_SPACES}' FROM c)))"
     return F.expr(f"array_distinct(filter({clean}, c -> c <> ''))")

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 ROWS_PER_PIECE = 100_000
-MAX_HOT_KEYS = 1_000
 NULL_PIECES = 1_000_000
 
 
@@ -54,16 +53,16 @@ def lookup_join(
 
 
 def hot_keys(facts: DataFrame, on: Sequence[str], rows_per_piece: int) -> DataFrame:
-    """Keys that need more than one piece, at most MAX_HOT_KEYS of them (the hottest).
+    """Keys that need more than one piece, with the number of pieces.
 
-    Any key left out holds under one thousandth of the rows.
+    These are the keys with more rows than a piece and than an equal share of a shuffle
+    partition. There are fewer of them than shuffle partitions, and any other key fits a task.
     """
+    shares = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = facts.dropna(subset=list(on)).groupBy(*on).agg(F.count("*").alias("_rows"))
-    return (
-        counts.filter(F.col("_rows") > rows_per_piece)
-        .orderBy(F.desc("_rows"))
-        .limit(MAX_HOT_KEYS)
-        .select(*on, F.ceil(F.col("_rows") / rows_per_piece).cast("int").alias("_pieces"))
+    share = counts.agg(F.sum("_rows") / shares).scalar()
+    return counts.filter((F.col("_rows") > rows_per_piece) & (F.col("_rows") > share)).select(
+        *on, F.ceil(F.col("_rows") / rows_per_piece).cast("int").alias("_pieces")
     )
 
 
@@ -82,7 +81,7 @@ def salted_join(
     piece. Equal rows share a piece; adaptive skew handling may still split that one.
     Keys are counted on ``counted``, by default the facts; pass an earlier stage of the facts
     with the same keys where that is cheaper to compute. Rows with a NULL key match nothing and are spread over NULL_PIECES.
-    By hint, only the hot keys themselves are broadcast, at most MAX_HOT_KEYS rows; Spark may
+    By hint, only the hot keys themselves are broadcast, fewer rows than shuffle partitions; Spark may
     broadcast the lookup too when it finds it below its own threshold.
     """
     hot = F.broadcast(hot_keys(facts if counted is None else counted, on, rows_per_piece))

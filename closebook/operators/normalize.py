@@ -120,7 +120,8 @@ def ledger_of_cells(raw: RawTables, required: Sequence[str], small: bool | None
     """Canonical ledger rows of files with different headers.
 
     ``raw.headers`` comes from ``file_headers``. A single amount column is split where the
-    file has not both Debit and Credit.
+    file has not both Debit and Credit. ``too_large`` counts a row's amounts that do not fit;
+    ``_file``, ``_block`` and ``_row`` (ORDER) give the order of the rows.
     """
     extra = [c for c in required if c not in TB.names]
     places = raw.headers.select("file_path", "place")
@@ -131,8 +132,13 @@ def ledger_of_cells(raw: RawTables, required: Sequence[str], small: bool | None
 
     split = (F.col("place.Amount") > 0) & (F.least("place.Debit", "place.Credit") == 0)
     amt = L.amount(cell("Amount"))
+    large = [L.too_large(cell(c)).cast("int") for c in ("Amount", "Debit", "Credit")]
     return rows.select(
         "file_name",
+        F.when(split, large[0]).otherwise(large[1] + large[2]).alias("too_large"),
+        F.col("file_path").alias("_file"),
+        F.col("block").alias("_block"),
+        F.col("row_no").alias("_row"),
         cell("EntityCode").alias("EntityCode"),
         cell("AccountCode").alias("AccountCode"),
         cell("AccountName").alias("AccountName"),

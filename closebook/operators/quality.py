@@ -36,12 +36,17 @@ def debits_equal_credits(df: DataFrame) -> bool:
 
 
 def file_report(df: DataFrame, file_col: str = "file_name") -> DataFrame:
-    """Per file: rows, totals, periods that are no real month, and whether it balances."""
+    """Per file: rows, totals, periods that are no real month, and whether it balances.
+
+    If ``df`` counts amounts that are too large (``too_large``), their number per file as well.
+    """
+    counted = [F.sum("too_large").alias("too_large")] if "too_large" in df.columns else []
     report = df.groupBy(file_col).agg(
         F.count("*").alias("rows"),
         total(df, "Debit").alias("debit"),
         total(df, "Credit").alias("credit"),
         F.count_if(~L.is_period(F.col("Period"))).alias("odd_periods"),
+        *counted,
     )
     return report.withColumn("balanced", is_balanced(F.col("debit"), F.col("credit")))
 

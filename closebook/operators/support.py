@@ -1,4 +1,4 @@
-"""Support text: the first rows of several tables as lines."""
+"""Support text: the rows of several tables as lines."""
 
 from __future__ import annotations
 
@@ -9,8 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from closebook.functions.text import row_line
+from closebook.session import staged
 
-ROW_LIMIT = 1000
+_IN_PARTITION = 33  # bits of a monotonic id below the partition number
+
+
+def row_lines(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
+    """The line of a row."""
+    return row_line([F.col(f"`{c}`") for c in (columns or df.columns)]).alias("line")
 
 
 def section_lines(
@@ -18,19 +24,28 @@ def section_lines(
     order_by: Sequence[str | Column],
     columns: Sequence[str] | None = None,
     section: int = 0,
-    limit: int = ROW_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
-    """(section, position, line) of the first ``limit`` rows.
+    """(section, position, line) of all rows, or of the first ``limit``.
 
-    Each task keeps its own first rows; only they are numbered, so the window is small.
+    Rows are sorted by range and staged; a row's position is its place in its partition and the
+    rows of the partitions before, so no task sees more than its share. The window runs over
+    one row per partition.
     """
-    shown = [F.col(f"`{c}`") for c in (columns or df.columns)]
     order = [F.col(c) if isinstance(c, str) else c for c in order_by]
-    head = df.withColumn("_order", F.struct(*order)).orderBy("_order").limit(limit)
-    return head.select(
+    chosen = df.orderBy(*order)
+    if limit is not None:
+        chosen = chosen.limit(limit)
+    lines = staged(chosen.select(row_lines(df, columns), F.monotonically_increasing_id().alias("_id")), "lines")
+    part = F.shiftright("_id", _IN_PARTITION).alias("_part")
+    counts = lines.groupBy(part).agg(F.count("*").alias("_rows"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    within = F.col("_id").bitwiseAND(F.lit(2**_IN_PARTITION - 1))
+    return lines.withColumn("_part", part).join(F.broadcast(offsets), "_part").select(
         F.lit(section).alias("section"),
-        F.row_number().over(Window.orderBy("_order")).alias("position"),
-        row_line(shown).alias("line"),
+        (F.col("_before") + within + 1).alias("position"),
+        "line",
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from closebook.functions.text import quoted_list
@@ -15,7 +15,7 @@ from closebook.session import staged
 from closebook.sources import sinks
 from closebook.sources.files import ORDER, RawTables, file_hashes, read_table, read_tb_files
 
-SHOWN = 20  # names listed in a message; the tables in a result hold all of them
+SHOWN = 20  # names listed in messages; the report that the last message names holds all of them
 
 
 @dataclass
@@ -35,6 +35,17 @@ def _counted_write(df: DataFrame, path: str, columns: Sequence[str] | None = Non
     return seen.get["rows"]
 
 
+def _failures(report: DataFrame, text: Column, order: str, path: str) -> list[str]:
+    """Messages on the rows of a report, which is written to ``path``; none if it is empty."""
+    shown = report.select(text, order).orderBy(order).take(SHOWN + 1)
+    if not shown:
+        return []
+    sinks.write_table(report, path)
+    total = report.count() if len(shown) > SHOWN else len(shown)
+    more = [f"{total - SHOWN} more"] if total > SHOWN else []
+    return [*(row[0] for row in shown[:SHOWN]), *more, f"All {total} in {path}"]
+
+
 def collect_tb(
     spark: SparkSession,
     folder: str,
@@ -48,8 +59,9 @@ def collect_tb(
     """All trial-balance files of a period as one master ledger at ``out_path``.
 
     Files are decoded once into the work folder; checks and the master read that copy. If a
-    file lacks a required column or does not balance, nothing is written, and ``file_report``
-    tells all such files.
+    file lacks a required column, has an amount too large for the ledger or does not balance,
+    no master is written; all such files are told by ``file_report`` and by the table at
+    ``{out_path}_Failed``. The master keeps the order of the files' names and of their rows.
     """
     raw = read_tb_files(spark, folder, period)
     if raw is None:
@@ -64,9 +76,9 @@ def collect_tb(
     ).first()
     metrics: dict[str, object] = {"files": 0, "rows": 0, **{k: v for k, v in counts.asDict().items() if k != "files"}}
     lacking = headers.filter(F.size("missing") > 0)
-    names = lacking.select("file_name", quoted_list(F.col("missing"))).orderBy("file_name").limit(SHOWN).collect()
-    if names:
-        found = [f"{name}: unresolved columns {missing}" for name, missing in names]
+    text = F.concat("file_name", F.lit(": unresolved columns "), quoted_list(F.col("missing")))
+    found = _failures(lacking.select("file_name", "file_path", "missing"), text, "file_name", f"{out_path}_Failed")
+    if found:
         return StepResult(False, found, metrics, {"file_report": lacking})
 
     rows = normalize.ledger_of_cells(RawTables(headers, raw.rows), required)
@@ -74,13 +86,15 @@ def collect_tb(
     metrics.update(quality.collect_metrics(ledger, "file_name").drop("files", "rows").first().asDict())
     filled = normalize.fill_from_name(ledger, "file_name", fill)
     report = staged(quality.file_report(filled), "file_report")
-    if enforce_balanced:
-        uneven = report.filter("NOT balanced").select("file_name").orderBy("file_name").limit(SHOWN).collect()
-        if uneven:
-            found = [f"{name}: debits != credits" for (name,) in uneven]
-            return StepResult(False, found, metrics, {"file_report": report})
-
-    written = _counted_write(filled, out_path, required)
+    failed = "too_large > 0" + (" OR NOT balanced" if enforce_balanced else "")
+    text = F.when(
+        F.col("too_large") > 0, F.concat("file_name", F.lit(": amounts too large: "), F.col("too_large").cast("string"))
+    ).otherwise(F.concat("file_name", F.lit(": debits != credits")))
+    found = _failures(report.filter(failed), text, "file_name", f"{out_path}_Failed")
+    if found:
+        return StepResult(False, found, metrics, {"file_report": report})
+
+    written = _counted_write(filled.orderBy("file_name", *ORDER), out_path, required)
     metrics.update({"files": counts["files"], "rows": written})
     message = f"Master TB rows={written} files={counts['files']}"
     return StepResult(True, [message], metrics, {"file_report": report, "master": spark.read.parquet(out_path)})
@@ -104,17 +118,22 @@ def translate_fx(
         return StepResult(False, ["Missing CurrencyCode in TB"])
     clean = staged(fx.clean_rates(rates, rates_order, rate_period), "rates")
     missing = fx.missing_codes(tb, clean)
-    codes = [code for (code,) in missing.limit(SHOWN).collect()]
+    codes = [code for (code,) in missing.take(SHOWN + 1)]
     if codes:
-        return StepResult(False, [f"Missing FX rates for: {codes}"], {}, {"missing": missing})
+        more = []
+        if len(codes) > SHOWN:
+            sinks.write_table(missing, f"{adjusted_path}_Missing_Rates")
+            more = [f"{missing.count() - SHOWN} more, all in {adjusted_path}_Missing_Rates"]
+        return StepResult(False, [f"Missing FX rates for: {codes[:SHOWN]}", *more], {}, {"missing": missing})
     adjusted = fx.translate(tb, clean)
     rows = _counted_write(adjusted, adjusted_path)
-    sinks.write_table(fx.adjustments(adjusted, period), adjustments_path)
+    written = adjusted if adjusted_path.endswith(".csv") else tb.sparkSession.read.parquet(adjusted_path)
+    sinks.write_table(fx.adjustments(written, period), adjustments_path)
     return StepResult(True, [f"Applied FX to {rows} rows"], {"rows": rows, "tolerance": tolerance})
 
 
 def assemble_support(spark: SparkSession, paths: Sequence[str], out_path: str) -> StepResult:
-    """First 1000 rows of each table, in file order, as lines of one text."""
+    """All rows of each table, in file order, as lines of one text."""
     sections = []
     for position, path in enumerate(paths):
         table = read_table(spark, path)

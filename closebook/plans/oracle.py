@@ -170,12 +170,12 @@ support AS (
   SELECT 0 AS section, position, line FROM (
     SELECT row_number() OVER (ORDER BY period, entity, doc, account) AS position,
       concat_ws(' | ', entity, account, coalesce(account_name, ''), debit, credit, period, currency,
-                CAST(reported AS DECIMAL(24,2))) AS line FROM translated) WHERE position <= 1000
+                CAST(reported AS DECIMAL(24,2))) AS line FROM translated)
   UNION ALL
   SELECT 1, position, line FROM (
     SELECT row_number() OVER (ORDER BY doc, account) AS position,
       concat_ws(' | ', entity, account, local, rate, CAST(reported AS DECIMAL(24,2)), '202112') AS line
-      FROM translated) WHERE position <= 1000)"""
+      FROM translated))"""
 )
 
 # The close runs on collected rows, whose entity and period may still be blank.
@@ -190,12 +190,12 @@ support AS (
     SELECT row_number() OVER (ORDER BY p NULLS FIRST, out_entity NULLS FIRST, doc, account) AS position,
       concat_ws(' | ', coalesce(out_entity, ''), account, coalesce(account_name, ''), debit, credit,
                 coalesce(p, ''), currency, CAST(reported AS DECIMAL(24,2))) AS line
-    FROM translated) WHERE position <= 1000
+    FROM translated)
   UNION ALL
   SELECT line FROM (
     SELECT row_number() OVER (ORDER BY doc, account) AS position,
       concat_ws(' | ', coalesce(out_entity, ''), account, local, rate, CAST(reported AS DECIMAL(24,2)),
-                '202112') AS line FROM translated) WHERE position <= 1000)"""
+                '202112') AS line FROM translated))"""
 )
 
 

@@ -466,7 +466,7 @@ def catalog_upsert(spark, sf):
 def close_pipeline(spark, sf):
     """Collect, translate and assemble; one log row per step, each with its own counts."""
     tb = staged(_collected(spark, sf).withColumnRenamed("Memo", "DocumentNo"), "ledger")
-    adjusted = fx.translate(tb, V.rates(spark, sf))
+    adjusted = staged(fx.translate(tb, V.rates(spark, sf)), "adjusted")
     collected = tb.agg(
         F.count("*").alias("rows"),
         F.sum(F.col("Debit") - F.col("Credit")).cast("double").alias("amount"),
@@ -475,9 +475,12 @@ def close_pipeline(spark, sf):
         F.count("FXRate").alias("rows"),
         F.sum(F.abs("ReportingCurrencyAmount")).cast("double").alias("amount"),
     ).withColumn("step", F.lit("translate"))
+    adjustment = fx.adjustments(adjusted, "202112")
+    lines = adjusted.select(
+        support.row_lines(adjusted, [*V.CANONICAL, "ReportingCurrencyAmount"])
+    ).unionByName(adjustment.select(support.row_lines(adjustment)))
     assembled = (
-        _support(adjusted, "202112")
-        .agg(F.count("*").alias("rows"), F.sum(F.length("line")).cast("double").alias("amount"))
+        lines.agg(F.count("*").alias("rows"), F.sum(F.length("line")).cast("double").alias("amount"))
         .withColumn("step", F.lit("support"))
     )
     return collected.unionByName(translated).unionByName(assembled).select("step", "rows", "amount")

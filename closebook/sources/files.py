@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -63,7 +65,8 @@ def read_delimited(spark: SparkSession, path: str) -> RawTables | None:
     """CSV files with headers of their own, split into blocks by Spark.
 
     Headers come from the first line of each file; the rows are read by position, as wide as
-    the widest header.
+    the widest header. Files that hold a line with an odd number of quotes may have records of
+    several lines and are read whole, one a task; files that are no UTF-8 are read as Latin-1.
     """
     files = _binary_files(spark, path)
     if files is None:
@@ -71,16 +74,46 @@ def read_delimited(spark: SparkSession, path: str) -> RawTables | None:
     headers = files.select("file_path", "path").mapInArrow(W.peek_headers, W.HEADER_SCHEMA)
     width = headers.agg(F.max(F.size("header"))).first()[0] or 1
     names = [f"_c{i}" for i in range(width)]
-    lines = spark.read.csv(
-        path, schema=", ".join(f"{n} string" for n in names), header=True, enforceSchema=True
+    schema = ", ".join(f"{n} string" for n in names)
+    special = _special_files(spark, path)
+    found = files.join(special, "file_path", "left").select(
+        "path", F.coalesce("long_records", F.lit(False)), F.coalesce("latin", F.lit(False))
     )
-    rows = lines.select(
-        F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row_no"),
-        F.array(*names).alias("cells"),
+    kinds: dict[tuple[bool, bool], list[str]] = {}
+    for name, long_records, latin in found.collect():
+        kinds.setdefault((long_records, latin), []).append(re.sub(r"([\\*?\[\]{}])", r"\\\1", name))
+    rows = []
+    for (long_records, latin), paths in kinds.items():
+        lines = spark.read.csv(
+            paths,
+            schema=schema,
+            header=True,
+            enforceSchema=True,
+            multiLine=long_records,
+            escape='"',
+            encoding="ISO-8859-1" if latin else "UTF-8",
+        )
+        rows.append(
+            lines.select(
+                F.col("_metadata.file_path").alias("file_path"),
+                F.col("_metadata.file_block_start").alias("block"),
+                F.monotonically_increasing_id().alias("row_no"),
+                F.array(*names).alias("cells"),
+            )
+        )
+    return RawTables(_named(headers), _named(reduce(DataFrame.unionByName, rows)))
+
+
+def _special_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file_path, long_records, latin) of files that a plain split read would get wrong."""
+    line = F.col("value")
+    quotes = F.octet_length(line) - F.octet_length(F.replace(line, F.lit('"')))
+    return (
+        spark.read.text(path)
+        .groupBy(F.col("_metadata.file_path").alias("file_path"))
+        .agg(F.bool_or(quotes % 2 == 1).alias("long_records"), F.bool_or(~F.is_valid_utf8(line)).alias("latin"))
+        .filter("long_records OR latin")
     )
-    return RawTables(_named(headers), _named(rows))
 
 
 def read_tb_files(spark: SparkSession, folder: str, period: str) -> RawTables | None:
@@ -194,14 +227,35 @@ def prior_letter_keys(files: DataFrame) -> DataFrame:
     )
 
 
-def read_catalog(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Steps and toolsets of a catalogue document; a missing or malformed one is empty."""
+def catalog_tables(path: str) -> tuple[str, str]:
+    """Paths of the steps and toolsets that belong to a catalogue document."""
+    folder = path.rstrip("/") + ".tables"
+    return f"{folder}/steps", f"{folder}/toolsets"
+
+
+def _if_found(read: Callable[[], DataFrame]) -> DataFrame | None:
     try:
-        text = spark.read.text(path, wholetext=True)
+        return read()
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
+        return None
+
+
+def read_catalog(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Steps and toolsets of a catalogue.
+
+    A catalogue written by ``write_catalog`` is read from its tables, however large it is. A
+    document from elsewhere is one file; a missing or malformed one is empty.
+    """
+    tables = [_if_found(lambda at=at: spark.read.parquet(at)) for at in catalog_tables(path)]
+    if None not in tables:
+        return tables[0], tables[1]
+    text = _if_found(lambda: spark.read.text(path, wholetext=True))
+    if text is None:
         text = spark.createDataFrame([], "value string")
+    elif len(text.select(F.col("_metadata.file_path")).take(2)) > 1:
+        raise ValueError(f"{path} holds several files but no tables of a catalogue")
     entries = text.select(
         F.explode(F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")).alias("entry")
     ).filter("schema_of_variant(entry) LIKE 'OBJECT%'")

@@ -14,6 +14,7 @@ from closebook.operators.catalog import clean_steps, clean_toolsets
 from closebook.operators.letters import clashing_paths
 from closebook.operators.lookup import keep_last, lookup_join
 from closebook.schemas import RUN_LOG
+from closebook.sources.files import catalog_tables
 
 # Tasks get this module's functions with the job, so executors need not have the package.
 register_pickle_by_value(sys.modules[__name__])
@@ -40,18 +41,14 @@ def write_lines(lines: DataFrame, path: str, order_by: Sequence[str], column: st
 
 
 def write_support(lines: DataFrame, path: str, sections: int) -> None:
-    """Support text in one file, a blank line after each section.
-
-    A section has at most 1000 lines, so the text is small.
-    """
+    """Support text, a blank line after each section; part files read in name order."""
     spark = lines.sparkSession
     ends = spark.range(sections).select(
         F.col("id").cast("int").alias("section"),
-        F.lit(2**31 - 1).alias("position"),
+        F.lit(2**63 - 1).alias("position"),
         F.lit("").alias("line"),
     )
-    text = lines.unionByName(ends).orderBy("section", "position").select("line")
-    text.coalesce(1).write.mode("overwrite").text(path)
+    write_lines(lines.unionByName(ends), path, ["section", "position"])
 
 
 def write_letters(
@@ -120,44 +117,61 @@ def append_run_log(
     spark.createDataFrame([row], RUN_LOG).write.mode("append").parquet(path)
 
 
+CATALOG_ORDER = ["part", "name_key", "rank", "tutorial_key"]
+
+
+def _sortable(df: DataFrame, column: str) -> DataFrame:
+    """Add ``{column}_key``, never NULL and different for NULL and an empty text."""
+    return df.withColumn(f"{column}_key", F.coalesce(F.concat(F.lit(" "), column), F.lit("")))
+
+
 def catalog_lines(steps: DataFrame, toolsets: DataFrame) -> DataFrame:
-    """The catalogue document as lines (part, name, rank, tutorial, line), to be sorted by the first four.
+    """The catalogue document as lines (CATALOG_ORDER and line), to be sorted by CATALOG_ORDER.
 
     Steps are in name order and their toolsets in tutorial order, without gathering the
-    toolsets of a step in one place: each line knows whether it is the first of its kind.
+    toolsets of a step in one place: each line knows whether it is the first of its kind. A
+    NULL name or tutorial sorts as an empty one, before a name that is empty.
     """
-    steps, toolsets = clean_steps(steps), clean_toolsets(toolsets)
-    first_name = steps.agg(F.min("name")).first()[0]
-    firsts = toolsets.groupBy("name").agg(F.min("tutorial").alias("first_tutorial"))
-    toolsets = lookup_join(toolsets, firsts, ["name"])
+    steps = _sortable(clean_steps(steps), "name")
+    toolsets = _sortable(_sortable(clean_toolsets(toolsets), "name"), "tutorial")
+    first_name = steps.agg(F.min("name_key").alias("first_name"))
+    firsts = toolsets.groupBy("name_key").agg(F.min("tutorial_key").alias("first_tutorial"))
+    toolsets = lookup_join(toolsets, firsts, ["name_key"])
+    steps = steps.withColumn("is_first", F.col("name_key") == F.lit(first_name.first()[0] or ""))
 
     def json(column: str) -> str:
         return f"substr(to_json(array({column})), 2, length(to_json(array({column}))) - 2)"
 
-    opened = steps.withColumn("comma", F.when(F.col("name") == first_name, "").otherwise(",")).selectExpr(
+    opened = steps.withColumn("comma", F.when(F.col("is_first"), "").otherwise(",")).selectExpr(
         "1 AS part",
-        "name",
+        "name_key",
         "0 AS rank",
-        "'' AS tutorial",
+        "'' AS tutorial_key",
         rf"""concat('  ', comma, '{{\n    "id": ', {json('id')}, ',\n    "name": ', {json('name')},
              ',\n    "description": ', {json('description')}, ',\n    "toolsets": [') AS line""",
     )
     listed = toolsets.selectExpr(
         "1 AS part",
-        "name",
+        "name_key",
         "1 AS rank",
-        "tutorial",
-        rf"""concat('      ', CASE WHEN tutorial = first_tutorial THEN '' ELSE ',' END, '{{"id": ',
-             {json('id')}, ', "tutorial": ', {json('tutorial')}, ', "tools": ', to_json(tools), '}}') AS line""",
+        "tutorial_key",
+        rf"""concat('      ', CASE WHEN tutorial_key = first_tutorial THEN '' ELSE ',' END, '{{"id": ',
+             {json('id')}, ', "tutorial": ', {json('tutorial')}, ', "tools": ', coalesce(to_json(tools), '[]'), '}}') AS line""",
     )
-    closed = steps.selectExpr("1 AS part", "name", "2 AS rank", "'' AS tutorial", r"'    ]\n  }' AS line")
+    closed = steps.selectExpr("1 AS part", "name_key", "2 AS rank", "'' AS tutorial_key", r"'    ]\n  }' AS line")
     ends = steps.sparkSession.createDataFrame(
         [(0, "", 0, "", "["), (2, "", 0, "", "]")],
-        "part int, name string, rank int, tutorial string, line string",
+        "part int, name_key string, rank int, tutorial_key string, line string",
     )
     return ends.unionByName(opened).unionByName(listed).unionByName(closed)
 
 
 def write_catalog(steps: DataFrame, toolsets: DataFrame, path: str) -> None:
-    """Write the catalogue document. ``path`` must not be one the tables are still read from."""
-    write_lines(catalog_lines(steps, toolsets), path, ["part", "name", "rank", "tutorial"])
+    """Write the catalogue document, and its two tables beside it (``catalog_tables``).
+
+    The document is for readers of JSON, in part files that make one document in name order;
+    ``read_catalog`` takes the tables. ``path`` must not be one the tables are still read from.
+    """
+    for table, rows in zip(catalog_tables(path), (clean_steps(steps), clean_toolsets(toolsets))):
+        rows.write.mode("overwrite").parquet(table)
+    write_lines(catalog_lines(steps, toolsets), path, CATALOG_ORDER)

@@ -11,6 +11,7 @@ import re
 import sys
 import zipfile
 from collections.abc import Iterator
+from datetime import datetime, time, timedelta
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -66,7 +67,43 @@ def _shared_strings(book: zipfile.ZipFile) -> list[str]:
     return strings
 
 
-def _cell_text(cell: ElementTree.Element, strings: list[str]) -> str | None:
+# The built-in number formats of workbooks that show a date.
+DATE_FORMATS = {14, 15, 16, 17, 22, *range(27, 37), *range(50, 59)}
+
+
+def _date_styles(book: zipfile.ZipFile) -> set[int]:
+    """Cell styles that show their number as a date."""
+    if "xl/styles.xml" not in book.namelist():
+        return set()
+    styles = ElementTree.fromstring(book.read("xl/styles.xml"))
+    dates = set(DATE_FORMATS)
+    for node in styles.iter():
+        if _local(node.tag) == "numFmt":
+            code = re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", node.attrib.get("formatCode", "")).lower()
+            if re.search("[yd]|mmm", code):
+                dates.add(int(node.attrib["numFmtId"]))
+    formats = next((n for n in styles if _local(n.tag) == "cellXfs"), [])
+    return {i for i, node in enumerate(formats) if int(node.attrib.get("numFmtId", 0)) in dates}
+
+
+def _epoch(book: zipfile.ZipFile) -> datetime:
+    """Day zero of the book's dates."""
+    for node in ElementTree.fromstring(book.read("xl/workbook.xml")):
+        if _local(node.tag) == "workbookPr" and node.attrib.get("date1904") in ("1", "true"):
+            return datetime(1904, 1, 1)
+    return datetime(1899, 12, 30)
+
+
+def _date_text(number: str, epoch: datetime) -> str:
+    """ISO text of a day number; the number itself where it is no date."""
+    try:
+        at = epoch + timedelta(seconds=round(float(number) * 86400))
+    except (ValueError, OverflowError):
+        return number
+    return at.date().isoformat() if at.time() == time(0) else at.isoformat(" ")
+
+
+def _cell_text(cell: ElementTree.Element, strings: list[str], dates: set[int], epoch: datetime) -> str | None:
     kind = cell.attrib.get("t", "n")
     for child in cell:
         name = _local(child.tag)
@@ -77,13 +114,15 @@ def _cell_text(cell: ElementTree.Element, strings: list[str]) -> str | None:
                 return strings[int(child.text)] or None
             if kind == "b":
                 return "True" if child.text == "1" else "False"
+            if kind == "n" and int(cell.attrib.get("s", 0)) in dates:
+                return _date_text(child.text, epoch)
             return None if kind == "e" else child.text
     return None
 
 
 def _workbook_rows(content: bytes) -> Iterator[Row]:
     with zipfile.ZipFile(io.BytesIO(content)) as book:
-        strings = _shared_strings(book)
+        strings, dates, epoch = _shared_strings(book), _date_styles(book), _epoch(book)
         with book.open(_first_sheet(book)) as stream:
             blank = 0  # blank rows count only when a filled row follows
             last = 0
@@ -96,7 +135,7 @@ def _workbook_rows(content: bytes) -> Iterator[Row]:
                     ref = cell.attrib.get("r")
                     at = _column_index(ref) if ref else position
                     cells.extend([None] * (at + 1 - len(cells)))
-                    cells[at] = _cell_text(cell, strings)
+                    cells[at] = _cell_text(cell, strings, dates, epoch)
                 node.clear()
                 blank += number - last - 1
                 last = number
@@ -176,6 +215,15 @@ def decode_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pack(record["file_path"], start, chunk)
 
 
+def _latin(cell: str) -> str:
+    """A cell read as UTF-8, its bytes taken as Latin-1 where they are no UTF-8."""
+    raw = cell.encode("utf-8", "surrogateescape")
+    try:
+        return raw.decode("utf-8")
+    except UnicodeDecodeError:
+        return raw.decode("latin-1")
+
+
 def peek_headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(file_path, path) of delimited files -> (file_path, header), reading the first line only."""
     from urllib.parse import quote
@@ -187,10 +235,10 @@ def peek_headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for record in batch.to_pylist():
             system, name = fs.FileSystem.from_uri(quote(record["path"], safe=":/@?=&+,;%"))
             with system.open_input_file(name) as stream:
-                text = io.TextIOWrapper(stream, encoding="utf-8-sig", errors="replace", newline="")
+                text = io.TextIOWrapper(stream, encoding="utf-8-sig", errors="surrogateescape", newline="")
                 first = next((row for row in csv.reader(text) if row), [])
             paths.append(record["file_path"])
-            headers.append(header_names([cell or None for cell in first]))
+            headers.append(header_names([_latin(cell) or None for cell in first]))
         yield pa.RecordBatch.from_arrays(
             [pa.array(paths, pa.string()), pa.array(headers, pa.list_(pa.string()))],
             ["file_path", "header"],

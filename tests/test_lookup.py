@@ -50,6 +50,22 @@ def test_hot_key_is_spread(skewed, values):
         assert sum(shares) == total and len(shares) == 4 and max(shares) < total / 2
 
 
+def test_all_keys_above_a_share_are_hot(spark):
+    facts = spark.range(4400).selectExpr("CASE WHEN id < 4000 THEN id % 3 ELSE id END AS k")
+    hot = {r["k"]: r["_pieces"] for r in K.hot_keys(facts, ["k"], 50).collect()}
+    assert hot == {0: 27, 1: 27, 2: 27}
+
+
+def test_more_than_a_thousand_hot_keys(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "2000")
+    try:
+        facts = spark.range(15_000).selectExpr("id % 1500 AS k")
+        hot = K.hot_keys(facts, ["k"], 5)
+        assert hot.count() == 1500
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_keys_counted_on_an_earlier_stage(skewed, values):
     plain = skewed.join(values, "k", "left")
     salted = K.salted_join(skewed.withColumn("x", F.lit(1)), values, ["k"], counted=skewed, rows_per_piece=10)

@@ -8,7 +8,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from closebook.functions.records import first_field, with_service_codes, with_texts
+from closebook.functions.records import DEEPER, WRAPPERS, first_field, with_service_codes, with_texts
 from closebook.schemas import SERVICE_LIST_KEYS
 from closebook.sources.files import record_of
 
@@ -47,6 +47,16 @@ def item_code(item):
     return None if value is None else str(value)
 
 
+def test_deep_wrappers(spark):
+    def wrapped(times):
+        value = {"code": "A"}
+        for _ in range(times):
+            value = {"codes": [value]}
+        return {"services": value}
+
+    assert codes(spark, [wrapped(3), wrapped(WRAPPERS), wrapped(WRAPPERS + 1)]) == [["A"], ["A"], [DEEPER]]
+
+
 def test_shapes(spark):
     docs = [
         {"ServiceLines": ["a", " B ", "A"]},

@@ -175,3 +175,40 @@ def test_letter_files_keep_the_last(spark, tmp_path):
 def test_mixed_headers_resolve_per_file(spark):
     headers = spark.createDataFrame([("f", ["Entity", "Dr"])], "file_name string, header array<string>")
     assert columns.resolve_headers(headers, ["EntityCode"]).first()["resolved"] == {"EntityCode": "Entity"}
+
+
+def test_records_of_several_lines_and_other_encodings(spark, tmp_path):
+    (tmp_path / "TB_A_202501.csv").write_text('Entity,AccountDesc,Dr,Cr\nA,"Rent\nHQ ""x""",5,0\nA,b,0,5\n')
+    (tmp_path / "TB_B_202501.csv").write_bytes("Entity,Café,Dr\nB,Crème,1\n".encode("latin-1"))
+    (tmp_path / "TB_C_202501.csv").write_text("Entity,Dr\nC,é\n", encoding="utf-8")
+    raw = files.read_tb_files(spark, str(tmp_path), "202501")
+    rows = sorted((r["file_name"][3], [c for c in r["cells"] if c]) for r in raw.rows.collect())
+    assert rows == [
+        ("A", ["A", 'Rent\nHQ "x"', "5", "0"]),
+        ("A", ["A", "b", "0", "5"]),
+        ("B", ["B", "Crème", "1"]),
+        ("C", ["C", "é"]),
+    ]
+    assert {r["file_name"][3]: r["header"][1] for r in raw.headers.collect()}["B"] == "Café"
+
+
+@pytest.mark.parametrize("date1904, shift", [("", 0), ('<workbookPr date1904="1"/>', 1462)])
+def test_date_cells(tmp_path, date1904, shift):
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    cells = [(1, 45658 - shift), (2, 45658.5 - shift), (0, 45658), (3, 7)]
+    row = "".join(f'<c r="{"ABCD"[i]}1" s="{s}"><v>{v}</v></c>' for i, (s, v) in enumerate(cells))
+    with zipfile.ZipFile(tmp_path / "d.xlsx", "w") as book:
+        book.writestr(
+            "xl/workbook.xml",
+            f'<workbook {main} xmlns:r="{rel}">{date1904}<sheets><sheet name="T" sheetId="1" r:id="r1"/></sheets></workbook>',
+        )
+        book.writestr("xl/_rels/workbook.xml.rels", '<R><S Id="r1" Target="worksheets/s.xml"/></R>')
+        book.writestr("xl/worksheets/s.xml", f'<worksheet {main}><sheetData><row r="1">{row}</row></sheetData></worksheet>')
+        book.writestr(
+            "xl/styles.xml",
+            f'<styleSheet {main}><numFmts><numFmt numFmtId="170" formatCode="yyyy\\-mm\\-dd hh:mm"/>'
+            '<numFmt numFmtId="171" formatCode="0 &quot;days&quot;"/></numFmts><cellXfs><xf numFmtId="0"/>'
+            '<xf numFmtId="14"/><xf numFmtId="170"/><xf numFmtId="171"/></cellXfs></styleSheet>',
+        )
+    assert list(W.table_rows((tmp_path / "d.xlsx").read_bytes())) == [["2025-01-01", "2025-01-01 12:00:00", "45658", "7"]]
