@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from closebook.operators import columns, fx
 from closebook.sources import files, sinks
+from closebook.sources import workbook as W
 from closebook.sources.workbook import header_names
 
 
