@@ -144,9 +144,9 @@ based AS (
   SELECT *, '/close/letters/Customer_' || substr(client_name, 10) || '_EngagementLetter_FY' ||
       fiscal_year || '.docx' AS output_path,
     CASE WHEN source = 'rolled_forward' THEN prior_text ELSE
-      'Engagement Letter for {{{{ClientName}}}}' || chr(10) || 'Client ID: {{{{ClientID}}}}' || chr(10) ||
-      'Fiscal Year: FY{{{{FiscalYear}}}}' || chr(10) || chr(10) || 'Services:' || chr(10) ||
-      '{{{{ServiceSummary}}}}' || chr(10) || chr(10) || 'Prepared: {{{{GeneratedOn}}}}' || chr(10) END AS base
+      '{{{{ClientName}}}}, our number {{{{ClientID}}}}' || chr(10) || chr(10) ||
+      'For the year {{{{FiscalYear}}}} we agreed on this work:' || chr(10) ||
+      '{{{{ServiceSummary}}}}' || chr(10) || 'Written on {{{{GeneratedOn}}}}' || chr(10) END AS base
   FROM assessed WHERE outcome = 'letter'),
 merged AS (
   SELECT *, replace(replace(replace(replace(replace(base, '{{{{ClientName}}}}', client_name),
@@ -367,7 +367,7 @@ FROM assessed WHERE outcome <> 'letter'""",
 SELECT 0 AS position, '2025-12-31 08:00 UTC | Draft engagement letters ready: ' || count(*) || ' clients' AS line
   FROM drafts
 UNION ALL
-SELECT 1, 'Notify teams://StaffAccountant, teams://Manager → ' || client_name || ' letter saved to ' ||
+SELECT 1, 'Notify mail://close-desk, mail://partner → ' || client_name || ' letter saved to ' ||
   output_path FROM drafts""",
     "letter_metrics": f"""WITH {ASSESSED},
 counts AS (

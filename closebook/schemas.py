@@ -10,6 +10,7 @@ AMOUNT = T.DecimalType(20, 4)
 RATE = T.DecimalType(17, 10)
 REPORTED = T.DecimalType(24, 2)
 
+# The names and order of the columns of the ledger, the rates and the adjustments.
 TB = T.StructType(
     [
         T.StructField("EntityCode", T.StringType()),

@@ -28,48 +28,48 @@ def document(path):
 
 def test_register_creates_updates_and_adds(spark, tmp_path):
     first = updates(
-        spark, ("ExampleStep", "Old", "notebooks/example.ipynb", ["Tool A", "Tool B", "Tool A mock API"])
+        spark, ("MatchInvoices", "Old", "notebooks/invoices.ipynb", ["Ledger export", "Bank feed", "Ledger export mock API"])
     )
     register_tutorials(spark, str(tmp_path / "none.json"), first, ["n"], str(tmp_path / "v1"))
     (entry,) = document(tmp_path / "v1")
-    assert entry["name"] == "ExampleStep" and entry["description"] == "Old"
+    assert entry["name"] == "MatchInvoices" and entry["description"] == "Old"
     (toolset,) = entry["toolsets"]
-    assert toolset["tutorial"] == "example.ipynb" and toolset["tools"] == ["Tool A", "Tool B"]
+    assert toolset["tutorial"] == "invoices.ipynb" and toolset["tools"] == ["Ledger export", "Bank feed"]
     assert UUID.match(entry["id"]) and UUID.match(toolset["id"]) and entry["id"] != toolset["id"]
 
     second = updates(
         spark,
-        ("ExampleStep", "Stale", "example.ipynb", ["Tool C"]),
-        ("ExampleStep", 'Fresh "quoted"', "./notebooks/example.ipynb", ["Tool B", "Tool A", "Tool A"]),
-        ("ExampleStep", 'Fresh "quoted"', "notebooks/alt.ipynb", ["Tool D"]),
+        ("MatchInvoices", "Stale", "invoices.ipynb", ["Mailbox"]),
+        ("MatchInvoices", 'Fresh "quoted"', "./notebooks/invoices.ipynb", ["Bank feed", "Ledger export", "Ledger export"]),
+        ("MatchInvoices", 'Fresh "quoted"', "notebooks/bank.ipynb", ["Archive"]),
         ("Another", "New", "x.ipynb", []),
     )
     register_tutorials(spark, str(tmp_path / "v1"), second, ["n"], str(tmp_path / "v2"))
     another, again = document(tmp_path / "v2")
     assert another["name"] == "Another" and another["toolsets"][0]["tools"] == []
     assert again["id"] == entry["id"] and again["description"] == 'Fresh "quoted"'
-    assert [t["tutorial"] for t in again["toolsets"]] == ["alt.ipynb", "example.ipynb"]
-    assert again["toolsets"][1] == {**toolset, "tools": ["Tool B", "Tool A"]}
+    assert [t["tutorial"] for t in again["toolsets"]] == ["bank.ipynb", "invoices.ipynb"]
+    assert again["toolsets"][1] == {**toolset, "tools": ["Bank feed", "Ledger export"]}
     ids = [e["id"] for e in (again, another)] + [t["id"] for e in (again, another) for t in e["toolsets"]]
     assert len(set(ids)) == 5
 
 
 def test_legacy_ids_and_references_are_cleaned(spark):
     steps = spark.createDataFrame(
-        [("5E1F5E2F72074220AE7A80A528BF79CB", "A", "a"), ("own-id", "B", "b")], "id string, name string, description string"
+        [("0C9A1D7733B14E52A9F6D1844B7E20FF", "A", "a"), ("own-id", "B", "b")], "id string, name string, description string"
     )
     toolsets = spark.createDataFrame(
-        [("{07ab4f45-29f8-4d30-9b37-6f7cb8037b1e}", "A", "notebooks/example.ipynb", ["T"])],
+        [("{b3d20e61-5a94-47c8-8f10-92c6ae4d7753}", "A", "notebooks/invoices.ipynb", ["T"])],
         "id string, name string, tutorial string, tools array<string>",
     )
-    news = updates(spark, ("A", "a2", "example.ipynb", ["T", "U"]))
+    news = updates(spark, ("A", "a2", "invoices.ipynb", ["T", "U"]))
     got_steps, got_tools = catalog.upsert_catalog(steps, toolsets, news, ["n"], catalog.keyed_id)
     assert sorted(tuple(r) for r in got_steps.collect()) == [
-        ("5e1f5e2f-7207-4220-ae7a-80a528bf79cb", "A", "a2"),
+        ("0c9a1d77-33b1-4e52-a9f6-d1844b7e20ff", "A", "a2"),
         ("own-id", "B", "b"),
     ]
     assert [tuple(r) for r in got_tools.collect()] == [
-        ("07ab4f45-29f8-4d30-9b37-6f7cb8037b1e", "A", "example.ipynb", ["T", "U"])
+        ("b3d20e61-5a94-47c8-8f10-92c6ae4d7753", "A", "invoices.ipynb", ["T", "U"])
     ]
 
 

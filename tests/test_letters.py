@@ -11,8 +11,8 @@ from closebook.operators import letters as O
 from closebook.sources.files import prior_letter_keys
 
 CLIENTS = [
-    {"ClientID": "C-1", "ClientName": "Acme Holdings", "FiscalYear": "2025", "ServiceLines": ["consult", "TAX"]},
-    {"ClientID": "C-2", "ClientName": "Globex", "FY": 2025, "ServiceLineCodes": "AUDIT;tax"},
+    {"ClientID": "C-1", "ClientName": "Birch Lane Foods", "FiscalYear": "2025", "ServiceLines": ["payroll", "TAX"]},
+    {"ClientID": "C-2", "ClientName": "Quay", "FY": 2025, "ServiceLineCodes": "AUDIT;tax"},
     {"ClientID": "C-3", "ServiceLines": ["TAX"]},
     {"ClientName": "No Id", "ServiceLines": ["TAX"]},
     {"ClientID": "C-5", "ClientName": "No Codes"},
@@ -23,8 +23,8 @@ CLIENTS = [
 ]
 SERVICES = [
     {"Code": "tax", "Name": "Old", "Rate": 1},
-    {"ServiceLineCode": "CONSULT", "Description": "Consulting Services", "Rate": 250.0},
-    {"ServiceLineCode": " tax ", "Description": "Tax Advisory", "Rate": 180},
+    {"ServiceLineCode": "PAYROLL", "Description": "Payroll runs", "Rate": 95.0},
+    {"ServiceLineCode": " tax ", "Description": "Tax returns", "Rate": 140},
     {"ServiceLineCode": "AUDIT", "BillingRate": "$1,250.5"},
     {"ServiceLineCode": "BARE", "Description": "No rate", "Rate": ""},
     {"ServiceLineCode": "FREE", "Rate": 0},
@@ -33,9 +33,9 @@ SERVICES = [
     {"Description": "no code", "Rate": 5},
 ]
 PRIOR = [
-    ("Acme_Holdings_EngagementLetter_FY2024.docx", "Prior {{ClientName}} FY{{FiscalYear}}\n"),
+    ("Birch_Lane_Foods_EngagementLetter_FY2024.docx", "Prior {{ClientName}} FY{{FiscalYear}}\n"),
     ("Empty_Prior_EngagementLetter_FY2024.docx", ""),
-    ("Globex_EngagementLetter_FY2023.docx", "too old"),
+    ("Quay_EngagementLetter_FY2023.docx", "too old"),
     ("notes.txt", "x"),
 ]
 TEMPLATE = "To {{ClientName}} ({{ClientID}}) FY{{FiscalYear}}\n{{ServiceSummary}}\nPrepared {{GeneratedOn}}"
@@ -59,7 +59,7 @@ def assessed(spark, index):
 
 def test_last_service_wins(index):
     got = {r["code"]: (r["description"], r["rate"]) for r in index.collect()}
-    assert got["TAX"] == ("Tax Advisory", "180")
+    assert got["TAX"] == ("Tax returns", "140")
     assert got["AUDIT"] == ("", "$1,250.5")
     assert got["BARE"][1] is None and got["FREE"][1] == "0"
     assert len(got) == 7
@@ -78,7 +78,7 @@ def test_outcomes(assessed):
 def test_prior_letters(assessed):
     got = {r["n"]: (r["source"], r["prior_note"]) for r in assessed.collect()}
     assert got[0] == ("rolled_forward", None)
-    assert got[1] == ("template", "Prior year letter not found for Globex FY2025 → defaulted to template.")
+    assert got[1] == ("template", "Prior year letter not found for Quay FY2025 → defaulted to template.")
     assert got[7][0] == "template" and "FYFY25" in got[7][1]
     assert got[8] == ("template", None)
 
@@ -88,14 +88,14 @@ def test_letters(assessed):
     got = {r["client_id"]: r for r in drafts.collect()}
     assert set(got) == {"C-1", "C-2", "C-7", "C-8", "C-9"}
     assert got["C-1"]["letter_text"] == (
-        "Prior Acme Holdings FY2025\n\nService Summary:\n"
-        "- CONSULT (Consulting Services) @ $250.00\n- TAX (Tax Advisory) @ $180.00\n"
+        "Prior Birch Lane Foods FY2025\n\nService Summary:\n"
+        "- PAYROLL (Payroll runs) @ $95.00\n- TAX (Tax returns) @ $140.00\n"
     )
     assert got["C-2"]["letter_text"] == (
-        "To Globex (C-2) FY2025\n- AUDIT () @ $1,250.50\n- TAX (Tax Advisory) @ $180.00\nPrepared now"
+        "To Quay (C-2) FY2025\n- AUDIT () @ $1,250.50\n- TAX (Tax returns) @ $140.00\nPrepared now"
     )
     assert "- FREE () @ $0.00\n- ODD () @ TBD\n- RICH () @ $10,000.00" in got["C-7"]["letter_text"]
-    assert got["C-1"]["output_path"] == "/out/Acme_Holdings_EngagementLetter_FY2025.docx"
+    assert got["C-1"]["output_path"] == "/out/Birch_Lane_Foods_EngagementLetter_FY2025.docx"
     assert got["C-2"]["service_lines"] == ["AUDIT", "TAX"]
 
 
@@ -128,7 +128,7 @@ def test_notifications(assessed):
     lines = O.notifications(made, ["x", " ", "y"], "T").orderBy("position", "client_id").collect()
     assert lines[0]["line"] == "T | Draft engagement letters ready: 5 clients"
     assert lines[1]["line"] == (
-        "Notify x, y → Acme Holdings letter saved to /out/Acme_Holdings_EngagementLetter_FY2025.docx"
+        "Notify x, y → Birch Lane Foods letter saved to /out/Birch_Lane_Foods_EngagementLetter_FY2025.docx"
     )
     assert len(lines) == 6
     alone = O.notifications(made, None, "T").collect()
