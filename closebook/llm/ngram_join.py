@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from closebook.llm.graph import components
@@ -521,6 +521,24 @@ def similarity_groups(docs: DataFrame, percent: int = PERCENT, size: int = SIZE,
     return _grouped(docs, percent, size, block_bytes).select("doc_id", "n_shingles", own.alias("component_id"))
 
 
+def _sieved(docs: DataFrame, extra: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` in two parts: rows whose id may be one of ``extra``, and rows whose id is none.
+
+    A bit map of fixed size of the ids' hashes (513 rows of 4 KB at most) is broadcast; it has no
+    bit missing, so only the first part needs the join with ``extra``, and only its texts move.
+    """
+
+    def bit(name: str) -> Column:
+        return F.pmod(F.xxhash64(name), F.lit(FILTER_BITS))
+
+    maps = extra.groupBy(F.bitmap_bucket_number(bit("_extra_id")).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit("_extra_id"))).alias("_bits"))
+    placed = docs.withColumns({"_bucket": F.bitmap_bucket_number(bit("doc_id")), "_at": F.bitmap_bit_position(bit("doc_id"))})
+    found = placed.join(F.broadcast(staged(maps, "sieve")), "_bucket", "left")
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    may = F.coalesce(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1, F.lit(False))
+    return tuple(found.filter(keep).select(*docs.columns) for keep in (may, ~may))
+
+
 def one_of_each_group(docs: DataFrame, percent: int = PERCENT, size: int = SIZE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with all their columns, one row of each component: the smallest doc_id, nulls
     last, and of several such rows the smallest hash of the text. Blank texts all stay.
@@ -535,7 +553,8 @@ def one_of_each_group(docs: DataFrame, percent: int = PERCENT, size: int = SIZE,
     def without(df: DataFrame, text: str) -> DataFrame:
         return df.join(extra, F.col("doc_id").eqNullSafe(F.col("_extra_id")) & (F.col(text) == F.col("_extra_text")), "left_anti")
 
-    kept = without(docs.withColumn("_own_text", F.xxhash64("text")), "_own_text")
+    near, far = _sieved(docs.withColumn("_own_text", F.xxhash64("text")), extra)
+    kept = without(near, "_own_text").unionByName(far)
     if without(rows, "text_hash").groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():
         return kept.select(*names)
     blank = F.coalesce(F.trim(F.translate("text", "\t\n\x0b\x0c\r", "     ")), F.lit("")) == ""

@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from closebook.llm.ngram_join import Tree, keys_of, one_of_each_group, similarity_groups
+from closebook.llm.ngram_join import Tree, _sieved, keys_of, one_of_each_group, similarity_groups
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -77,6 +77,16 @@ def test_one_of_each(spark, rows):
     assert sorted(r["doc_id"] for r in kept.collect() if not shingles(r["text"])) == [200, 201, 202]
 
 
+def test_sieve_loses_no_row(spark):
+    docs = spark.range(3000).selectExpr("IF(id = 7, NULL, id) AS doc_id", "'t' AS text")
+    extra = spark.range(0, 3000, 10).selectExpr("IF(id = 10, NULL, id) AS _extra_id")
+    near, far = _sieved(docs, extra)
+    ids = [{r["doc_id"] for r in part.collect()} for part in (near, far)]
+    assert {r["_extra_id"] for r in extra.collect()} <= ids[0] and len(ids[0]) < 400
+    assert near.columns == far.columns == docs.columns
+    assert not ids[0] & ids[1] and len(ids[0] | ids[1]) == 3000
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert similarity_groups(empty).collect() == [] and one_of_each_group(empty).collect() == []
