@@ -206,41 +206,57 @@ class Model:
         return float(sigmoid(np.array(z / self.heat))), hits
 
 
+def _sketched(sample: DataFrame) -> DataFrame:
+    """``sample`` with the sketch of each text: copies share it, and count as one text."""
+
+    def run(batches):
+        for batch, texts in slices(batches):
+            sketches = [_sketch(t.decode()) for t in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sketches, pa.int64())], [*batch.schema.names, "sketch"])
+
+    kind = ", ".join(f"{n} {t}" for n, t in sample.dtypes)
+    return sample.mapInArrow(run, f"{kind}, sketch long")
+
+
 def _term_counts(sample: DataFrame) -> DataFrame:
-    """(term, toxic, clean): how many documents of the sample have each word."""
+    """(term, toxic, clean): how many different texts of the sample have each word.
+
+    A word is in a text if any of its copies has it, so copies neither add to a count nor take from it.
+    """
 
     def run(batches):
-        counts: dict[str, list[int]] = {}
+        seen: set[tuple[str, int, int]] = set()
         for batch in batches:
-            labels = batch.column("label").to_pylist()
+            labels, sketches = batch.column("label").to_pylist(), batch.column("sketch").to_pylist()
             at = 0
             for part, texts in slices([batch]):
                 for text in texts:
-                    for word in set(WORD.findall(text.decode().lower())):
-                        counts.setdefault(word, [0, 0])[labels[at]] += 1
+                    seen.update((word, labels[at], sketches[at]) for word in set(WORD.findall(text.decode().lower())))
                     at += 1
-                if len(counts) > CACHE_WORDS:
-                    yield _count_rows(counts)
-                    counts = {}
-        if counts:
-            yield _count_rows(counts)
+                    if len(seen) > CACHE_WORDS:
+                        yield _term_rows(seen)
+                        seen = set()
+        if seen:
+            yield _term_rows(seen)
 
-    words = sample.select("label", "text").mapInArrow(run, "term string, clean long, toxic long")
-    return words.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    words = sample.select("label", "sketch", "text").mapInArrow(run, "term string, label int, sketch long").distinct()
+    return words.groupBy("term").agg(F.sum(1 - F.col("label")).alias("clean"), F.sum("label").alias("toxic"))
 
 
-def _count_rows(counts: dict[str, list[int]]) -> pa.RecordBatch:
-    clean, toxic = zip(*counts.values())
-    return pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(clean, pa.int64()), pa.array(toxic, pa.int64())], ["term", "clean", "toxic"])
+def _term_rows(seen: set[tuple[str, int, int]]) -> pa.RecordBatch:
+    terms, labels, sketches = zip(*seen)
+    return pa.RecordBatch.from_arrays([pa.array(terms), pa.array(labels, pa.int32()), pa.array(sketches, pa.int64())], ["term", "label", "sketch"])
 
 
 def learn_lexicon(sample: DataFrame, most: int = TERMS) -> list[str]:
     """Significant words and beginnings, the most significant first, at most ``most``.
 
+    ``sample`` has label, text and sketch; texts of one class and sketch count as one text.
     A word below a chosen beginning adds nothing and is left out, as is a beginning that is
     mostly one word.
     """
-    totals = sample.agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")).first()
+    distinct = sample.select("label", "sketch").distinct()
+    totals = distinct.agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")).first()
     if not totals["toxic"] or not totals["clean"]:
         return []
     words = staged(_term_counts(sample), "terms").filter(F.length("term") >= 3)
@@ -274,22 +290,17 @@ def learn_lexicon(sample: DataFrame, most: int = TERMS) -> list[str]:
 
 
 def _spread_terms(sample: DataFrame, terms: list[str], least: int = 3) -> list[str]:
-    """Terms found in at least ``least`` different toxic texts, which make up half of all it is in.
-
-    The other words of a toxic text that was copied often are significant too, but copies share
-    the smallest hash of their three-word runs, and so count as one text.
-    """
+    """Terms found in at least ``least`` different toxic texts; copies share a sketch, and so count as one."""
 
     def run(batches):
         automaton = Automaton(terms)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            found = [sorted({h.term for h in hits_of(t, automaton)[1] if not h.errors}) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), pa.array(map(_sketch, texts), pa.int64())], ["terms", "sketch"])
+            found = [sorted({h.term for h in hits_of(t or "", automaton)[1] if not h.errors}) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column("sketch")], ["terms", "sketch"])
 
-    found = sample.filter("label = 1").select("text").mapInArrow(run, "terms array<int>, sketch long")
-    each = found.select(F.explode("terms").alias("term"), "sketch").groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("sketch").alias("texts"))
-    spread = each.filter((F.col("texts") >= least) & (2 * F.col("texts") >= F.col("n"))).select("term").collect()
+    found = sample.filter("label = 1").select("text", "sketch").mapInArrow(run, "terms array<int>, sketch long")
+    each = found.select(F.explode("terms").alias("term"), "sketch").groupBy("term").agg(F.countDistinct("sketch").alias("texts"))
+    spread = each.filter(F.col("texts") >= least).select("term").collect()
     return [terms[i] for i in sorted(r["term"] for r in spread)]
 
 
@@ -305,7 +316,8 @@ def learn(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, mos
     the only class's.
     """
     sample = labelled_sample(labels.select("doc_id", "toxic"), "toxic", parts, held, most)
-    texts = staged(docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text"), "sample")
+    found = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(sample), "doc_id")
+    texts = staged(_sketched(found.select("doc_id", "label", "text")), "sample")
     terms = _spread_terms(texts, learn_lexicon(texts))
     n = len(terms)
 

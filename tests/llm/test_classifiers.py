@@ -89,6 +89,26 @@ def test_held_out_toxicity(spark):
     assert kept.count() == scored.filter("predicted = 0").count()
 
 
+def test_copied_toxic_text_keeps_its_terms(spark):
+    rnd = random.Random(5)
+    usual = [f"{a}{b}" for a in "bdfgklmnprst" for b in ("orin", "ulat", "emis", "aved", "itok")]
+    ids = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 3 != 1]
+
+    def text(*terms):
+        words = rnd.choices(usual, k=30) + list(terms)
+        rnd.shuffle(words)
+        return " ".join(words)
+
+    texts = [(text("vexhound"), 1) for _ in range(12)] + [(text(), 0) for _ in range(80)]
+    copied = text("vexhound", "once")
+    rows = [(i, t, label) for i, (t, label) in zip(ids, texts + [(copied, 1)] * 100)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.learn(table.select("doc_id", "text"), table.select("doc_id", "toxic"))
+    assert model.terms == ["vexhound"]
+    scored = toxicity.score(table, model).join(table, "doc_id").collect()
+    assert len(scored) == len(rows) and all(r["predicted"] == r["toxic"] for r in scored)
+
+
 def test_odd_rows(spark):
     rows = [(1, "good words here"), (1, "good words here"), (2, None), (3, ""), (None, "BAD!!!"), (4, "x " * 50_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS score", "2 AS label", "3 AS held_out")
