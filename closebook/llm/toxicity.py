@@ -44,7 +44,8 @@ class Automaton:
 
     ``terms`` maps a term to its number; one that ends in ``*`` is a beginning, after which any
     letters may follow. ``find`` gives (term, errors) of the best match of a word, or None. Errors
-    allowed depend on the length of the term: none below 5 letters, 1 below 9, then 2.
+    allowed depend on the length of the term: none below 5 letters, 1 below 9, then 2; a beginning
+    allows none.
     """
 
     terms: list[str]
@@ -252,8 +253,9 @@ def learn_lexicon(sample: DataFrame, most: int = TERMS) -> list[str]:
     """Significant words and beginnings, the most significant first, at most ``most``.
 
     ``sample`` has label, text and sketch; texts of one class and sketch count as one text.
-    A word below a chosen beginning adds nothing and is left out, as is a beginning that is
-    mostly one word.
+    A beginning below a chosen one adds nothing and is left out, as is one that is mostly one
+    word. Beginnings are found without errors only, so significant words below a chosen one stay in the
+    lexicon beside it, for their misspellings: at most ``most`` of them, besides the others.
     """
     distinct = sample.select("label", "sketch").distinct()
     totals = distinct.agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")).first()
@@ -279,23 +281,29 @@ def learn_lexicon(sample: DataFrame, most: int = TERMS) -> list[str]:
     chosen = every.withColumn("ratio", ratio).filter((F.col("ratio") > SIGNIFICANT) & (F.col("toxic") / n1 > 10 * F.col("clean") / n0))
     rows = chosen.orderBy(F.desc("ratio"), F.length("term"), "term").limit(10 * most).collect()
     terms: list[str] = []
+    beside: list[str] = []
     stems: set[str] = set()
     for (term, *_) in rows:
         stem = term.removesuffix("*")
-        if len(terms) < most and not any(stem[:n] in stems for n in range(1, len(stem) + 1)):
+        below = any(stem[:n] in stems for n in range(1, len(stem) + 1))
+        if not below and len(terms) < most:
             terms.append(term)
             if term.endswith("*"):
                 stems.add(stem)
-    return terms
+        elif below and stem == term and Automaton.allowed(len(term)) and len(beside) < most:
+            beside.append(term)
+    return terms + beside
 
 
 def _spread_terms(sample: DataFrame, terms: list[str], least: int = 3) -> list[str]:
     """Terms found in at least ``least`` different toxic texts; copies share a sketch, and so count as one."""
 
+    number = {term: i for i, term in enumerate(terms)}
+
     def run(batches):
-        automaton = Automaton(terms)
         for batch in batches:
-            found = [sorted({h.term for h in hits_of(t or "", automaton)[1] if not h.errors}) for t in batch.column("text").to_pylist()]
+            words = [set(WORD.findall((t or "").lower())) for t in batch.column("text").to_pylist()]
+            found = [sorted({number[x] for w in ws for x in (w, *(f"{w[:n]}*" for n in PREFIX if len(w) >= n)) if x in number}) for ws in words]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column("sketch")], ["terms", "sketch"])
 
     found = sample.filter("label = 1").select("text", "sketch").mapInArrow(run, "terms array<int>, sketch long")

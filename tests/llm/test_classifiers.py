@@ -109,6 +109,23 @@ def test_copied_toxic_text_keeps_its_terms(spark):
     assert len(scored) == len(rows) and all(r["predicted"] == r["toxic"] for r in scored)
 
 
+def test_words_below_a_beginning_keep_their_errors(spark):
+    rnd = random.Random(6)
+    ids = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    usual = [f"{a}{b}" for a in "bdfgklmnprst" for b in ("orin", "ulat", "emis", "aved", "itok")]
+    words = ["zquvander", "zquvollith", "zquvime"]
+    texts = [(" ".join([*rnd.choices(usual, k=30), words[i % 3]]), 1) for i in range(45)]
+    texts += [(" ".join(rnd.choices(usual, k=30)), 0) for _ in range(120)]
+    rows = [(i, t, label) for i, (t, label) in zip(ids, texts)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    terms = toxicity.learn(table.select("doc_id", "text"), table.select("doc_id", "toxic")).terms
+    assert terms[0] == "zquv*" and sorted(terms[1:]) == sorted(words)
+    automaton = Automaton(terms)
+    assert automaton.find("zqavander") == (terms.index("zquvander"), 1)
+    assert automaton.find("zxuwollith") == (terms.index("zquvollith"), 2)
+    assert automaton.find("zquvxyz") == (0, 0) and automaton.find("zqavxyz") is None
+
+
 def test_odd_rows(spark):
     rows = [(1, "good words here"), (1, "good words here"), (2, None), (3, ""), (None, "BAD!!!"), (4, "x " * 50_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS score", "2 AS label", "3 AS held_out")
