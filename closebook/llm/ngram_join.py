@@ -45,6 +45,7 @@ BLOCK_BYTES = 1 << 23
 NODE = 32
 FILTER_BITS = 1 << 24
 BATCH_KEYS = 2_000_000
+BUCKET_KEYS = 2_000_000
 COUNTERS = 1 << 20
 
 
@@ -209,14 +210,43 @@ def _stars(key: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return np.unique(np.stack([owner[several], center[several]], 1), axis=0)
 
 
-def candidates(docs: DataFrame, percent: int = PERCENT, size: int = SIZE) -> DataFrame:
+def most_keys(n: int, percent: int) -> int:
+    """More keys than this a set of n n-grams never gives."""
+    total, own, below = 0, level(n, percent), level(least_partner(n, percent), percent)
+    while n:
+        total += 2 * slices_of_level(*own, percent)[0]
+        if own == below:
+            break
+        own = level(own[0] - 1, percent)
+    return total
+
+
+def _buckets(ids: DataFrame, percent: int) -> int:
+    """So many buckets that each has BUCKET_KEYS keys at most, as ``n_shingles`` of ids tells."""
+
+    def run(batches):
+        known: dict[int, int] = {}
+        total = 0
+        for batch in batches:
+            for n in batch.column("n_shingles").to_pylist():
+                if n not in known:
+                    known[n] = most_keys(n, percent)
+                total += known[n]
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], ["keys"])
+
+    keys = ids.select("n_shingles").mapInArrow(run, "keys long").agg(F.sum("keys")).first()[0] or 0
+    return max(4 * int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-keys // BUCKET_KEYS))
+
+
+def candidates(docs: DataFrame, ids: DataFrame, percent: int = PERCENT, size: int = SIZE) -> DataFrame:
     """(a, b): digests of classes that share a key, as a star for each key.
 
     Keys travel packed, several megabytes a row at most; a key that many classes of a batch share is sent
-    for one of them, with the star of the rest beside it.
+    for one of them, with the star of the rest beside it. ``ids``, with_digests(docs), tells how
+    many buckets the keys take; a task holds one bucket at a time.
     """
     spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = _buckets(ids, percent)
     sent_counters = spark.sparkContext.broadcast(np.packbits(frequent_counters(docs, size)))
     pair = "bucket int, keys binary, owners binary, digests binary, a binary, b binary"
 
@@ -257,25 +287,32 @@ def candidates(docs: DataFrame, percent: int = PERCENT, size: int = SIZE) -> Dat
         yield _both(packed, stars, digests)
 
     def match(batches):
-        parts: dict[int, list[tuple]] = {}
+        bucket, rows = None, []
         for batch in batches:
             found = []
             for row in batch.to_pylist():
                 if row["a"] is not None:
                     found.append((row["a"], row["b"]))
-                else:
-                    parts.setdefault(row["bucket"], []).append((row["keys"], row["owners"], row["digests"]))
-            if found:
-                yield _links(found)
-        for rows in parts.values():
-            names = np.unique(np.concatenate([np.frombuffer(d, "S16") for _, _, d in rows]))
-            key = np.concatenate([np.frombuffer(k, np.uint64) for k, _, _ in rows])
-            owner = np.concatenate([np.searchsorted(names, np.frombuffer(d, "S16"))[np.frombuffer(o, np.uint32)] for _, o, d in rows])
-            found = [(_full(names[a]), _full(names[b])) for a, b in _stars(key, owner)]
+                    continue
+                if rows and row["bucket"] != bucket:
+                    yield from matched(rows)
+                    rows = []
+                bucket = row["bucket"]
+                rows.append((row["keys"], row["owners"], row["digests"]))
             if found:
                 yield _links(found)
-
-    sent = docs.select("text").mapInArrow(emit, pair).repartition(buckets, "bucket")
+        if rows:
+            yield from matched(rows)
+
+    def matched(rows):
+        names = np.unique(np.concatenate([np.frombuffer(d, "S16") for _, _, d in rows]))
+        key = np.concatenate([np.frombuffer(k, np.uint64) for k, _, _ in rows])
+        owner = np.concatenate([np.searchsorted(names, np.frombuffer(d, "S16"))[np.frombuffer(o, np.uint32)] for _, o, d in rows])
+        found = [(_full(names[a]), _full(names[b])) for a, b in _stars(key, owner)]
+        if found:
+            yield _links(found)
+
+    sent = docs.select("text").mapInArrow(emit, pair).repartition(buckets, "bucket").sortWithinPartitions("bucket")
     return sent.mapInArrow(match, "a binary, b binary").distinct()
 
 
@@ -462,20 +499,26 @@ def _suspect_sets(docs: DataFrame, ids: DataFrame, clusters: DataFrame, size: in
     return staged(once.join(wanted.select("digest", "cluster"), "digest"), "sets")
 
 
-def _block_links(sets: DataFrame, percent: int, block_bytes: int) -> DataFrame:
-    """(a, b): links of a spanning forest of each group of blocks."""
+def _block_groups(sets: DataFrame, block_bytes: int) -> DataFrame:
+    """Sets of clusters with several, by ``group``: a pair of blocks of a cluster, or clusters of one
+    block that fell into a bin. Bins are so many that they hold half a block in the mean."""
     total = sets.groupBy("cluster").agg(F.sum(F.length("grams") + F.lit(64)).alias("bytes"), F.count("*").alias("n")).filter("n > 1")
-    total = total.select("cluster", F.ceil(F.col("bytes") / block_bytes).cast("int").alias("blocks"))
-    bins = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
+    total = staged(total.select("cluster", "bytes", F.ceil(F.col("bytes") / block_bytes).cast("int").alias("blocks")), "clusters")
+    small = total.filter("blocks = 1").agg(F.sum("bytes")).first()[0] or 0
+    bins = max(4 * int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-2 * small // block_bytes))
     block = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
     dealt = sets.join(total, "cluster").withColumn("block", block)
     # Each block meets every block, itself too: a group for each pair, named by the lower block first.
     with_other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    grouped = with_other.select(
+    return with_other.select(
         F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other"))).alias("group"),
         "cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).alias("asked"), "digest", "grams",
     )
 
+
+def _block_links(sets: DataFrame, percent: int, block_bytes: int) -> DataFrame:
+    """(a, b): links of a spanning forest of each group of blocks."""
+
     def join(table: pa.Table) -> pa.Table:
         parts: dict[tuple, tuple[dict, dict]] = {}
         for row in table.select(["cluster", "low", "high", "asked", "digest", "grams"]).to_pylist():
@@ -490,13 +533,13 @@ def _block_links(sets: DataFrame, percent: int, block_bytes: int) -> DataFrame:
         a, b = zip(*found) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    return grouped.groupBy("group").applyInArrow(join, "a binary, b binary")
+    return _block_groups(sets, block_bytes).groupBy("group").applyInArrow(join, "a binary, b binary")
 
 
 def _grouped(docs: DataFrame, percent: int, size: int, block_bytes: int) -> DataFrame:
     """with_digests(docs) with each class's component, a digest, and its smallest doc_id."""
     ids = staged(with_digests(docs, size), "digests")
-    stars = staged(candidates(docs, percent, size), "candidates")
+    stars = staged(candidates(docs, ids, percent, size), "candidates")
     clusters = components(stars)
     sets = _suspect_sets(docs, ids, clusters, size)
     links = staged(_block_links(sets, percent, block_bytes), "links")

@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pytest
 
+from closebook.llm import ngram_join
 from closebook.llm.ngram_join import Tree, _sieved, keys_of, one_of_each_group, similarity_groups
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -111,3 +112,15 @@ def test_tree():
             assert set(got) == want and len(got) == len(want)
             keys = set(keys_of(one, 90).tolist())
             assert all(keys & set(keys_of(sets[j], 90).tolist()) for j in want if sets[j] is not one)
+
+
+def test_groups_and_buckets_follow_the_data(spark, rows, monkeypatch):
+    grams = np.arange(50, dtype=np.uint64).tobytes()
+    sets = spark.createDataFrame([(bytes([i // 250, i // 2 % 125]), bytes([i // 250, i % 250]), bytearray(grams)) for i in range(2000)], "cluster binary, digest binary, grams binary")
+    held = ngram_join._block_groups(sets, 4096).groupBy("group").agg({"grams": "count"}).collect()
+    assert sum(r[1] for r in held) == 2000 and max(r[1] for r in held) * (len(grams) + 64) <= 8 * 4096
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(ngram_join, "BUCKET_KEYS", 100)
+    sizes = [len(keys_of(one, 90)) for one in ngram_join.sets_of([(t or "").encode() for _, t in rows])]
+    assert ngram_join._buckets(ngram_join.with_digests(table), 90) >= sum(sizes) / 100 > 16
+    assert ordered(similarity_groups(table).collect()) == ordered(brute(rows)[0])
