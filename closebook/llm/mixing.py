@@ -4,7 +4,7 @@ A source with share p of all tokens gets weight p^a, normalised; a is between 1
 (all equal). Given a limit of repetitions, a is the smallest that keeps it; given an entropy of the
 weights, the largest that reaches it. Each weight becomes a budget of tokens; a source's documents are dealt
 by hash into blocks, and its budget takes whole passes over its blocks and then, in
-an order that a hash gives each pass, those that still fit in.
+an order that a hash gives each pass, those before the first that does not fit in.
 """
 
 from __future__ import annotations
