@@ -14,7 +14,8 @@ and one more where backslashes stand there already; the parser takes one away. T
 covers the assistants' texts.
 
 A conversation is written as one or several rows of about CHUNK characters, whole turns each, so
-that one that holds a third of all turns is streamed and never held in memory.
+that one that holds a third of all turns is never held in memory. Turns are dealt by range, so many tasks
+render and parse such a conversation; only its digest is one task's stream.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.taskcontext import TaskContext
 
 from closebook.session import work_folder
 
@@ -124,13 +126,17 @@ def format_conversations(conversations: DataFrame, chunk: int = CHUNK) -> DataFr
     ``conversations`` has conv_id, turn, role and text; other columns are left out. Turns come in
     order of turn, null first; equal numbers by role and text; repeated rows are repeated turns.
     A null text is empty; a null role is a role of its own; a null conv_id is a conversation. Parts
-    hold at least ``chunk`` characters, but for the last; a longer turn is one part.
+    hold at least ``chunk`` characters, but for the last of a task; a longer turn is one part. ``part`` ascends,
+    with gaps: tasks take ranges of turns one after the other, and number their parts from 2^32 times their own number.
     """
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit(NULL_ROLE)).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    keys = ("conv_id", "turn", "role", "text")
+    tasks = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys)
 
     def run(batches):
-        current, part, texts, loss, size = (), 0, [], [], 0
+        first = TaskContext.get().partitionId() << 32
+        current, part, texts, loss, size = (), first, [], [], 0
         out: list[dict] = []
         for batch in batches:
             for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text"))):
@@ -138,7 +144,7 @@ def format_conversations(conversations: DataFrame, chunk: int = CHUNK) -> DataFr
                     out.append({"conv_id": current[0], "part": part, "text": _checked(texts), "loss": loss})
                     part, texts, loss, size = part + 1, [], [], 0
                 if (conv,) != current:
-                    current, part = (conv,), 0
+                    current, part = (conv,), first
                 rendered, begin, end = render_turn(role, text)
                 if role == "assistant":
                     loss.append({"begin": size + begin, "end": size + end})
@@ -163,14 +169,31 @@ def _checked(turns: list[tuple[str, str, str]]) -> str:
 
 
 def read_conversations(formatted: DataFrame) -> DataFrame:
-    """Digests of each conversation from its rendered parts, which are streamed in order.
+    """Digests of each conversation from its rendered parts, which are parsed where they lie; what they
+    say is then streamed in order.
 
     ``turns_sha256`` is of role, line break, text, line break for each turn; ``loss_sha256`` of the unescaped
     texts under the mask. A null role counts as empty.
     """
-    ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "part")
+    parsed = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("n_turns", pa.int64()), ("turns", pa.string()), ("masked", pa.string()), ("chars", pa.int64())])
     kinds = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
+    def read(batches):
+        out, size = [], 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                text = row["text"]
+                turns = parse(text)
+                said = "".join(f"{'' if role == NULL_ROLE else role}\n{words}\n" for role, words, _, _ in turns)
+                masked = "".join(unescape(text[span["begin"] : span["end"]]) for span in row["loss"])
+                out.append({"conv_id": row["conv_id"], "part": row["part"], "n_turns": len(turns), "turns": said, "masked": masked, "chars": len(text)})
+                size += len(text)
+                if size >= 64 * CHUNK:
+                    yield pa.RecordBatch.from_pylist(out, parsed)
+                    out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_pylist(out, parsed)
+
     def run(batches):
         current = None
         for batch in batches:
@@ -180,20 +203,18 @@ def read_conversations(formatted: DataFrame) -> DataFrame:
                     if current is not None:
                         out.append(_done(current))
                     current = [row["conv_id"], 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                text = row["text"]
-                for role, said, _, _ in parse(text):
-                    current[1] += 1
-                    current[2].update(f"{'' if role == NULL_ROLE else role}\n{said}\n".encode())
-                for span in row["loss"]:
-                    said = unescape(text[span["begin"] : span["end"]])
-                    current[3] += len(said)
-                    current[4].update(said.encode())
-                current[5] += len(text)
+                current[1] += row["n_turns"]
+                current[2].update(row["turns"].encode())
+                current[3] += len(row["masked"])
+                current[4].update(row["masked"].encode())
+                current[5] += row["chars"]
             if out:
                 yield pa.RecordBatch.from_pylist(out, kinds)
         if current is not None:
             yield pa.RecordBatch.from_pylist([_done(current)], kinds)
 
+    said = formatted.mapInArrow(read, "conv_id long, part long, n_turns long, turns string, masked string, chars long")
+    ordered = said.repartition("conv_id").sortWithinPartitions("conv_id", "part")
     return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 

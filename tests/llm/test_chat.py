@@ -57,3 +57,13 @@ def test_table(spark):
         assert (row["n_turns"], row["turns_sha256"]) == (len(turns), hashlib.sha256(whole.encode()).hexdigest())
         assert (row["loss_chars"], row["loss_sha256"]) == (len(said), hashlib.sha256(said.encode()).hexdigest())
     assert read_conversations(format_conversations(table.limit(0))).collect() == []
+
+
+def test_hot_conversation_is_rendered_in_several_tasks(spark):
+    rows = [(7, t, "user" if t % 2 == 0 else "assistant", f"turn {t}") for t in range(4000)] + [(c, 0, "user", "x") for c in range(5)]
+    formatted = format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), chunk=500)
+    tasks = formatted.filter("conv_id = 7").selectExpr("shiftright(part, 32) AS task").distinct().count()
+    assert tasks > 1
+    (row,) = read_conversations(formatted).filter("conv_id = 7").collect()
+    whole = "".join(f"{r}\n{t}\n" for _, _, r, t in rows[:4000])
+    assert (row["n_turns"], row["turns_sha256"]) == (4000, hashlib.sha256(whole.encode()).hexdigest())
