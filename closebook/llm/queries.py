@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from closebook.llm import chat, decontaminate, fingerprints, lines, mixing, ngram_join, quality, secrets, tokens, toxicity
+from closebook.llm import chat, decontaminate, fingerprints, lines, merkle, mixing, ngram_join, quality, secrets, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,22 @@ def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_groups(table(spark, sf_dir, "documents"))
 
 
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents, climbed from texts half of which have lost their line breaks."""
+    gone = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    seen = {"text": F.when(gone, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))}
+    found = merkle.build(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], seen=seen)
+    root = F.lit(found.root).cast("binary")
+
+    def text(digest: str) -> Column:
+        return F.lower(F.hex(digest)).alias(digest)
+
+    return merkle.climb(found).withColumns({"folded_root": F.col("folded"), "root": root}).select(
+        F.col("key").alias("doc_id"), text("leaf"), text("subroot"), text("root"),
+        F.sha2(F.lower(F.hex("proof")), 256).alias("proof_sha256"), text("folded_root"), (F.col("folded") == root).alias("verified"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": quality_classifier,
     "op2_benchmark_decontamination": benchmark_decontamination,
@@ -87,4 +103,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": chat_format,
     "op9_ngram_jaccard_join": ngram_jaccard_join,
     "op10_secret_scan": secret_scan,
+    "op11_merkle_manifest": merkle_manifest,
 }
