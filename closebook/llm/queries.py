@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from closebook.llm import chat, decontaminate, fingerprints, lines, merkle, mixing, ngram_join, quality, secrets, tokens, toxicity
+from closebook.llm import chat, decontaminate, fingerprints, lines, merkle, mixing, ngram_join, pii, quality, secrets, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +92,11 @@ def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[f"n_{k.name}" for k in pii.KINDS], "base_sha256", "spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": quality_classifier,
     "op2_benchmark_decontamination": benchmark_decontamination,
@@ -104,4 +109,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ngram_jaccard_join": ngram_jaccard_join,
     "op10_secret_scan": secret_scan,
     "op11_merkle_manifest": merkle_manifest,
+    "op12_personal_data": personal_data,
 }
