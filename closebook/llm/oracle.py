@@ -143,8 +143,37 @@ SELECT doc_id, leaf, subroot, digest AS root, proof_sha256, folded_root, folded_
 FROM placed JOIN subroots USING (tree) JOIN folded USING (row_no), (SELECT digest FROM tops WHERE n = 1)
 """
 
+# Distance * 16 + cluster: the least is the nearest centroid, the smaller number of equal ones.
+_ASSIGNED = """
+a{i} AS (
+  SELECT row_no, vec_id, v, min(d * 16 + cluster) % 16 AS cluster, min(d * 16 + cluster) // 16 AS distance
+  FROM (SELECT row_no, vec_id, v, cluster, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM kept, c{i})
+  GROUP BY row_no, vec_id, v
+)"""
+_MOVED = """
+s{i} AS (SELECT cluster, place, sum(x)::BIGINT AS total, count(*) AS n FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS place FROM a{i}) GROUP BY cluster, place),
+m{i} AS (SELECT cluster, list((total - ((total % n) + n) % n) // n ORDER BY place) AS c FROM s{i} GROUP BY cluster),
+c{j} AS (SELECT cluster, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (cluster))"""
+CENTROID_CLUSTERING = (
+    """
+WITH kept AS (
+  SELECT row_number() OVER () AS row_no, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS cluster, v AS c FROM kept ORDER BY 1 LIMIT 16),"""
+    + ",".join(_ASSIGNED.format(i=i) + "," + _MOVED.format(i=i, j=i + 1) for i in range(3))
+    + ","
+    + _ASSIGNED.format(i=3)
+    + """
+SELECT vec_id, cluster::INT AS cluster, distance::BIGINT AS distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia,
+  sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a3 JOIN c3 USING (cluster)
+"""
+)
+
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": LINE_DEDUP,
     "op4_source_mixing": SOURCE_MIXING,
     "op11_merkle_manifest": MERKLE_MANIFEST,
+    "op13_centroid_clustering": CENTROID_CLUSTERING,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from closebook.llm import chat, decontaminate, fingerprints, lines, merkle, mixing, ngram_join, pii, quality, secrets, tokens, toxicity
+from closebook.llm import centroids, chat, decontaminate, fingerprints, lines, merkle, mixing, ngram_join, pii, quality, secrets, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,6 +97,16 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[f"n_{k.name}" for k in pii.KINDS], "base_sha256", "spans")
 
 
+def centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    inertias = found.inertias.tolist()
+    digests = [centroids.centroid_digest(c) for c in found.centroids]
+    return found.assigned.withColumns({
+        "cluster_inertia": centroids.by_cluster(inertias, "long"), "inertia": F.lit(sum(inertias)).cast("long"),
+        "centroid_sha256": centroids.by_cluster(digests, "string"),
+    })
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": quality_classifier,
     "op2_benchmark_decontamination": benchmark_decontamination,
@@ -110,4 +120,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scan": secret_scan,
     "op11_merkle_manifest": merkle_manifest,
     "op12_personal_data": personal_data,
+    "op13_centroid_clustering": centroid_clustering,
 }
