@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from closebook.operators.lookup import lookup_join
+from closebook.session import staged
 
 RATIO = 0.2
 LEAST_PAGES = 5
@@ -51,7 +52,7 @@ def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int =
     all of them go. A line goes only if its share is above the ratio, not at it.
     """
     lines = page_lines(pages)
-    marked = lookup_join(lines, boilerplate(lines, ratio, least_pages), ["host"])
+    marked = lookup_join(lines, staged(boilerplate(lines, ratio, least_pages), "boilerplate"), ["host"])
     none = F.array().cast("array<binary>")
     kept = F.filter("lines", lambda s: ~F.array_contains(F.coalesce("digests", none), F.unhex(F.md5(s))))
     return marked.select(
