@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -11,6 +10,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from closebook.session import staged
+from closebook.sources import delimited as D
 from closebook.sources import workbook as W
 
 PRIOR_NAME = r"^(.*)_EngagementLetter_FY([0-9]+)\.docx$"
@@ -62,58 +63,21 @@ def read_workbooks(spark: SparkSession, path: str) -> RawTables | None:
 
 
 def read_delimited(spark: SparkSession, path: str) -> RawTables | None:
-    """CSV files with headers of their own, split into blocks by Spark.
+    """CSV files with headers of their own, in splits, records of several lines too (see ``delimited``).
 
-    Headers come from the first line of each file; the rows are read by position, as wide as
-    the widest header. Files that hold a line with an odd number of quotes may have records of
-    several lines and are read whole, one a task; files that are no UTF-8 are read as Latin-1.
+    Headers are the first record of each file; rows are as wide as the widest header.
     """
     files = _binary_files(spark, path)
     if files is None:
         return None
-    headers = files.select("file_path", "path").mapInArrow(W.peek_headers, W.HEADER_SCHEMA)
+    found, rows = D.read_records_of(spark, path)
+    # A file without a record has an empty header.
+    found = files.select("file_path").join(found, "file_path", "left")
+    headers = staged(found.withColumn("header", F.coalesce("header", F.array().cast("array<string>"))), "found_headers")
     width = headers.agg(F.max(F.size("header"))).first()[0] or 1
-    names = [f"_c{i}" for i in range(width)]
-    schema = ", ".join(f"{n} string" for n in names)
-    special = _special_files(spark, path)
-    found = files.join(special, "file_path", "left").select(
-        "path", F.coalesce("long_records", F.lit(False)), F.coalesce("latin", F.lit(False))
-    )
-    kinds: dict[tuple[bool, bool], list[str]] = {}
-    for name, long_records, latin in found.collect():
-        kinds.setdefault((long_records, latin), []).append(re.sub(r"([\\*?\[\]{}])", r"\\\1", name))
-    rows = []
-    for (long_records, latin), paths in kinds.items():
-        lines = spark.read.csv(
-            paths,
-            schema=schema,
-            header=True,
-            enforceSchema=True,
-            multiLine=long_records,
-            escape='"',
-            encoding="ISO-8859-1" if latin else "UTF-8",
-        )
-        rows.append(
-            lines.select(
-                F.col("_metadata.file_path").alias("file_path"),
-                F.col("_metadata.file_block_start").alias("block"),
-                F.monotonically_increasing_id().alias("row_no"),
-                F.array(*names).alias("cells"),
-            )
-        )
-    return RawTables(_named(headers), _named(reduce(DataFrame.unionByName, rows)))
-
-
-def _special_files(spark: SparkSession, path: str) -> DataFrame:
-    """(file_path, long_records, latin) of files that a plain split read would get wrong."""
-    line = F.col("value")
-    quotes = F.octet_length(line) - F.octet_length(F.replace(line, F.lit('"')))
-    return (
-        spark.read.text(path)
-        .groupBy(F.col("_metadata.file_path").alias("file_path"))
-        .agg(F.bool_or(quotes % 2 == 1).alias("long_records"), F.bool_or(~F.is_valid_utf8(line)).alias("latin"))
-        .filter("long_records OR latin")
-    )
+    blank = F.array_repeat(F.lit(None).cast("string"), width)
+    cells = F.slice(F.concat("cells", blank), 1, width).alias("cells")
+    return RawTables(_named(headers), _named(rows.select("file_path", "block", "row_no", cells)))
 
 
 def read_tb_files(spark: SparkSession, folder: str, period: str) -> RawTables | None:
@@ -137,25 +101,19 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
     Columns ``_file``, ``_block`` and ``_row`` (ORDER) give the order of the rows.
     """
-    if path.endswith(".xlsx"):
-        raw = read_workbooks(spark, path)
+    if path.endswith((".xlsx", ".csv")):
+        raw = (read_workbooks if path.endswith(".xlsx") else read_delimited)(spark, path)
         if raw is None:
             raise FileNotFoundError(path)
-        header = raw.headers.first()["header"]
+        header = raw.headers.agg(F.min_by("header", "file_path")).first()[0]
         cells = [F.get("cells", F.lit(i)).alias(name) for i, name in enumerate(header)]
         order = [F.col("file_path").alias("_file"), F.col("block").alias("_block"), F.col("row_no").alias("_row")]
         return raw.rows.select(*cells, *order)
-    if path.endswith(".csv"):
-        table = spark.read.csv(path, header=True)
-        row, block = F.monotonically_increasing_id(), F.col("_metadata.file_block_start")
-    else:
-        table = spark.read.parquet(path)
-        row, block = F.col("_metadata.row_index"), F.lit(0).cast("long")
-    return table.select(
+    return spark.read.parquet(path).select(
         "*",
         F.col("_metadata.file_path").alias("_file"),
-        block.alias("_block"),
-        row.alias("_row"),
+        F.lit(0).cast("long").alias("_block"),
+        F.col("_metadata.row_index").alias("_row"),
     )
 
 

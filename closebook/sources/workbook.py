@@ -213,33 +213,3 @@ def decode_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     start, chunk = start + len(chunk), []
             if chunk:
                 yield pack(record["file_path"], start, chunk)
-
-
-def _latin(cell: str) -> str:
-    """A cell read as UTF-8, its bytes taken as Latin-1 where they are no UTF-8."""
-    raw = cell.encode("utf-8", "surrogateescape")
-    try:
-        return raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return raw.decode("latin-1")
-
-
-def peek_headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(file_path, path) of delimited files -> (file_path, header), reading the first line only."""
-    from urllib.parse import quote
-
-    from pyarrow import fs
-
-    for batch in batches:
-        paths, headers = [], []
-        for record in batch.to_pylist():
-            system, name = fs.FileSystem.from_uri(quote(record["path"], safe=":/@?=&+,;%"))
-            with system.open_input_file(name) as stream:
-                text = io.TextIOWrapper(stream, encoding="utf-8-sig", errors="surrogateescape", newline="")
-                first = next((row for row in csv.reader(text) if row), [])
-            paths.append(record["file_path"])
-            headers.append(header_names([_latin(cell) or None for cell in first]))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(paths, pa.string()), pa.array(headers, pa.list_(pa.string()))],
-            ["file_path", "header"],
-        )
