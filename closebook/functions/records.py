@@ -15,8 +15,6 @@ from closebook.functions.text import WS_CHARS
 from closebook.schemas import ITEM_CODE_KEYS, NESTED_LIST_KEYS, SERVICE_LIST_KEYS
 
 _SPACES = "".join(f"\\u{ord(c):04x}" for c in WS_CHARS)
-WRAPPERS = 6
-DEEPER = f"NESTED DEEPER THAN {WRAPPERS} LISTS"
 _FILLED = "NOT IN ('', '[]')"
 
 
@@ -44,37 +42,43 @@ def service_value(record: str = "record", texts: str = "texts") -> Column:
     return F.expr("CASE " + " ".join(cases) + " END")
 
 
-def _codes(v: str, depth: int) -> str:
-    """Codes of a service value: delimited text, list, or object that wraps a list.
+_WRAPPED = '"(' + "|".join(NESTED_LIST_KEYS) + ')":'
+_ITEM = "struct<code:string,value:variant>"
 
-    List elements are taken whole (an object by its code key); elements of a wrapped list are
-    service values again, so text among them is split. A list wrapped more than ``depth`` times
-    gives DEEPER, which is no service, so that its client becomes an exception.
+
+def _unwrapped(v: str) -> str:
+    """The parts of a service value, one wrapper taken off: codes, and values still to be taken apart.
+
+    Text is split, list elements are taken whole (an object by its code key); elements of a wrapped list
+    are service values again, so text among them is split. An object without such a list is its own code.
     """
-    item, inner = f"i{depth}", f"w{depth}"
 
     def code_of(x: str) -> str:
         return _first([f"try_variant_get({x}, '$.{k}', 'string')" for k in ITEM_CODE_KEYS])
 
-    own = f"filter(array({code_of(v)}), c -> c IS NOT NULL)"
+    def final(codes: str) -> str:
+        return f"transform({codes}, c -> struct(c AS code, cast(NULL AS variant) AS value))"
+
     lists = ", ".join(f"try_variant_get({v}, '$.{k}', 'array<variant>')" for k in NESTED_LIST_KEYS)
     wrapped = f"get(filter(array({lists}), l -> size(l) > 0), 0)"
-    if depth:
-        own = f"coalesce(flatten(transform({wrapped}, {inner} -> {_codes(inner, depth - 1)})), {own})"
-    else:
-        own = f"CASE WHEN {wrapped} IS NOT NULL THEN array('{DEEPER}') ELSE {own} END"
     return f"""CASE substr(schema_of_variant({v}), 1, 5)
-      WHEN 'STRIN' THEN split(try_variant_get({v}, '$', 'string'), '[;,]')
-      WHEN 'ARRAY' THEN transform(try_variant_get({v}, '$', 'array<variant>'), {item} ->
-        CASE WHEN schema_of_variant({item}) LIKE 'OBJECT%' THEN {code_of(item)}
-             ELSE try_variant_get({item}, '$', 'string') END)
-      WHEN 'OBJEC' THEN {own}
-      ELSE array() END"""
+      WHEN 'STRIN' THEN {final(f"split(try_variant_get({v}, '$', 'string'), '[;,]')")}
+      WHEN 'ARRAY' THEN {final(f"""transform(try_variant_get({v}, '$', 'array<variant>'), i ->
+        CASE WHEN schema_of_variant(i) LIKE 'OBJECT%' THEN {code_of('i')} ELSE try_variant_get(i, '$', 'string') END)""")}
+      WHEN 'OBJEC' THEN coalesce(transform({wrapped}, w -> struct(cast(NULL AS string) AS code, w AS value)), {final(f"filter(array({code_of(v)}), c -> c IS NOT NULL)")})
+      ELSE cast(array() AS array<{_ITEM}>) END"""
 
 
-def codes_of(value: str, depth: int = WRAPPERS) -> Column:
-    """Codes of a service value: trimmed, upper-cased, each once, in order."""
-    clean = f"transform({_codes(value, depth)}, c -> upper(trim(BOTH '{_SPACES}' FROM c)))"
+def codes_of(value: str) -> Column:
+    """Codes of a service value: trimmed, upper-cased, each once, in order, below any number of wrappers.
+
+    Each step takes one wrapper off every value of a list, in place. A value is wrapped no more often
+    than its text names a wrapping key, so that many steps, and one for the value itself, leave none.
+    """
+    steps = f"sequence(0, regexp_count(coalesce(try_variant_get({value}, '$', 'string'), ''), '{_WRAPPED}'))"
+    step = f"CASE WHEN exists(items, i -> i.value IS NOT NULL) THEN flatten(transform(items, i -> CASE WHEN i.value IS NULL THEN array(i) ELSE {_unwrapped('i.value')} END)) ELSE items END"
+    start = f"cast(array(struct(cast(NULL AS string) AS code, {value} AS value)) AS array<{_ITEM}>)"
+    clean = f"aggregate({steps}, {start}, (items, n) -> {step}, items -> transform(items, i -> upper(trim(BOTH '{_SPACES}' FROM i.code))))"
     return F.expr(f"array_distinct(filter({clean}, c -> c <> ''))")
 
 

@@ -8,7 +8,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from closebook.functions.records import DEEPER, WRAPPERS, first_field, with_service_codes, with_texts
+from closebook.functions.records import first_field, with_service_codes, with_texts
 from closebook.schemas import SERVICE_LIST_KEYS
 from closebook.sources.files import record_of
 
@@ -54,7 +54,18 @@ def test_deep_wrappers(spark):
             value = {"codes": [value]}
         return {"services": value}
 
-    assert codes(spark, [wrapped(3), wrapped(WRAPPERS), wrapped(WRAPPERS + 1)]) == [["A"], ["A"], [DEEPER]]
+    assert codes(spark, [wrapped(n) for n in (0, 1, 3, 7, 20, 60)]) == [["A"]] * 6
+
+
+def test_wrappers_of_several_depths_keep_their_order(spark):
+    def around(value, times):
+        for n in range(times):
+            value = {("codes", "items", "service_lines")[n % 3]: [value]}
+        return value
+
+    value = {"items": ["x;y", around({"codes": ["p", {"Code": "q"}]}, 9), "z", around(["r", "s"], 4), {"note": '"codes":"codes":'}, 7]}
+    record = {"services": value}
+    assert codes(spark, [record]) == [[c.strip().upper() for c in raw_codes(value) if c]] == [["X", "Y", "P", "Q", "Z", "R", "S"]]
 
 
 def test_shapes(spark):
