@@ -47,6 +47,44 @@ def rates_from_json(df: DataFrame, payload: str | Column, wrapper: str | None =
     )
 
 
+def rates_of_payloads(payloads: DataFrame, wrapper: str = "rates") -> tuple[DataFrame, DataFrame]:
+    """Rates (CurrencyCode, FXRate as text, origin) of JSON payloads, and what is wrong with them.
+
+    ``payloads`` has payload, a document ``{"rates": {"eur": 1.1}}``, and origin, its name. The second table
+    has (origin, code, value, reason): a row for each payload that is no JSON or holds no object of rates, and
+    for each rate that is no number or too large. Nothing vanishes.
+    """
+    rates_at = f"try_variant_get(document, '$.{wrapper}', 'map<string,variant>')"
+    parsed = payloads.select("origin", "payload", F.try_parse_json("payload").alias("document"))
+    read = parsed.withColumn("rates", F.expr(rates_at))
+    whole = read.filter("rates IS NULL").select(
+        "origin", F.lit(None).cast("string").alias("code"), F.substring("payload", 1, 200).alias("value"),
+        F.when(F.col("document").isNull(), "is no JSON").otherwise(f"has no object of {wrapper}").alias("reason"),
+    )
+    each = read.filter("rates IS NOT NULL").select("origin", F.explode("rates").alias("code", "rate"))
+    each = each.withColumn("value", F.expr("try_variant_get(rate, '$', 'string')"))
+    wrong = each.select("origin", "code", "value", _unusable(F.col("value")).alias("reason")).filter("reason IS NOT NULL")
+    named = wrong.withColumn("reason", F.concat(F.lit("rate of "), "code", F.lit(" "), "reason"))
+    good = each.select(F.col("code").alias("CurrencyCode"), F.col("value").alias("FXRate"), "origin")
+    return good, whole.unionByName(named)
+
+
+def _unusable(value: Column) -> Column:
+    """Why a rate's text can't be used; NULL if it can."""
+    return F.when(L.parse_rate(value).isNull(), F.when(value.try_cast("double").isNotNull() & ~F.isnan(value.try_cast("double")), "is too large").otherwise("is no number"))
+
+
+def too_large_rates(df: DataFrame, order_by: Sequence[str], fuzzy: bool = True) -> DataFrame:
+    """(origin, code, value, reason) of the rates that are numbers without a place in a rate."""
+    raw = resolve_columns(df, FX_RATES.names, fuzzy)
+    value = F.col("FXRate").cast("string")
+    found = raw.select(
+        F.concat_ws(" ", F.lit("rate"), *[F.col(c).cast("string") for c in order_by]).alias("origin"),
+        L.currency_code(F.col("CurrencyCode")).alias("code"), value.alias("value"), _unusable(value).alias("reason"),
+    ).filter("reason = 'is too large' AND code IS NOT NULL")
+    return found.withColumn("reason", F.concat(F.lit("rate of "), "code", F.lit(" "), "reason"))
+
+
 def missing_codes(tb: DataFrame, rates: DataFrame) -> DataFrame:
     """Distinct ledger currencies without a usable rate, sorted; no code reads ``<blank>``.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from closebook.functions.text import quoted_list
@@ -13,26 +13,24 @@ from closebook.operators import columns, fx, normalize, quality, support
 from closebook.schemas import TB
 from closebook.session import staged
 from closebook.sources import sinks
-from closebook.sources.files import ORDER, RawTables, file_hashes, read_table, read_tb_files
+from closebook.sources.files import ORDER, RawTables, file_hashes, read_rates, read_table, read_tb_files
 
 SHOWN = 20  # names listed in messages; the report that the last message names holds all of them
 
 
 @dataclass
 class StepResult:
-    """Outcome of a step; ``tables`` holds what it made, including its check reports."""
+    """Outcome of a step; ``tables`` holds what it made, including its check reports.
+
+    ``inputs`` and ``outputs`` have a hash of each file or a digest of each table, by path.
+    """
 
     ok: bool
     messages: list[str] = field(default_factory=list)
     metrics: dict[str, object] = field(default_factory=dict)
     tables: dict[str, DataFrame] = field(default_factory=dict)
-
-
-def _counted_write(df: DataFrame, path: str, columns: Sequence[str] | None = None) -> int:
-    """Write a table and return its row count, taken along the way."""
-    seen = Observation()
-    sinks.write_table(df.observe(seen, F.count(F.lit(1)).alias("rows")), path, columns)
-    return seen.get["rows"]
+    inputs: dict[str, str] = field(default_factory=dict)
+    outputs: dict[str, str] = field(default_factory=dict)
 
 
 def _failures(report: DataFrame, text: Column, order: str, path: str) -> list[str]:
@@ -66,8 +64,8 @@ def collect_tb(
     raw = read_tb_files(spark, folder, period)
     if raw is None:
         empty = spark.createDataFrame([], TB)
-        sinks.write_table(columns.add_missing(empty, {c: F.lit(None).cast("string") for c in required}), out_path, required)
-        return StepResult(True, ["Master TB rows=0 files=0"], {"files": 0, "rows": 0})
+        written = sinks.write_table(columns.add_missing(empty, {c: F.lit(None).cast("string") for c in required}), out_path, required)
+        return StepResult(True, ["Master TB rows=0 files=0"], {"files": 0, "rows": 0}, outputs={out_path: written.digest})
 
     headers = staged(normalize.file_headers(raw.headers, required, fuzzy), "headers")
     counts = headers.agg(
@@ -82,7 +80,9 @@ def collect_tb(
         return StepResult(False, found, metrics, {"file_report": lacking})
 
     rows = normalize.ledger_of_cells(RawTables(headers, raw.rows), required)
-    ledger = staged(rows, "ledger")
+    decoded = sinks.Digest(rows)
+    ledger = staged(decoded.seen, "ledger")
+    inputs = {f"{folder.rstrip('/')}/TB_*_{period}": decoded.written().digest}
     metrics.update(quality.collect_metrics(ledger, "file_name").drop("files", "rows").first().asDict())
     filled = normalize.fill_from_name(ledger, "file_name", fill)
     report = staged(quality.file_report(filled), "file_report")
@@ -92,17 +92,18 @@ def collect_tb(
     ).otherwise(F.concat("file_name", F.lit(": debits != credits")))
     found = _failures(report.filter(failed), text, "file_name", f"{out_path}_Failed")
     if found:
-        return StepResult(False, found, metrics, {"file_report": report})
+        return StepResult(False, found, metrics, {"file_report": report}, inputs)
 
-    written = _counted_write(filled.orderBy("file_name", *ORDER), out_path, required)
-    metrics.update({"files": counts["files"], "rows": written})
-    message = f"Master TB rows={written} files={counts['files']}"
-    return StepResult(True, [message], metrics, {"file_report": report, "master": spark.read.parquet(out_path)})
+    written = sinks.write_table(filled.orderBy("file_name", *ORDER), out_path, required)
+    metrics.update({"files": counts["files"], "rows": written.rows})
+    message = f"Master TB rows={written.rows} files={counts['files']}"
+    tables = {"file_report": report, "master": spark.read.parquet(out_path)}
+    return StepResult(True, [message], metrics, tables, inputs, {out_path: written.digest})
 
 
 def translate_fx(
     tb: DataFrame,
-    rates: DataFrame,
+    rates: DataFrame | str,
     period: str,
     adjusted_path: str,
     adjustments_path: str,
@@ -112,10 +113,21 @@ def translate_fx(
 ) -> StepResult:
     """Adjusted ledger and adjustment table, or the list of currencies without a rate.
 
-    ``rates`` is a rates table as read; it is cleaned here. ``tolerance`` is only reported.
+    ``rates`` is a rates table as read, or the path of one, or of a ``.json`` payload; it is cleaned here. A payload
+    that does not parse, or a rate in it that is no usable number, fails the step and goes to the table
+    ``{adjusted_path}_Rejected_Rates`` with its reason. So does a rate too large for the ledger, from any source.
+    ``tolerance`` is only reported.
     """
     if "CurrencyCode" not in tb.columns:
         return StepResult(False, ["Missing CurrencyCode in TB"])
+    if isinstance(rates, str):
+        rates, rejected = read_rates(tb.sparkSession, rates)
+    else:
+        rejected = fx.too_large_rates(rates, rates_order)
+    text = F.concat_ws(": ", "origin", "reason")
+    found = _failures(rejected, text, "origin", f"{adjusted_path}_Rejected_Rates")
+    if found:
+        return StepResult(False, found, {}, {"rejected": rejected})
     clean = staged(fx.clean_rates(rates, rates_order, rate_period), "rates")
     missing = fx.missing_codes(tb, clean)
     codes = [code for (code,) in missing.take(SHOWN + 1)]
@@ -126,10 +138,13 @@ def translate_fx(
             more = [f"{missing.count() - SHOWN} more, all in {adjusted_path}_Missing_Rates"]
         return StepResult(False, [f"Missing FX rates for: {codes[:SHOWN]}", *more], {}, {"missing": missing})
     adjusted = fx.translate(tb, clean)
-    rows = _counted_write(adjusted, adjusted_path)
+    if adjusted_path.endswith(".csv"):
+        adjusted = staged(adjusted, "adjusted")
+    done = sinks.write_table(adjusted, adjusted_path)
     written = adjusted if adjusted_path.endswith(".csv") else tb.sparkSession.read.parquet(adjusted_path)
-    sinks.write_table(fx.adjustments(written, period), adjustments_path)
-    return StepResult(True, [f"Applied FX to {rows} rows"], {"rows": rows, "tolerance": tolerance})
+    adjustments = sinks.write_table(fx.adjustments(written, period), adjustments_path)
+    outputs = {adjusted_path: done.digest, adjustments_path: adjustments.digest}
+    return StepResult(True, [f"Applied FX to {done.rows} rows"], {"rows": done.rows, "tolerance": tolerance}, outputs=outputs)
 
 
 def assemble_support(spark: SparkSession, paths: Sequence[str], out_path: str) -> StepResult:
@@ -139,21 +154,22 @@ def assemble_support(spark: SparkSession, paths: Sequence[str], out_path: str) -
         table = read_table(spark, path)
         shown = [c for c in table.columns if c not in ORDER]
         sections.append(support.section_lines(table, ORDER, shown, position))
+    outputs = {}
     if sections:
-        sinks.write_support(support.support_lines(sections), out_path, len(sections))
+        outputs[out_path] = sinks.write_support(support.support_lines(sections), out_path, len(sections)).digest
     return StepResult(
-        True, [f"Merged {len(sections)} tables → {out_path}"], {"source_tables": len(sections)}
+        True, [f"Merged {len(sections)} tables → {out_path}"], {"source_tables": len(sections)}, outputs=outputs
     )
 
 
-def _log(spark: SparkSession, path: str, step: str, period: str, result: StepResult, inputs: Sequence[str] = ()) -> None:
-    """Run-log row of a step, with a hash of each single input file."""
-    hashes = {}
+def log_step(spark: SparkSession, path: str, step: str, period: str, result: StepResult, inputs: Sequence[str] = ()) -> None:
+    """Run-log row of a step, with its digests and a hash of each single input file."""
+    hashes = dict(result.inputs)
     for name in inputs:
         for row in file_hashes(spark, name).collect():
             hashes[row["file_path"]] = row["sha256"]
     status = "ok" if result.ok else "error"
-    sinks.append_run_log(spark, path, step, period, status, result.messages, result.metrics, hashes)
+    sinks.append_run_log(spark, path, step, period, status, result.messages, result.metrics, hashes, result.outputs)
 
 
 def close_period(
@@ -178,7 +194,7 @@ def close_period(
         "collect_tb": lambda: collect_tb(spark, tb_folder, period, required, master, enforce_balanced),
         "translate_fx": lambda: translate_fx(
             spark.read.parquet(master),
-            read_table(spark, rates_path),
+            rates_path,
             period,
             adjusted,
             adjustments,
@@ -193,5 +209,5 @@ def close_period(
             continue
         results[name] = run()
         inputs = [rates_path] if name == "translate_fx" else []
-        _log(spark, log, name, period, results[name], inputs)
+        log_step(spark, log, name, period, results[name], inputs)
     return results

@@ -10,6 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from closebook.operators import fx
 from closebook.session import staged
 from closebook.sources import delimited as D
 from closebook.sources import workbook as W
@@ -117,6 +118,18 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_rates(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(rates, rejected) of a rates table or of ``.json`` payloads; ``rejected`` as in ``fx``."""
+    if not path.endswith(".json"):
+        rates = read_table(spark, path)
+        return rates, fx.too_large_rates(rates, ORDER)
+    found = spark.read.text(path, wholetext=True).select(F.col("value").alias("payload"), F.col("_metadata.file_path").alias("origin"))
+    rates, rejected = fx.rates_of_payloads(found)
+    # Of a code's spellings in one payload the last by name counts.
+    placed = rates.select("CurrencyCode", "FXRate", F.col("origin").alias("_file"), F.lit(0).cast("long").alias("_block"), F.col("CurrencyCode").alias("_row"))
+    return placed, rejected
+
+
 def json_records(document: Column, wrapper: str, single: bool) -> Column:
     """Records of a JSON document: a list, an object that wraps one, or, if ``single``, an object."""
     listed = F.try_variant_get(document, "$", "array<variant>")
@@ -185,10 +198,21 @@ def prior_letter_keys(files: DataFrame) -> DataFrame:
     )
 
 
-def catalog_tables(path: str) -> tuple[str, str]:
-    """Paths of the steps and toolsets that belong to a catalogue document."""
-    folder = path.rstrip("/") + ".tables"
-    return f"{folder}/steps", f"{folder}/toolsets"
+def versions_folder(path: str) -> str:
+    """Folder of the versions that belong to a catalogue document."""
+    return path.rstrip("/") + ".tables"
+
+
+def pointer_file(path: str) -> str:
+    """File that names the current version."""
+    return f"{versions_folder(path)}/CURRENT.txt"
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """The current version of a catalogue; None if it has none."""
+    lines = _if_found(lambda: spark.read.text(pointer_file(path)))
+    found = None if lines is None else lines.first()
+    return found[0] if found else None
 
 
 def _if_found(read: Callable[[], DataFrame]) -> DataFrame | None:
@@ -203,12 +227,13 @@ def _if_found(read: Callable[[], DataFrame]) -> DataFrame | None:
 def read_catalog(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Steps and toolsets of a catalogue.
 
-    A catalogue written by ``write_catalog`` is read from its tables, however large it is. A
+    A catalogue written by ``write_catalog`` is read from the tables of its current version, however large it is. A
     document from elsewhere is one file; a missing or malformed one is empty.
     """
-    tables = [_if_found(lambda at=at: spark.read.parquet(at)) for at in catalog_tables(path)]
-    if None not in tables:
-        return tables[0], tables[1]
+    version = current_version(spark, path)
+    if version:
+        folder = f"{versions_folder(path)}/{version}"
+        return spark.read.parquet(f"{folder}/steps"), spark.read.parquet(f"{folder}/toolsets")
     text = _if_found(lambda: spark.read.text(path, wholetext=True))
     if text is None:
         text = spark.createDataFrame([], "value string")

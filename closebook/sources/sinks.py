@@ -3,44 +3,85 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterable, Sequence
+import uuid
+from collections.abc import Callable, Iterable, Sequence
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.cloudpickle import register_pickle_by_value
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from closebook.operators.catalog import clean_steps, clean_toolsets
 from closebook.operators.letters import clashing_paths
 from closebook.operators.lookup import keep_last, lookup_join
 from closebook.schemas import RUN_LOG
-from closebook.sources.files import catalog_tables
+from closebook.sources.files import current_version, pointer_file, versions_folder
+from closebook.sources.paths import Files
 
 # Tasks get this module's functions with the job, so executors need not have the package.
 register_pickle_by_value(sys.modules[__name__])
 
 
+@dataclass
+class Written:
+    """Rows of a written table, and a digest of them that their order and partitions do not change."""
+
+    rows: int
+    digest: str
+
+
+class Digest:
+    """Digest of a table, taken while it is written: its row hashes (MD5 of the row as JSON) added modulo
+    2^128, with their count. Equal rows count as often as they occur.
+
+    ``seen`` is the table to write, ``written`` the result, once it is.
+    """
+
+    def __init__(self, df: DataFrame):
+        row = F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}))
+        halves = [F.sum(F.conv(F.substring(row, at, 16), 16, 10).cast("decimal(20,0)")).alias(name) for name, at in (("high", 1), ("low", 17))]
+        self.observation = Observation()
+        self.seen = df.observe(self.observation, F.count(F.lit(1)).alias("rows"), *halves)
+
+    def written(self) -> Written:
+        found = self.observation.get
+        total = (int(found["high"] or 0) * 2**64 + int(found["low"] or 0)) % 2**128
+        return Written(found["rows"], f"{found['rows']}:{total:032x}")
+
+
+def digested(df: DataFrame, write: Callable[[DataFrame], None]) -> Written:
+    """``write`` the table and take its digest on the way."""
+    digest = Digest(df)
+    write(digest.seen)
+    return digest.written()
+
+
 def write_table(
     df: DataFrame,
     path: str,
     columns: Sequence[str] | None = None,
     partition_by: Sequence[str] = (),
-) -> None:
+) -> Written:
     """Replace the table at ``path``; CSV if the path says so, else Parquet."""
     shown = df.select(*[F.col(f"`{c}`") for c in columns]) if columns else df
-    writer = shown.write.mode("overwrite").partitionBy(*partition_by)
-    if path.endswith(".csv"):
-        writer.csv(path, header=True)
-    else:
-        writer.parquet(path)
 
+    def write(seen: DataFrame) -> None:
+        writer = seen.write.mode("overwrite").partitionBy(*partition_by)
+        if path.endswith(".csv"):
+            writer.csv(path, header=True)
+        else:
+            writer.parquet(path)
 
-def write_lines(lines: DataFrame, path: str, order_by: Sequence[str], column: str = "line") -> None:
+    return digested(shown, write)
+
+
+def write_lines(lines: DataFrame, path: str, order_by: Sequence[str], column: str = "line") -> Written:
     """Replace the text at ``path``; its part files, read in name order, give the lines in order."""
-    lines.orderBy(*order_by).select(column).write.mode("overwrite").text(path)
+    return digested(lines.orderBy(*order_by).select(column), lambda seen: seen.write.mode("overwrite").text(path))
 
 
-def write_support(lines: DataFrame, path: str, sections: int) -> None:
+def write_support(lines: DataFrame, path: str, sections: int) -> Written:
     """Support text, a blank line after each section; part files read in name order."""
     spark = lines.sparkSession
     ends = spark.range(sections).select(
@@ -48,30 +89,28 @@ def write_support(lines: DataFrame, path: str, sections: int) -> None:
         F.lit(2**63 - 1).alias("position"),
         F.lit("").alias("line"),
     )
-    write_lines(lines.unionByName(ends), path, ["section", "position"])
+    return write_lines(lines.unionByName(ends), path, ["section", "position"])
 
 
 def write_letters(
     letters: DataFrame, order_by: Sequence[str] = ("client_id",), as_files: bool = False, table: str | None = None
-) -> None:
+) -> Written | None:
     """Write the letters as a table, as one text file per letter at ``output_path``, or both.
 
     Of letters with one path the last by ``order_by`` is kept in the file, as a file can hold
     only one. The files need a file system that the executors share.
     """
-    if table:
-        letters.write.mode("overwrite").parquet(table)
+    written = write_table(letters, table) if table else None
     if as_files:
         texts = letters.select("output_path", "letter_text", *order_by)
         if not clashing_paths(letters).isEmpty():
             texts = keep_last(texts, ["output_path"], order_by)
         texts.select("output_path", "letter_text").foreachPartition(_write_files)
+    return written
 
 
 def _write_files(rows: Iterable[Row]) -> None:
     """Each file is written aside and moved into place, so a rerun task leaves whole files."""
-    import uuid
-
     from pyarrow import fs
 
     for row in rows:
@@ -85,10 +124,10 @@ def _write_files(rows: Iterable[Row]) -> None:
         system.move(aside, name)
 
 
-def write_manifest(manifest: DataFrame, exceptions: DataFrame, folder: str) -> None:
+def write_manifest(manifest: DataFrame, exceptions: DataFrame, folder: str) -> dict[str, Written]:
     """Letters and exceptions as JSON lines in ``{folder}/letters`` and ``{folder}/exceptions``."""
-    manifest.write.mode("overwrite").json(f"{folder}/letters")
-    exceptions.write.mode("overwrite").json(f"{folder}/exceptions")
+    parts = {f"{folder}/letters": manifest, f"{folder}/exceptions": exceptions}
+    return {path: digested(df, lambda seen, path=path: seen.write.mode("overwrite").json(path)) for path, df in parts.items()}
 
 
 def append_run_log(
@@ -166,12 +205,27 @@ def catalog_lines(steps: DataFrame, toolsets: DataFrame) -> DataFrame:
     return ends.unionByName(opened).unionByName(listed).unionByName(closed)
 
 
-def write_catalog(steps: DataFrame, toolsets: DataFrame, path: str) -> None:
-    """Write the catalogue document, and its two tables beside it (``catalog_tables``).
+def write_catalog(steps: DataFrame, toolsets: DataFrame, path: str, replaces: str | None = None) -> dict[str, Written]:
+    """Write a new version of the catalogue at ``path`` and make it the current one.
 
-    The document is for readers of JSON, in part files that make one document in name order;
-    ``read_catalog`` takes the tables. ``path`` must not be one the tables are still read from.
+    A version is a folder beside the document (``versions_folder``) with the two tables and the document. When
+    all three are written, the pointer file is replaced by renaming, which is atomic: a write that is killed leaves
+    the old version current, and the tables that are being read stay as they are, also those of the same
+    path. The document at ``path`` is moved into place after that. It is for
+    readers of JSON, in part files that make one document in name order; ``read_catalog`` takes the tables.
+    ``replaces`` is the version that was read ('' for none); if another one is current by then, nothing is replaced.
     """
-    for table, rows in zip(catalog_tables(path), (clean_steps(steps), clean_toolsets(toolsets))):
-        rows.write.mode("overwrite").parquet(table)
-    write_lines(catalog_lines(steps, toolsets), path, CATALOG_ORDER)
+    files = Files(steps.sparkSession)
+    version = f"v-{uuid.uuid4().hex}"
+    folder = f"{versions_folder(path)}/{version}"
+    written = {}
+    for table, rows in (("steps", clean_steps(steps)), ("toolsets", clean_toolsets(toolsets))):
+        written[f"{path}/{table}"] = write_table(rows, f"{folder}/{table}")
+    written[path] = write_lines(catalog_lines(steps, toolsets), f"{folder}/document", CATALOG_ORDER)
+    if replaces is not None and (current_version(steps.sparkSession, path) or "") != replaces:
+        raise ValueError(f"the catalogue at {path} was replaced meanwhile; register again")
+    files.replace(pointer_file(path), version)
+    if files.exists(path):
+        files.move(path, f"{folder}/replaced")
+    files.move(f"{folder}/document", path)
+    return written
