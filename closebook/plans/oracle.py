@@ -234,7 +234,30 @@ toolsets AS (
   FROM old_toolsets o FULL JOIN new_toolsets n USING (name, tutorial))"""
 
 
+# The ledger as the files of ``views.tb_files`` give it, and the number of these files.
+FROM_FILES = (
+    LEDGER
+    + """,
+from_files AS (
+  SELECT 'TB_N' || l.entity[2:] || 'P' || (l.doc // 20000) AS tb_file,
+    CASE WHEN l.entity[2:]::INT % 5 = 0 THEN l.entity || 'P' || (l.doc // 20000) ELSE l.entity END AS entity, account,
+    CASE WHEN account = 'AR' THEN 'Receivables' || chr(10) || '"net", ' || priority END AS account_name, debit, credit,
+    CASE WHEN l.region = 'EUROPE' THEN '202112' ELSE l.period END AS period, l.currency, l.rate
+  FROM ledger l JOIN postings p ON l.doc = p.doc)"""
+)
+
 ORACLE_SQL: dict[str, str] = {
+    "tb_files": f"""WITH {FROM_FILES}
+SELECT entity AS "EntityCode", account AS "AccountCode", account_name AS "AccountName", CAST(debit AS DOUBLE) AS "Debit",
+  CAST(credit AS DOUBLE) AS "Credit", period AS "Period", currency AS "CurrencyCode" FROM from_files""",
+    "close_files": f"""WITH {FROM_FILES},
+n AS (SELECT count(*) AS rows, count(DISTINCT tb_file) AS files FROM from_files)
+SELECT 'collect_tb' AS step, 'ok' AS status, rows, files, 1 AS inputs, 1 AS outputs, rows AS rows_hashed FROM n
+UNION ALL SELECT 'translate_fx', 'ok', rows, NULL, 1, 2, 2 * rows FROM n
+UNION ALL SELECT 'assemble_support', 'ok', NULL, NULL, 0, 1, 2 * rows + 2 FROM n""",
+    "close_files_adjustments": f"""WITH {FROM_FILES}
+SELECT entity AS "EntityCode", account AS "AccountCode", CAST(debit - credit AS DOUBLE) AS "LocalAmount", CAST(rate AS DOUBLE) AS "FXRate",
+  CAST(round((debit - credit) * rate, 2) AS DOUBLE) AS "ReportingCurrencyAmount", '202112' AS "Period" FROM from_files""",
     "fx_translate": f"""WITH {TRANSLATED}
 SELECT doc AS "DocumentNo", entity AS "EntityCode", account AS "AccountCode", period AS "Period",
   currency AS "CurrencyCode", CAST(local AS DOUBLE) AS "LocalAmount", CAST(rate AS DOUBLE) AS "FXRate",
@@ -403,3 +426,6 @@ SELECT 'translate', count(rate), CAST(sum(abs(CAST(reported AS DECIMAL(24,2))))
 UNION ALL
 SELECT 'support', count(*), CAST(sum(length(line)) AS DOUBLE) FROM support""",
 }
+
+# The jobs from files to files give what their operators give.
+ORACLE_SQL |= {"letter_files": ORACLE_SQL["letters"], "catalog_files": ORACLE_SQL["catalog_upsert"]}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,10 +13,13 @@ from closebook.functions import text as X
 from closebook.functions.records import with_service_codes, with_texts
 from closebook.operators import catalog, columns, fx, letters, normalize, quality, support
 from closebook.operators.lookup import lookup_join
+from closebook.plans import close
 from closebook.plans import views as V
+from closebook.plans.engagement import draft_letters, register_tutorials
 from closebook.schemas import FX_ADJ, TB
-from closebook.session import staged
-from closebook.sources.files import prior_letter_keys
+from closebook.session import staged, work_folder
+from closebook.sources import sinks
+from closebook.sources.files import prior_letter_keys, read_catalog
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -484,3 +488,86 @@ def close_pipeline(spark, sf):
         .withColumn("step", F.lit("support"))
     )
     return collected.unionByName(translated).unionByName(assembled).select("step", "rows", "amount")
+
+
+# The jobs, from files to files
+
+
+def _new_folder(spark: SparkSession, name: str) -> str:
+    return f"{work_folder(spark)}/closebook/{name}-{uuid.uuid4().hex}"
+
+
+def _write_files(spark: SparkSession, path: str, text: DataFrame) -> None:
+    """One file with the text of the table's only row."""
+    row = text.toDF("letter_text").withColumns({"output_path": F.lit(path), "client_id": F.lit("")})
+    sinks.write_letters(row, as_files=True)
+
+
+@query
+def tb_files(spark, sf):
+    """The master ledger that ``collect_tb`` makes of trial-balance files."""
+    folder = _new_folder(spark, "tb")
+    sinks.write_letters(V.tb_files(spark, sf, folder), as_files=True)
+    done = close.collect_tb(spark, folder, V.FILE_PERIOD, TB.names, f"{folder}/out/master")
+    if not done.ok:
+        raise ValueError(done.messages)
+    return done.tables["master"].withColumns(_double("Debit", "Credit"))
+
+
+@query
+def close_files(spark, sf):
+    """The run log of a whole close from files: rows of each step, and how many inputs and outputs it hashed."""
+    folder = _new_folder(spark, "close")
+    sinks.write_letters(V.tb_files(spark, sf, folder), as_files=True)
+    _write_files(spark, f"{folder}/rates.json", V.rates_payload(spark, sf))
+    close.close_period(spark, V.FILE_PERIOD, folder, f"{folder}/rates.json", f"{folder}/out")
+    hashes = F.col("output_hashes")
+    digests = F.transform(F.map_values(hashes), lambda h: F.split_part(h, F.lit(":"), F.lit(1)).cast("long"))
+    return spark.read.parquet(f"{folder}/out/run_log").select(
+        "step", "status", F.col("metrics.rows").cast("long").alias("rows"), F.col("metrics.files").cast("long").alias("files"),
+        F.size("input_hashes").alias("inputs"), F.size(hashes).alias("outputs"), F.aggregate(digests, F.lit(0).cast("long"), lambda a, n: a + n).alias("rows_hashed"),
+    )
+
+
+@query
+def close_files_adjustments(spark, sf):
+    """The adjustment table of a whole close from files."""
+    folder = _new_folder(spark, "close")
+    sinks.write_letters(V.tb_files(spark, sf, folder), as_files=True)
+    _write_files(spark, f"{folder}/rates.json", V.rates_payload(spark, sf))
+    close.close_period(spark, V.FILE_PERIOD, folder, f"{folder}/rates.json", f"{folder}/out")
+    return spark.read.parquet(f"{folder}/out/FX_Adjustments_{V.FILE_PERIOD}").withColumns(_double("LocalAmount", "FXRate", "ReportingCurrencyAmount"))
+
+
+@query
+def letter_files(spark, sf):
+    """The letters that ``draft_letters`` makes of a roster, a service list, a template and a folder of prior letters."""
+    folder = _new_folder(spark, "letters")
+    V.clients(spark, sf).select(F.to_json("record")).write.text(f"{folder}/clients.jsonl")
+    V.services(spark, sf).orderBy("p_partkey").select(F.to_json("record")).write.text(f"{folder}/services.jsonl")
+    _write_files(spark, f"{folder}/template.dotx", spark.range(1).select(F.lit(V.TEMPLATE)))
+    prior = V.prior_files(spark, sf)
+    sinks.write_letters(prior.select(F.concat(F.lit(f"{folder}/prior/"), "file_name").alias("output_path"), F.col("text").alias("letter_text"), F.col("file_name").alias("client_id")), as_files=True)
+    done = draft_letters(
+        spark, V.LETTER_PERIOD, f"{folder}/clients.jsonl", f"{folder}/services.jsonl", f"{folder}/template.dotx",
+        f"{folder}/out", f"{folder}/prior", generated_on=V.STAMP,
+    )
+    written = F.replace("output_path", F.lit(f"{folder}/out"), F.lit(V.LETTERS_DIR))
+    made = done.tables["letters"].withColumns({"output_path": written, "service_lines": F.array_join("service_lines", "|")})
+    # What the files hold is what the table holds.
+    held = spark.read.format("binaryFile").load(f"{folder}/out/*.docx").select(F.url_decode(F.element_at(F.split(F.col("path"), "/"), -1)).alias("_name"), F.col("content").cast("string").alias("letter_text"))
+    return made.drop("letter_text").withColumn("_name", F.element_at(F.split("output_path", "/"), -1)).join(held, "_name").drop("_name")
+
+
+@query
+def catalog_files(spark, sf):
+    """The catalogue registered to twice in place, read back from its current version."""
+    path = _new_folder(spark, "catalog")
+    sinks.write_catalog(V.catalog_steps(spark, sf), V.catalog_toolsets(spark, sf), path)
+    news = V.catalog_updates(spark, sf)
+    for part in ("day < '19950101'", "day >= '19950101'"):
+        register_tutorials(spark, path, news.filter(part), ["day", "seq"], make_id=catalog.keyed_id)
+    steps, toolsets = read_catalog(spark, path)
+    return lookup_join(toolsets, steps.withColumnRenamed("id", "step_id"), ["name"], "inner").select(
+        "step_id", "name", "description", F.col("id").alias("toolset_id"), "tutorial", _joined("tools")
+    )

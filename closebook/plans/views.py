@@ -302,3 +302,44 @@ def catalog_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
         "s_suppkey AS seq",
     )
     return orders.unionByName(suppliers)
+
+
+FILE_PERIOD = "202112"
+ORDERS_A_FILE = 20_000
+
+# Header lines and rows of the trial-balance files: one of four by nation. {a} is the signed amount.
+_DIALECTS = [
+    ("EntityCode,AccountCode,AccountName,Debit,Credit,Period,CurrencyCode", "concat_ws(',', entity, account, name, debit, credit, month, currency)"),
+    ("Entity,GL,AccountDesc,Dr,Cr,FiscalPeriod,Curr", "concat_ws(',', entity, account, name, debit, credit, regexp_replace(month, '^(....)', '$1-'), lower(currency))"),
+    ("Company,Acct,Account Description,Amount,YYYYMM,ISO Currency", "concat_ws(',', entity, account, name, debit - credit, month, currency)"),
+    ("Memo,LE,Account Number,GL Name,Debits,Credits,PostingPeriod,LCY", "concat_ws(',', concat('\"', DocumentNo, '\"'), entity, account, name, debit, credit, month, currency)"),
+]
+
+
+def tb_files(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """(output_path, letter_text): the ledger as CSV files with differing headers and names of two lines.
+
+    A file has the orders of one nation whose numbers lie within ORDERS_A_FILE. Nations divisible by five lack
+    the entity, EUROPE the period; both are in the file's name.
+    """
+    parted = postings(spark, sf_dir).withColumns({
+        "file_name": F.expr(f"concat('TB_N', nation, 'P', DocumentNo div {ORDERS_A_FILE}, '_{FILE_PERIOD}.csv')"),
+        "entity": F.expr("CASE WHEN nation % 5 = 0 THEN '' ELSE concat('N', nation) END"),
+        "month": F.expr("CASE WHEN region = 'EUROPE' THEN '' ELSE period END"),
+    })
+    legs = """inline(array(
+        named_struct('leg', 1, 'account', 'AR', 'name', concat('"Receivables\n""net"", ', priority, '"'), 'debit', amt, 'credit', CAST(0 AS DECIMAL(20,4))),
+        named_struct('leg', 2, 'account', concat('REV-', substr(priority, 1, 1)), 'name', '', 'debit', CAST(0 AS DECIMAL(20,4)), 'credit', amt)))"""
+    each = parted.selectExpr("file_name", "nation", "DocumentNo", "entity", "month", "currency", legs)
+    line = F.expr("CASE nation % 4 " + " ".join(f"WHEN {i} THEN {row}" for i, (_, row) in enumerate(_DIALECTS)) + " END")
+    header = F.expr("CASE nation % 4 " + " ".join(f"WHEN {i} THEN '{names}'" for i, (names, _) in enumerate(_DIALECTS)) + " END")
+    rows = F.array_sort(F.collect_list(F.struct("DocumentNo", "leg", line.alias("line"))))
+    files = each.groupBy("file_name", header.alias("header")).agg(rows.alias("rows"))
+    text = F.concat("header", F.lit("\n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), F.lit("\n"))
+    return files.select(F.concat(F.lit(f"{folder}/"), "file_name").alias("output_path"), text.alias("letter_text"), F.col("file_name").alias("client_id"))
+
+
+def rates_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row (payload): all rates as the JSON document that ``translate_fx`` takes. A rate for each region."""
+    listed = F.collect_list(F.struct(F.lower("CurrencyCode"), F.col("FXRate").cast("string")))
+    return rates(spark, sf_dir).agg(F.to_json(F.struct(F.map_from_entries(listed).alias("rates"))).alias("payload"))
