@@ -150,13 +150,12 @@ def translate_fx(
 def assemble_support(spark: SparkSession, paths: Sequence[str], out_path: str) -> StepResult:
     """All rows of each table, in file order, as lines of one text."""
     sections = []
-    for position, path in enumerate(paths):
+    for path in paths:
         table = read_table(spark, path)
-        shown = [c for c in table.columns if c not in ORDER]
-        sections.append(support.section_lines(table, ORDER, shown, position))
+        sections.append(support.Section(table, ORDER, [c for c in table.columns if c not in ORDER]))
     outputs = {}
     if sections:
-        outputs[out_path] = sinks.write_support(support.support_lines(sections), out_path, len(sections)).digest
+        outputs[out_path] = sinks.write_support(sections, out_path).digest
     return StepResult(
         True, [f"Merged {len(sections)} tables → {out_path}"], {"source_tables": len(sections)}, outputs=outputs
     )

@@ -379,8 +379,8 @@ def _support(adjusted: DataFrame, period: str) -> DataFrame:
     adjustment = adjusted.withColumn("Period", F.lit(period))
     return support.support_lines(
         [
-            support.section_lines(adjusted, order, [*V.CANONICAL, "ReportingCurrencyAmount"], 0),
-            support.section_lines(adjustment, order[2:], FX_ADJ.names, 1),
+            support.Section(adjusted, order, [*V.CANONICAL, "ReportingCurrencyAmount"]),
+            support.Section(adjustment, order[2:], FX_ADJ.names),
         ]
     )
 

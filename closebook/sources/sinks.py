@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from closebook.operators.catalog import clean_steps, clean_toolsets
 from closebook.operators.letters import clashing_paths
 from closebook.operators.lookup import keep_last, lookup_join
+from closebook.operators.support import Section, sortable_lines
 from closebook.schemas import RUN_LOG
 from closebook.sources.files import current_version, pointer_file, versions_folder
 from closebook.sources.paths import Files
@@ -81,15 +82,15 @@ def write_lines(lines: DataFrame, path: str, order_by: Sequence[str], column: st
     return digested(lines.orderBy(*order_by).select(column), lambda seen: seen.write.mode("overwrite").text(path))
 
 
-def write_support(lines: DataFrame, path: str, sections: int) -> Written:
-    """Support text, a blank line after each section; part files read in name order."""
-    spark = lines.sparkSession
-    ends = spark.range(sections).select(
-        F.col("id").cast("int").alias("section"),
-        F.lit(2**63 - 1).alias("position"),
-        F.lit("").alias("line"),
-    )
-    return write_lines(lines.unionByName(ends), path, ["section", "position"])
+def write_support(sections: Sequence[Section], path: str) -> Written:
+    """Support text of all sections, a blank line after each; part files read in name order.
+
+    The lines are sorted once, and each partition is written as it is.
+    """
+    lines, order = sortable_lines(sections)
+    ends = lines.sparkSession.range(len(sections)).select(F.col("id").cast("int").alias("section"), F.lit("").alias("line"), F.lit(True).alias("_end"))
+    both = lines.withColumn("_end", F.lit(False)).unionByName(ends, allowMissingColumns=True)
+    return write_lines(both, path, ["section", "_end", *order[1:]])
 
 
 def write_letters(

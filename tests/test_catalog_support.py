@@ -131,8 +131,11 @@ def test_support_lines_stop_at_a_given_limit_and_keep_blanks(spark):
 
 
 def test_support_text(spark, tmp_path):
-    one = support.section_lines(spark.createDataFrame([(1, 2)], ["a", "b"]), ["a"], section=0)
-    two = support.section_lines(spark.createDataFrame([(3, 4), (0, 1)], ["a", "b"]), ["a"], section=1)
-    sinks.write_support(support.support_lines([one, two]), str(tmp_path / "s"), 2)
+    one = support.Section(spark.createDataFrame([(1, 2)], ["a", "b"]), ["a"])
+    two = support.Section(spark.createDataFrame([("z", 4), ("y", 1)], ["a", "b"]).selectExpr("a = 'z' AS k", "b - 1 AS a", "b"), ["k"])
+    two.columns = ["a", "b"]
+    sinks.write_support([one, two], str(tmp_path / "s"))
+    both = support.support_lines([one, two]).orderBy("section", "position").collect()
+    assert [tuple(r) for r in both] == [(0, 1, "1 | 2"), (1, 1, "0 | 1"), (1, 2, "3 | 4")]
     text = "".join(p.read_text() for p in sorted((tmp_path / "s").glob("part-*")))
     assert text == "1 | 2\n\n0 | 1\n3 | 4\n\n"
