@@ -1,15 +1,13 @@
-"""Writers. All but the per-letter files go through Spark's committed writes."""
+"""Writers. All go through writes that Spark commits or aborts as a whole."""
 
 from __future__ import annotations
 
-import sys
 import uuid
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.cloudpickle import register_pickle_by_value
-from pyspark.sql import DataFrame, Observation, Row, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from closebook.operators.catalog import clean_steps, clean_toolsets
@@ -18,11 +16,9 @@ from closebook.operators.lookup import keep_last, lookup_join
 from closebook.operators.support import Section, sortable_lines
 from closebook.schemas import RUN_LOG
 from closebook.sources.files import current_version, pointer_file, versions_folder
+from closebook.sources.letter_files import write_files
 from closebook.sources.paths import Files
 
-# Tasks get this module's functions with the job, so executors need not have the package.
-register_pickle_by_value(sys.modules[__name__])
-
 
 @dataclass
 class Written:
@@ -106,25 +102,10 @@ def write_letters(
         texts = letters.select("output_path", "letter_text", *order_by)
         if not clashing_paths(letters).isEmpty():
             texts = keep_last(texts, ["output_path"], order_by)
-        texts.select("output_path", "letter_text").foreachPartition(_write_files)
+        write_files(texts.select("output_path", "letter_text"))
     return written
 
 
-def _write_files(rows: Iterable[Row]) -> None:
-    """Each file is written aside and moved into place, so a rerun task leaves whole files."""
-    from pyarrow import fs
-
-    for row in rows:
-        path = row["output_path"]
-        system, name = fs.FileSystem.from_uri(path if ":/" in path else f"file://{path}")
-        folder = name.rsplit("/", 1)[0]
-        system.create_dir(folder, recursive=True)
-        aside = f"{folder}/.{uuid.uuid4().hex}"
-        with system.open_output_stream(aside) as stream:
-            stream.write(row["letter_text"].encode("utf-8"))
-        system.move(aside, name)
-
-
 def write_manifest(manifest: DataFrame, exceptions: DataFrame, folder: str) -> dict[str, Written]:
     """Letters and exceptions as JSON lines in ``{folder}/letters`` and ``{folder}/exceptions``."""
     parts = {f"{folder}/letters": manifest, f"{folder}/exceptions": exceptions}

@@ -174,6 +174,20 @@ def test_letter_files_keep_the_last(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() == 3
 
 
+def test_failed_letters_leave_nothing(spark, tmp_path):
+    df = spark.range(40).selectExpr(
+        f"concat('{tmp_path}/out/', id, '.docx') AS output_path", "CAST(id AS STRING) AS client_id",
+        "CASE WHEN id = 37 THEN raise_error('no text') ELSE 'text' END AS letter_text",
+    ).repartition(4)
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out" / "3.docx").write_text("old")
+    with pytest.raises(Exception, match="no text"):
+        sinks.write_letters(df, as_files=True)
+    assert [(p.name, p.read_text()) for p in (tmp_path / "out").iterdir()] == [("3.docx", "old")]
+    sinks.write_letters(df.filter("client_id <> '37'"), as_files=True)
+    assert len(list((tmp_path / "out").iterdir())) == 39 and (tmp_path / "out" / "3.docx").read_text() == "text"
+
+
 def test_mixed_headers_resolve_per_file(spark):
     headers = spark.createDataFrame([("f", ["Entity", "Dr"])], "file_name string, header array<string>")
     assert columns.resolve_headers(headers, ["EntityCode"]).first()["resolved"] == {"EntityCode": "Entity"}
