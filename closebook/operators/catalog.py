@@ -1,7 +1,8 @@
 """The tutorial catalogue as two keyed tables: steps and toolsets.
 
 steps(id, name, description), one row per name; toolsets(id, name, tutorial, tools), one row
-per step name and tutorial.
+per step name and tutorial. Either may have ``extra``, a JSON object of the entry's other fields,
+which survives every merge.
 """
 
 from __future__ import annotations
@@ -32,13 +33,24 @@ def clean_ids(df: DataFrame) -> DataFrame:
     return df.withColumn("id", F.coalesce(X.canonical_uuid(F.col("id")), F.col("id")))
 
 
+def _rest(df: DataFrame) -> list[str]:
+    """The column of an entry's other fields, if the table has it."""
+    return ["extra"] if "extra" in df.columns else []
+
+
 def clean_steps(steps: DataFrame) -> DataFrame:
-    return clean_ids(steps).select("id", "name", "description")
+    return clean_ids(steps).select("id", "name", "description", *_rest(steps))
 
 
 def clean_toolsets(toolsets: DataFrame) -> DataFrame:
     refs = clean_ids(toolsets).withColumn("tutorial", X.tutorial_ref(F.col("tutorial")))
-    return refs.select("id", "name", "tutorial", "tools")
+    return refs.select("id", "name", "tutorial", "tools", *_rest(toolsets))
+
+
+def other_fields(entry: str, known: Sequence[str]) -> Column:
+    """The fields of a VARIANT object that are not ``known``, as a JSON object; NULL if there are none."""
+    fields = F.expr(f"map_filter(try_variant_get({entry}, '$', 'map<string,variant>'), (k, v) -> k NOT IN ({', '.join(repr(k) for k in known)}))")
+    return F.when(F.size(fields) > 0, F.to_json(fields, {"ignoreNullFields": "false"}))
 
 
 def latest_steps(updates: DataFrame, order_by: Sequence[str]) -> DataFrame:
@@ -68,6 +80,7 @@ def _upsert(old: DataFrame, new: DataFrame, keys: list[str], value: str, make_id
         F.coalesce("id", make_id(*[F.col(k) for k in keys])).alias("id"),
         *keys,
         F.when(F.col("_hit"), F.col("_new")).otherwise(F.col(value)).alias(value),
+        *_rest(old),
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from closebook.operators import fx
+from closebook.operators.catalog import other_fields
 from closebook.session import staged
 from closebook.sources import delimited as D
 from closebook.sources import workbook as W
@@ -242,19 +243,21 @@ def read_catalog(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     entries = text.select(
         F.explode(F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")).alias("entry")
     ).filter("schema_of_variant(entry) LIKE 'OBJECT%'")
-    steps = entries.selectExpr(
-        "try_variant_get(entry, '$.id', 'string') AS id",
-        "try_variant_get(entry, '$.name', 'string') AS name",
-        "try_variant_get(entry, '$.description', 'string') AS description",
+    steps = entries.select(
+        F.expr("try_variant_get(entry, '$.id', 'string') AS id"),
+        F.expr("try_variant_get(entry, '$.name', 'string') AS name"),
+        F.expr("try_variant_get(entry, '$.description', 'string') AS description"),
+        other_fields("entry", ["id", "name", "description", "toolsets"]).alias("extra"),
     )
     toolsets = entries.selectExpr(
         "try_variant_get(entry, '$.name', 'string') AS name",
         "explode(try_variant_get(entry, '$.toolsets', 'array<variant>')) AS toolset",
-    ).selectExpr(
-        "try_variant_get(toolset, '$.id', 'string') AS id",
+    ).select(
+        F.expr("try_variant_get(toolset, '$.id', 'string') AS id"),
         "name",
-        "try_variant_get(toolset, '$.tutorial', 'string') AS tutorial",
-        "try_variant_get(toolset, '$.tools', 'array<string>') AS tools",
+        F.expr("try_variant_get(toolset, '$.tutorial', 'string') AS tutorial"),
+        F.expr("try_variant_get(toolset, '$.tools', 'array<string>') AS tools"),
+        other_fields("toolset", ["id", "tutorial", "tools"]).alias("extra"),
     )
     return steps, toolsets
 

@@ -163,13 +163,16 @@ def catalog_lines(steps: DataFrame, toolsets: DataFrame) -> DataFrame:
     def json(column: str) -> str:
         return f"substr(to_json(array({column})), 2, length(to_json(array({column}))) - 2)"
 
+    # Other fields follow the known ones, written as they were read.
+    steps, toolsets = (df if "extra" in df.columns else df.withColumn("extra", F.lit(None).cast("string")) for df in (steps, toolsets))
+    more = "coalesce(concat(', ', substr(extra, 2, length(extra) - 2)), '')"
     opened = steps.withColumn("comma", F.when(F.col("is_first"), "").otherwise(",")).selectExpr(
         "1 AS part",
         "name_key",
         "0 AS rank",
         "'' AS tutorial_key",
         rf"""concat('  ', comma, '{{\n    "id": ', {json('id')}, ',\n    "name": ', {json('name')},
-             ',\n    "description": ', {json('description')}, ',\n    "toolsets": [') AS line""",
+             ',\n    "description": ', {json('description')}, {more}, ',\n    "toolsets": [') AS line""",
     )
     listed = toolsets.selectExpr(
         "1 AS part",
@@ -177,7 +180,7 @@ def catalog_lines(steps: DataFrame, toolsets: DataFrame) -> DataFrame:
         "1 AS rank",
         "tutorial_key",
         rf"""concat('      ', CASE WHEN tutorial_key = first_tutorial THEN '' ELSE ',' END, '{{"id": ',
-             {json('id')}, ', "tutorial": ', {json('tutorial')}, ', "tools": ', coalesce(to_json(tools), '[]'), '}}') AS line""",
+             {json('id')}, ', "tutorial": ', {json('tutorial')}, ', "tools": ', coalesce(to_json(tools), '[]'), {more}, '}}') AS line""",
     )
     closed = steps.selectExpr("1 AS part", "name_key", "2 AS rank", "'' AS tutorial_key", r"'    ]\n  }' AS line")
     ends = steps.sparkSession.createDataFrame(

@@ -146,3 +146,19 @@ def test_catalogue_is_replaced_in_place(spark, tmp_path, monkeypatch):
     assert tables(spark, path) == want
     register_tutorials(spark, str(path), news(spark, ("C", "c", "q.ipynb", ["W"])), ["n"])
     assert ("C", "c") in tables(spark, path)[0]
+
+
+def test_other_fields_of_an_entry_survive(spark, tmp_path):
+    path = tmp_path / "c.json"
+    entry = {
+        "id": "own", "name": "A", "owner": {"team": ["x", None], "level": 2.5}, "description": "old", "tags": [], "note": None,
+        "toolsets": [{"id": "t1", "tutorial": "x.ipynb", "tools": ["T"], "minutes": 30, "said \"so\"": "a, b"}],
+    }
+    path.write_text(json.dumps([entry, {"id": "plain", "name": "B", "description": "b", "toolsets": []}]))
+    for n in range(2):
+        register_tutorials(spark, str(path), news(spark, ("A", f"a{n}", "x.ipynb", ["T", "U"]), ("C", "c", "y.ipynb", ["V"])), ["n"])
+    document = {e["name"]: e for e in json.loads("".join(p.read_text() for p in sorted(path.glob("part-*"))))}
+    toolset = entry["toolsets"][0] | {"tools": ["T", "U"]}
+    assert document["A"] == entry | {"description": "a1", "toolsets": [toolset]}
+    assert document["B"] == {"id": "plain", "name": "B", "description": "b", "toolsets": []}
+    assert set(document["C"]) == {"id", "name", "description", "toolsets"}
