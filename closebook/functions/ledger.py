@@ -41,13 +41,23 @@ def amount(c: Column) -> Column:
 
 
 def amount_of(df: DataFrame, name: str) -> Column:
-    """Amount in a column of any type, zero where it is no number."""
+    """Amount in a column of any type, zero where it is no number; ``too_large_of`` tells what does not fit."""
     c = F.col(name)
     if df.schema[name].dataType == T.StringType():
         return amount(c)
     return F.coalesce(c.try_cast(AMOUNT), F.lit(0).cast(AMOUNT))
 
 
+def too_large_of(df: DataFrame, name: str) -> Column:
+    """True for a number in a column of any type that has no place in an amount."""
+    c = F.col(f"`{name}`")
+    kind = df.schema[name].dataType
+    if kind == T.StringType():
+        return too_large(c)
+    number = ~F.isnan(c) if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType) else F.lit(True)
+    return c.isNotNull() & number & c.try_cast(AMOUNT).isNull()
+
+
 def parse_rate(c: Column) -> Column:
     """Rate of a text cell, NULL where it is no number."""
     return _parse(c, RATE)

@@ -39,9 +39,18 @@ def coerce_ledger(df: DataFrame) -> DataFrame:
     return add_missing(df, defaults)
 
 
-def normalize_ledger(df: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """Resolve headers, split a single amount column, then coerce and complete the columns."""
-    return coerce_ledger(split_amount(resolve_columns(df, TB.names, fuzzy)))
+def normalize_ledger(df: DataFrame, fuzzy: bool = True, report: bool = False) -> DataFrame:
+    """Resolve headers, split a single amount column, then coerce and complete the columns.
+
+    With ``report`` each row counts its amounts that do not fit, and so became zero, in ``too_large``; the
+    file report adds them up.
+    """
+    found = resolve_columns(df, TB.names, fuzzy)
+    if report:
+        sides = [c for c in ("Debit", "Credit") if c in found.columns]
+        read = ["Amount"] if "Amount" in found.columns and len(sides) < 2 else sides
+        found = found.withColumn("too_large", sum((L.too_large_of(found, c).cast("int") for c in read), F.lit(0)))
+    return coerce_ledger(split_amount(found))
 
 
 def blank_files(df: DataFrame, file_col: str = "file_name") -> DataFrame:

@@ -28,11 +28,12 @@ def balance_check(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def debits_equal_credits(df: DataFrame) -> bool:
-    """Whole-table balance; False where a column is absent."""
+    """Whole-table balance; False where a column is absent or an amount does not fit."""
     if not {"Debit", "Credit"} <= set(df.columns):
         return False
-    sums = df.agg(total(df, "Debit").alias("debit"), total(df, "Credit").alias("credit"))
-    return bool(sums.select(is_balanced(F.col("debit"), F.col("credit"))).first()[0])
+    large = F.coalesce(F.bool_or(L.too_large_of(df, "Debit") | L.too_large_of(df, "Credit")), F.lit(False))
+    sums = df.agg(total(df, "Debit").alias("debit"), total(df, "Credit").alias("credit"), large.alias("large"))
+    return bool(sums.select(is_balanced(F.col("debit"), F.col("credit")) & ~F.col("large")).first()[0])
 
 
 def file_report(df: DataFrame, file_col: str = "file_name") -> DataFrame:

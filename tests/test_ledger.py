@@ -36,6 +36,20 @@ def test_amount_is_ignored_where_both_sides_exist(spark):
     assert normalize.normalize_ledger(df).select("Debit", "Credit").first() == (1, 2)
 
 
+@pytest.mark.parametrize(
+    ("schema", "large", "fits"),
+    [("string", "1e16", "7"), ("double", 1e16, float("nan")), ("bigint", 10**17, 7), ("decimal(38,2)", Decimal(10) ** 20, Decimal(7)), ("double", float("inf"), 7.0)],
+)
+def test_amounts_that_do_not_fit_are_counted_for_any_type(spark, schema, large, fits):
+    df = spark.createDataFrame([("f", large, fits), ("f", fits, None), ("g", fits, fits)], f"file_name string, Dr {schema}, Cr {schema}")
+    tb = normalize.normalize_ledger(df, report=True)
+    assert {r["file_name"]: r["too_large"] for r in quality.file_report(tb).collect()} == {"f": 1, "g": 0}
+    signed = normalize.normalize_ledger(df.selectExpr("file_name", "Dr AS Amount"), report=True)
+    assert sorted(r["too_large"] for r in signed.collect()) == [0, 0, 1]
+    assert not quality.debits_equal_credits(df.selectExpr("Dr AS Debit", "Dr AS Credit"))
+    assert quality.debits_equal_credits(df.filter("file_name = 'g'").selectExpr("Dr AS Debit", "Dr AS Credit"))
+
+
 @pytest.fixture
 def files(spark):
     return spark.createDataFrame(
