@@ -100,7 +100,7 @@ def validate_services(
 
 def valid_clients(clients: DataFrame, valid_ids: DataFrame, how: str = "left_semi") -> DataFrame:
     """Clients whose id is (``left_semi``) or is not (``left_anti``) on the list of valid ids."""
-    return lookup_join(clients, valid_ids.select("client_id").distinct(), ["client_id"], how)
+    return lookup_join(clients, staged(valid_ids.select("client_id").distinct(), "valid_ids"), ["client_id"], how)
 
 
 def with_prior_letter(
@@ -155,17 +155,13 @@ def assess_clients(
     )
 
 
+# The parts of the note that readers of the log look for.
+_NOTE = ("Prior year letter not found for ", " FY", " → defaulted to template.")
+
+
 def _prior_note() -> Column:
-    return F.when(
-        F.col("prior_filled").isNull(),
-        F.concat(
-            F.lit("Prior year letter not found for "),
-            F.col("client_name"),
-            F.lit(" FY"),
-            F.col("fiscal_year"),
-            F.lit(" → defaulted to template."),
-        ),
-    )
+    before, between, after = map(F.lit, _NOTE)
+    return F.when(F.col("prior_filled").isNull(), F.concat(before, "client_name", between, "fiscal_year", after))
 
 
 def render_letters(

@@ -15,6 +15,19 @@ from closebook.session import staged
 from closebook.sources import files, sinks
 
 
+# The messages of the letter step, which readers of the log look for.
+MESSAGES = {
+    "no_clients": "Client metadata file not found: {}",
+    "bad_clients": "Failed to load client metadata: {}",
+    "no_services": "Service line reference file not found: {}",
+    "bad_services": "Failed to load service line reference data: {}",
+    "no_template": "Template file not found: {}",
+    "no_records": "Client metadata file contained no records → escalate to Manager for delayed export.",
+    "made": "Generated {} engagement letter drafts.",
+    "flagged": "Flagged {} records for Administrator review.",
+}
+
+
 def _cause(error: Exception) -> str:
     """The error without its stack trace."""
     return " ".join(line.strip() for line in str(error).split("\n\tat ")[0].splitlines())
@@ -82,20 +95,20 @@ def _draft(
     try:
         clients = taken(client_metadata, files.read_records(spark, client_metadata, "clients", single=True), "clients")
     except (AnalysisException, FileNotFoundError):
-        return StepResult(False, [f"Client metadata file not found: {client_metadata}"])
+        return StepResult(False, [MESSAGES["no_clients"].format(client_metadata)])
     except Exception as error:
-        return StepResult(False, [f"Failed to load client metadata: {_cause(error)}"])
+        return StepResult(False, [MESSAGES["bad_clients"].format(_cause(error))])
     try:
         services = files.read_records(spark, service_lines, "service_lines")
         index = taken(service_lines, letters.service_index(services, files.ORDER), "services")
     except (AnalysisException, FileNotFoundError):
-        return StepResult(False, [f"Service line reference file not found: {service_lines}"])
+        return StepResult(False, [MESSAGES["no_services"].format(service_lines)])
     except Exception as error:
-        return StepResult(False, [f"Failed to load service line reference data: {_cause(error)}"])
+        return StepResult(False, [MESSAGES["bad_services"].format(_cause(error))])
     try:
         template = files.read_template(spark, template_path)
     except AnalysisException:
-        return StepResult(False, [f"Template file not found: {template_path}"])
+        return StepResult(False, [MESSAGES["no_template"].format(template_path)])
 
     prior = None
     if prior_letters_folder:
@@ -119,12 +132,10 @@ def _draft(
     ok = bool(metrics.pop("ok"))
     messages = []
     if not metrics["clients_processed"]:
-        messages.append(
-            "Client metadata file contained no records → escalate to Manager for delayed export."
-        )
-    messages.append(f"Generated {metrics['letters_generated']} engagement letter drafts.")
+        messages.append(MESSAGES["no_records"])
+    messages.append(MESSAGES["made"].format(metrics["letters_generated"]))
     if metrics["exceptions"]:
-        messages.append(f"Flagged {metrics['exceptions']} records for Administrator review.")
+        messages.append(MESSAGES["flagged"].format(metrics["exceptions"]))
     prior_notes = assessed.filter("outcome = 'letter' AND prior_note IS NOT NULL").select(
         "client_id", F.col("prior_note").alias("note")
     )

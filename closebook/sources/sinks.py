@@ -15,6 +15,7 @@ from closebook.operators.letters import clashing_paths
 from closebook.operators.lookup import keep_last, lookup_join
 from closebook.operators.support import Section, sortable_lines
 from closebook.schemas import RUN_LOG
+from closebook.session import staged
 from closebook.sources.files import current_version, pointer_file, versions_folder
 from closebook.sources.letter_files import write_files
 from closebook.sources.paths import Files
@@ -157,7 +158,7 @@ def catalog_lines(steps: DataFrame, toolsets: DataFrame) -> DataFrame:
     toolsets = _sortable(_sortable(clean_toolsets(toolsets), "name"), "tutorial")
     first_name = steps.agg(F.min("name_key").alias("first_name"))
     firsts = toolsets.groupBy("name_key").agg(F.min("tutorial_key").alias("first_tutorial"))
-    toolsets = lookup_join(toolsets, firsts, ["name_key"])
+    toolsets = lookup_join(toolsets, staged(firsts, "firsts"), ["name_key"])
     steps = steps.withColumn("is_first", F.col("name_key") == F.lit(first_name.first()[0] or ""))
 
     def json(column: str) -> str:
