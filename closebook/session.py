@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -31,3 +32,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{work_folder(df.sparkSession)}/closebook/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the ``staged`` tables that these read, when nothing reads them any more: long jobs then hold less disk."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
+            if re.search("/closebook/[a-z_]+-[0-9a-f]{32}$", folder):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
