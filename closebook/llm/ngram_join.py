@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from closebook.llm.graph import components
 from closebook.llm.tables import summed_tables
-from closebook.llm.words import SOLID, mix, ngrams, slices, words_of
+from closebook.llm.words import SOLID, lean, mix, ngrams, release, slices, words_of
 from closebook.session import staged
 
 PERCENT = 90
@@ -44,7 +44,8 @@ SIZE = 3
 BLOCK_BYTES = 1 << 23
 NODE = 32
 FILTER_BITS = 1 << 24
-BATCH_KEYS = 2_000_000
+BATCH_KEYS = 500_000
+BATCH_TEXT = 1 << 18
 BUCKET_KEYS = 2_000_000
 COUNTERS = 1 << 20
 
@@ -84,7 +85,7 @@ def with_digests(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return hashed.mapInArrow(run, f"doc_id {kind}, text_hash long, n_shingles long, digest binary")
+    return hashed.mapInArrow(lean(run), f"doc_id {kind}, text_hash long, n_shingles long, digest binary")
 
 
 # Keys
@@ -133,7 +134,7 @@ def frequent_counters(docs: DataFrame, size: int = SIZE) -> np.ndarray:
             total += np.bincount((np.concatenate(sets_of(texts, size)) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
         yield total
 
-    total = summed_tables(docs.select("text").filter("text <> ''"), count, COUNTERS)
+    total = summed_tables(docs.select("text").filter("text <> ''"), lean(count), COUNTERS)
     return total > 2 * total.mean() + 50
 
 
@@ -256,7 +257,7 @@ def candidates(docs: DataFrame, ids: DataFrame, percent: int = PERCENT, size: in
         seen: set[bytes] = set()
         total = 0
         frequent = np.unpackbits(sent_counters.value).astype(bool)
-        for _, texts in slices(batches):
+        for _, texts in slices(batches, limit=BATCH_TEXT):
             for one in sets_of(texts, size):
                 digest = digest_of(one)
                 if digest is None or digest in seen:
@@ -312,8 +313,8 @@ def candidates(docs: DataFrame, ids: DataFrame, percent: int = PERCENT, size: in
         if found:
             yield _links(found)
 
-    sent = docs.select("text").mapInArrow(emit, pair).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return sent.mapInArrow(match, "a binary, b binary").distinct()
+    sent = docs.select("text").mapInArrow(lean(emit), pair).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return sent.mapInArrow(lean(match), "a binary, b binary").distinct()
 
 
 def _full(name: bytes) -> bytes:
@@ -494,7 +495,7 @@ def _suspect_sets(docs: DataFrame, ids: DataFrame, clusters: DataFrame, size: in
                 if new:
                     yield pa.RecordBatch.from_arrays([pa.array(new, pa.binary()), pa.array([sets[d].tobytes() for d in new], pa.binary())], ["digest", "grams"])
 
-    found = docs.select(row.alias("row"), "text").mapInArrow(fetch, "digest binary, grams binary")
+    found = docs.select(row.alias("row"), "text").mapInArrow(lean(fetch), "digest binary, grams binary")
     once = found.groupBy("digest").agg(F.first("grams").alias("grams"))
     return staged(once.join(wanted.select("digest", "cluster"), "digest"), "sets")
 
@@ -531,6 +532,8 @@ def _block_links(sets: DataFrame, percent: int, block_bytes: int) -> DataFrame:
                 links = linked([*stored.values()], None if low == high else [*asked.values()], percent)
                 found += [(names[i], names[j]) for i, j in links]
         a, b = zip(*found) if found else ((), ())
+        del parts
+        release()
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     return _block_groups(sets, block_bytes).groupBy("group").applyInArrow(join, "a binary, b binary")

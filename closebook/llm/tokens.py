@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from closebook.llm.words import slices
+from closebook.llm.words import lean, slices
 from closebook.session import work_folder
 
 BLOCK_IDS = 65_536
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 BLOCKS = "shard int, block int, width int, n_ids long, doc_ids array<long>, offsets array<long>, payload binary"
 
 # The tokenizer's own rules for texts of Latin-1 characters; other texts go to the tokenizer whole.
@@ -171,7 +171,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, bl
             yield full()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").orderBy("doc_id", F.xxhash64("text"))
-    ordered.mapInArrow(encode, BLOCKS).write.mode("overwrite").parquet(path)
+    ordered.mapInArrow(lean(encode), BLOCKS).write.mode("overwrite").parquet(path)
 
 
 _BLOCK = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("width", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("payload", pa.binary())])
@@ -212,7 +212,7 @@ def read_tokens(spark, path: str) -> DataFrame:
                     ["doc_id", "shard", "block", "offset", "n_tokens", "ids_crc32"],
                 )
 
-    digests = blocks.select("shard", "block", "width", "doc_ids", "offsets", "payload").mapInArrow(digest, "doc_id long, shard int, block int, offset long, n_tokens long, ids_crc32 long")
+    digests = blocks.select("shard", "block", "width", "doc_ids", "offsets", "payload").mapInArrow(lean(digest), "doc_id long, shard int, block int, offset long, n_tokens long, ids_crc32 long")
     return digests.join(places, ["shard", "block"]).select("doc_id", (F.col("first") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 
 

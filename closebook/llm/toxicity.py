@@ -3,7 +3,7 @@
 The lexicon is learned: words, and beginnings of words, that are significantly more frequent in
 toxic documents of the training rows. It is a trie, and the Levenshtein automaton of a
 word is run along it: a state is the set of trie nodes that the letters read may have led to, each with its errors.
-States are made when first met and kept, so a word costs one look-up a letter.
+States are made when first met, numbered and kept once each, so a word costs one look-up a letter.
 
 A found term weighs by how many errors it took and whether its window of words looks like a
 quotation (quotation marks or words of saying near it) or like abuse (other terms near it). A
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from closebook.llm.classify import PREDICT_FROM, fold, labelled_sample, sigmoid, temperature
-from closebook.llm.words import slices
+from closebook.llm.words import lean, slices
 from closebook.session import staged
 
 SAMPLE = 6_000  # most labelled documents of each class that the fit reads
@@ -30,7 +30,8 @@ TERMS = 600  # most terms of the lexicon
 PREFIX = (4, 5, 6)
 WINDOW = 8
 SIGNIFICANT = 20.0  # log-likelihood ratio, about one in 10^5 by chance
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000  # words whose matches are remembered, some 100 bytes each
+CACHE_NODES = 500_000  # trie nodes in the automaton's remembered states, and steps between them, some 150 bytes each
 
 WORD = re.compile(r"[^\W_]+(?:['’*@$][^\W_]+)*")
 # Signs and words of quoting.
@@ -52,7 +53,10 @@ class Automaton:
     edges: list[dict[str, int]] = field(default_factory=lambda: [{}])
     ends: list[dict[bool, int]] = field(default_factory=lambda: [{}])
     reach: list[int] = field(default_factory=lambda: [0])
-    states: dict = field(default_factory=dict)
+    numbers: dict = field(default_factory=dict)
+    states: list = field(default_factory=list)
+    steps: dict = field(default_factory=dict)
+    held: int = 0
     known: dict = field(default_factory=dict)
 
     def __post_init__(self):
@@ -68,6 +72,7 @@ class Automaton:
             self.ends[node][term.endswith("*")] = number
         self._spread(0)
         self.start = self._closed({(0, 0)})
+        self._number(self.start)
 
     @staticmethod
     def allowed(length: int) -> int:
@@ -96,15 +101,27 @@ class Automaton:
             queue += [(child, errors + 1) for child in self.edges[node].values()]
         return frozenset(best.items())
 
-    def _step(self, state: frozenset, letter: str) -> tuple[frozenset, tuple | None]:
-        """The next state, and the best beginning that ends in it."""
+    def _step(self, state: frozenset, letter: str) -> frozenset:
         following = set()
         for node, errors in state:
             following.add((node, errors + 1))  # a letter too many
             for edge, child in self.edges[node].items():
                 following.add((child, errors + (edge != letter)))
-        found = self._closed(following)
-        return found, self._match(found, True)
+        return self._closed(following)
+
+    def _number(self, state: frozenset) -> int:
+        """The number of a state, under which it and its best matches are kept once."""
+        number = self.numbers.setdefault(state, len(self.states))
+        if number == len(self.states):
+            self.states.append((state, self._match(state, True), self._match(state, False)))
+            self.held += len(state) + 1
+        return number
+
+    def _forget(self) -> None:
+        """Starts the tables anew once they hold more than CACHE_NODES trie nodes and steps."""
+        if self.held + len(self.steps) > CACHE_NODES:
+            self.numbers, self.states, self.steps, self.held = {}, [], {}, 0
+            self._number(self.start)
 
     def _match(self, state: frozenset, beginning: bool) -> tuple | None:
         found = [(errors, self.ends[node][beginning]) for node, errors in state if beginning in self.ends[node] and errors <= self._limit(node, beginning)]
@@ -116,17 +133,20 @@ class Automaton:
 
     def find(self, word: str) -> tuple[int, int] | None:
         """(term, errors), or None."""
-        state, best = self.start, None
+        self._forget()
+        at, best = 0, None
         for letter in word:
-            step = self.states.get((state, letter))
-            if step is None:
-                step = self.states[(state, letter)] = self._step(state, letter)
-            state, hit = step
+            step = (at, letter)
+            following = self.steps.get(step)
+            if following is None:
+                following = self.steps[step] = self._number(self._step(self.states[at][0], letter))
+            at = following
+            state, hit, _ = self.states[at]
             if hit and (best is None or hit < best):
                 best = hit
             if not state:
                 break
-        hit = self._match(state, False)
+        hit = self.states[at][2]
         if hit and (best is None or hit < best):
             best = hit
         return (best[1], best[0]) if best else None
@@ -135,8 +155,6 @@ class Automaton:
         """Matches of distinct words; what was found out is kept, up to CACHE_WORDS."""
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        if len(self.states) > CACHE_WORDS:
-            self.states.clear()
         known, found = self.known, {}
         for word in words:
             if word in known:
@@ -216,7 +234,7 @@ def _sketched(sample: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sketches, pa.int64())], [*batch.schema.names, "sketch"])
 
     kind = ", ".join(f"{n} {t}" for n, t in sample.dtypes)
-    return sample.mapInArrow(run, f"{kind}, sketch long")
+    return sample.mapInArrow(lean(run), f"{kind}, sketch long")
 
 
 def _term_counts(sample: DataFrame) -> DataFrame:
@@ -240,7 +258,7 @@ def _term_counts(sample: DataFrame) -> DataFrame:
         if seen:
             yield _term_rows(seen)
 
-    words = sample.select("label", "sketch", "text").mapInArrow(run, "term string, label int, sketch long").distinct()
+    words = sample.select("label", "sketch", "text").mapInArrow(lean(run), "term string, label int, sketch long").distinct()
     return words.groupBy("term").agg(F.sum(1 - F.col("label")).alias("clean"), F.sum("label").alias("toxic"))
 
 
@@ -306,7 +324,7 @@ def _spread_terms(sample: DataFrame, terms: list[str], least: int = 3) -> list[s
             found = [sorted({number[x] for w in ws for x in (w, *(f"{w[:n]}*" for n in PREFIX if len(w) >= n)) if x in number}) for ws in words]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column("sketch")], ["terms", "sketch"])
 
-    found = sample.filter("label = 1").select("text", "sketch").mapInArrow(run, "terms array<int>, sketch long")
+    found = sample.filter("label = 1").select("text", "sketch").mapInArrow(lean(run), "terms array<int>, sketch long")
     each = found.select(F.explode("terms").alias("term"), "sketch").groupBy("term").agg(F.countDistinct("sketch").alias("texts"))
     spread = each.filter(F.col("texts") >= least).select("term").collect()
     return [terms[i] for i in sorted(r["term"] for r in spread)]
@@ -336,7 +354,7 @@ def learn(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, mos
             rows = [features(*hits_of(t or "", automaton), n) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(labels, pa.int32()), pa.array([_sparse(r) for r in rows], pa.binary())], ["doc_id", "label", "x"])
 
-    rows = texts.mapInArrow(run, "doc_id long, label int, x binary").orderBy("doc_id").collect()  # at most 2 * most small rows
+    rows = texts.mapInArrow(lean(run), "doc_id long, label int, x binary").orderBy("doc_id").collect()  # at most 2 * most small rows
     y = np.array([r["label"] for r in rows], np.float32)
     if not len(y) or y.min() == y.max():
         return Model([], np.zeros(6, np.float32), 0.0 if not len(y) else float(6 * y[0] - 3), 1.0)
@@ -395,7 +413,7 @@ def score(docs: DataFrame, model: Model, parts: int = 3, held: int = 1) -> DataF
             )
 
     rows = docs.select("doc_id", (fold(docs, parts) == held).alias("held_out"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int, n_hits long, hits array<struct<word:int,term:string,errors:int,quoted:boolean>>")
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, held_out boolean, score double, predicted int, n_hits long, hits array<struct<word:int,term:string,errors:int,quoted:boolean>>")
 
 
 _HITS = pa.list_(pa.struct([("word", pa.int32()), ("term", pa.string()), ("errors", pa.int32()), ("quoted", pa.bool_())]))
@@ -412,4 +430,4 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
             keep = [model.score(t.decode(), automaton)[0] < PREDICT_FROM for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

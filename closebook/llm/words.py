@@ -7,11 +7,14 @@ whole characters. Words and n-grams are known by 64-bit hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK_BYTES = 1_000_000
 
@@ -20,6 +23,25 @@ _MASK = (1 << 64) - 1
 _powers = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
 
 
+def release() -> None:
+    """Hands freed memory back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """A task's function of batches, which leaves little memory in the worker that waits for its next task."""
+
+    def lean_run(batches):
+        yield from run(batches)
+        release()
+
+    return lean_run
+
+
 def byte_table(marked: Iterable[int]) -> np.ndarray:
     table = np.zeros(256, bool)
     table[list(marked)] = True
@@ -133,13 +155,12 @@ def text_bytes(column: pa.Array) -> list[bytes]:
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Parts of batches with about ``limit`` bytes of text, one row at least, with the texts."""
     for batch in batches:
-        lengths = batch.column(column).cast(pa.binary()).to_pylist()
+        texts = batch.column(column)
         begin, size = 0, 0
-        for i, value in enumerate(lengths):
-            more = len(value or b"")
+        for i, more in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
             if i > begin and size + more > limit:
-                yield batch.slice(begin, i - begin), [v or b"" for v in lengths[begin:i]]
+                yield batch.slice(begin, i - begin), text_bytes(texts.slice(begin, i - begin))
                 begin, size = i, 0
             size += more
-        if begin < len(lengths):
-            yield batch.slice(begin), [v or b"" for v in lengths[begin:]]
+        if begin < batch.num_rows:
+            yield batch.slice(begin), text_bytes(texts.slice(begin))
