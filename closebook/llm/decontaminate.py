@@ -3,8 +3,9 @@
 Of every ``span - gram + 1`` consecutive n-gram hashes of a text the smallest is kept. The choice
 depends on nothing outside the window, so two texts that share ``span`` words keep a common
 hash at the same place of it: no shared span of that length is missed. Where a kept hash of a
-document is one of the benchmark's, both texts are compared word by word along that alignment,
-and runs of at least ``span`` equal words are hits.
+document is one of the benchmark's, the hit is extended: of the spans of ``span`` words around it those that an item
+has too, word by word, are hits, and together they make the whole shared passage. A span is
+looked up once, however often it occurs in an item, so texts that repeat themselves take no longer.
 
 An item of fewer than ``span`` words has one window, the whole item: documents are searched for
 n-grams of that length, each checked word by word.
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from closebook.llm.words import ALNUM, Words, ngram_inside, ngrams, slices, text_bytes, words_of
+from closebook.llm.words import ALNUM, Words, lean, ngram_inside, ngrams, slices, text_bytes, words_of
 from closebook.session import staged
 
 SPAN = 10
@@ -70,10 +71,15 @@ class Lookup:
 
     @classmethod
     def of(cls, size: int, hashes: np.ndarray, items: np.ndarray, places: np.ndarray) -> Lookup:
-        order = np.argsort(hashes, kind="stable")
+        """Of equal n-grams of an item the first is kept, which stands for all."""
+        order = np.lexsort((places, items, hashes))
+        hashes, items, places = hashes[order], items[order], places[order]
+        first = np.ones(len(hashes), bool)
+        first[1:] = (hashes[1:] != hashes[:-1]) | (items[1:] != items[:-1])
+        hashes, items, places = hashes[first], items[first], places[first]
         seen = np.zeros(1 << 16, bool)
         seen[hashes >> np.uint64(48)] = True
-        return cls(size, hashes[order], items[order], places[order], seen)
+        return cls(size, hashes, items, places, seen)
 
     def pairs(self, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word of the document, item, word of the item) of all equal hashes."""
@@ -95,6 +101,7 @@ class Benchmark:
     words: Words
     hashes: np.ndarray
     long: Lookup
+    spans: Lookup
     short: list[Lookup]
     span: int
     gram: int
@@ -107,11 +114,14 @@ class Benchmark:
         grams = ngrams(hashes, gram)
         chosen = np.flatnonzero(kept(grams, ngram_inside(words, gram) & (counts[item] >= span)[: len(grams)], span - gram + 1))
         long = Lookup.of(gram, grams[chosen], item[chosen], place[chosen])
+        whole = ngrams(hashes, span)
+        every = np.flatnonzero(ngram_inside(words, span))
+        spans = Lookup.of(span, whole[every], item[every], place[every])
         short = []
         for size in sorted({int(n) for n in counts if 0 < n < span}):
             whole = np.flatnonzero(counts == size)
             short.append(Lookup.of(size, ngrams(hashes, size)[words.bounds[:-1][whole]], whole, np.zeros_like(whole)))
-        return cls(ids, words, hashes, long, short, span, gram)
+        return cls(ids, words, hashes, long, spans, short, span, gram)
 
     def search(self, texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, set[int]]]:
         """For each text: its words, which of them are hit, and the items found."""
@@ -122,7 +132,7 @@ class Benchmark:
         grams = ngrams(hashes, self.gram)
         if len(self.long.hashes) and len(grams):
             at = np.flatnonzero(kept(grams, ngram_inside(words, self.gram), self.span - self.gram + 1))
-            self._extend(words, hashes, text, hit, found, *self.long.pairs(grams, at))
+            self._extend(words, hashes, text, hit, found, np.unique(self.long.pairs(grams, at)[0]))
         for short in self.short:
             grams = ngrams(hashes, short.size)
             at = np.flatnonzero(ngram_inside(words, short.size))
@@ -135,18 +145,24 @@ class Benchmark:
             low, high = words.bounds[i], words.bounds[i + 1]
             yield int(high - low), hit[low:high], found.get(i, set())
 
-    def _extend(self, words, hashes, text, hit, found, places, items, begins) -> None:
-        aligned = np.unique(np.stack([text[places], items, (places - words.bounds[:-1][text[places]]) - begins], 1), axis=0) if len(places) else []
-        for doc, item, shift in aligned:
-            doc_low, doc_size = words.bounds[doc], words.bounds[doc + 1] - words.bounds[doc]
-            item_low, item_size = self.words.bounds[item], self.words.bounds[item + 1] - self.words.bounds[item]
-            begin, end = max(0, shift), min(doc_size, item_size + shift)
-            equal = hashes[doc_low + begin : doc_low + end] == self.hashes[item_low + begin - shift : item_low + end - shift]
-            for low, high in zip(*runs(equal)):
-                place = doc_low + begin + low
-                if high - low >= self.span and self._same(words, place, item_low + begin - shift + low, high - low):
-                    hit[place : place + high - low] = True
-                    found.setdefault(int(doc), set()).add(int(item))
+    def _extend(self, words: Words, hashes: np.ndarray, text: np.ndarray, hit: np.ndarray, found: dict, anchors: np.ndarray) -> None:
+        """Hits of the spans that hold one of the kept n-grams at ``anchors``."""
+        whole, inside = ngrams(hashes, self.span), ngram_inside(words, self.span)
+        starts = np.unique(anchors[:, None] - np.arange(self.span - self.gram + 1))
+        starts = starts[(starts >= 0) & (starts < len(whole))]
+        starts = starts[inside[starts]]
+        places, items, begins = self.spans.pairs(whole, starts)
+        # Spans that follow one another in the document and in the item are compared as one.
+        order = np.lexsort((places, places - begins, items))
+        places, items, begins = places[order], items[order], begins[order]
+        new = np.ones(len(places), bool)
+        new[1:] = (places[1:] != places[:-1] + 1) | (begins[1:] != begins[:-1] + 1) | (items[1:] != items[:-1])
+        lows = np.flatnonzero(new)
+        for low, high in zip(lows, np.append(lows[1:], len(places))):
+            place, item, size = places[low], items[low], self.span + high - low - 1
+            if self._same(words, place, self.words.bounds[item] + begins[low], size):
+                hit[place : place + size] = True
+                found.setdefault(int(text[place]), set()).add(int(item))
 
     def _same(self, words: Words, place: int, begin: int, size: int) -> bool:
         """Whether so many words are equal, as strings."""
@@ -187,7 +203,7 @@ def without_contaminated(docs: DataFrame, items: DataFrame, span: int = SPAN, gr
         for batch, texts in slices(batches):
             yield batch.filter(pa.array([not hit.any() for _, hit, _ in sent.value.search(texts)], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)
 
 
 def _items(items: DataFrame) -> DataFrame:
@@ -218,7 +234,7 @@ def _against_broadcast(docs: DataFrame, items: DataFrame, span: int, gram: int)
             columns = list(zip(*found))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(_column, names, columns)], ["doc_id", *names])
 
-    return docs.mapInArrow(search, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {RESULT}")
+    return docs.mapInArrow(lean(search), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {RESULT}")
 
 
 _TYPES = {

@@ -5,11 +5,12 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 
-from closebook.llm.decontaminate import contamination, kept, without_contaminated
+from closebook.llm.decontaminate import Benchmark, contamination, kept, without_contaminated
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -83,3 +84,17 @@ def test_winnowing_keeps_the_smallest_of_each_window():
     for i in range(296):
         low = h[i : i + 5].min()
         assert all(chosen[i + k] for k in range(5) if h[i + k] == low)
+
+
+@pytest.mark.parametrize("period", [1, 2, 7])
+def test_texts_that_repeat_themselves(period):
+    """Linear in the words of both, where pairs of equal n-grams are many."""
+    unit = [f"w{i}" for i in range(period)]
+    long = [unit[i % period] for i in range(20_000)]
+    texts = [" ".join(long), " ".join(["x"] * 50 + long[3:60] + ["y"] + long[:9]), " ".join(long[:9])]
+    benchmark = Benchmark.of(["a", "b"], [" ".join(long).encode(), " ".join(long[5:16]).encode()])
+    begun = time.perf_counter()
+    found = list(benchmark.search([t.encode() for t in texts]))
+    assert time.perf_counter() - begun < 10
+    assert [(n, int(hit.sum()), items) for n, hit, items in found] == [(20_000, 20_000, {0, 1}), (117, 57, {0, 1}), (9, 0, set())]
+    assert found[1][1][50:107].all()
