@@ -4,7 +4,7 @@ A source with share p of all tokens gets weight p^a, normalised; a is between 1
 (all equal). Given a limit of repetitions, a is the smallest that keeps it; given an entropy of the
 weights, the largest that reaches it. Each weight becomes a budget of tokens; a source's documents are dealt
 by hash into blocks, and its budget takes whole passes over its blocks and then, in
-an order that a hash gives each pass, those before the first that does not fit in.
+an order that a hash gives each pass, every block that still fits in.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from closebook.llm.tables import set_aside
 from closebook.operators.lookup import lookup_join
 from closebook.session import staged
 
@@ -76,6 +77,27 @@ def _exponent(shares: DataFrame, repetitions: float | None, entropy: float | Non
     return good
 
 
+def _partial(blocks: DataFrame) -> DataFrame:
+    """The blocks of the last pass that still fit in, in their order: each is taken that what is left of the budget holds."""
+    listed = F.array_sort(F.collect_list(F.struct("_place", "_block", "_block_tokens"))).alias("_blocks")  # BLOCKS of a source
+    sources = blocks.groupBy("_source", "_pass").agg(F.max("_rest").alias("_rest"), listed)
+    none = F.struct(F.col("_rest").alias("left"), F.array().cast("array<int>").alias("taken"))
+
+    def take(acc: Column, b: Column) -> Column:
+        more = F.struct((acc["left"] - b["_block_tokens"]).alias("left"), F.concat(acc["taken"], F.array(b["_block"])).alias("taken"))
+        return F.when(b["_block_tokens"] <= acc["left"], more).otherwise(acc)
+
+    chosen = sources.select("_source", "_pass", F.posexplode(F.aggregate("_blocks", none, take, lambda acc: acc["taken"])).alias("_at", "_block"))
+    return chosen.select("_source", "_block", "_pass", (F.col("_at") + 1).alias("_place"))
+
+
+def realised_weights(taken: DataFrame) -> DataFrame:
+    """(source, tokens, weight) of a mix as it came out, to hold against the weights aimed at."""
+    sources = taken.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
+    total = sources.agg(F.sum("tokens").alias("_all"))
+    return sources.join(F.broadcast(total)).select("source", "tokens", (F.col("tokens") / F.col("_all")).alias("weight"))
+
+
 def mixed(docs: DataFrame, repetitions: float | None = None, entropy: float | None = None) -> DataFrame:
     """``docs`` with a row for each time a document is taken, and its place.
 
@@ -84,8 +106,9 @@ def mixed(docs: DataFrame, repetitions: float | None = None, entropy: float | No
     who sorts by a hash of these. Every document is taken at least once: also those
     without tokens (null or empty texts), which cost nothing and are taken with their block.
     A null source is a source. Repeated rows count as often as they occur. Without rows, or with no tokens
-    at all, each document is taken once.
+    at all, each document is taken once. Input columns are kept, whatever their names, but for those added.
     """
+    docs, named_back = set_aside(docs)
     keyed = _keyed(docs)
     blocks = staged(keyed.groupBy("_source", "_block").agg(F.sum("_tokens").alias("tokens")), "blocks")
     weights = source_weights(blocks, repetitions, entropy)
@@ -94,9 +117,10 @@ def mixed(docs: DataFrame, repetitions: float | None = None, entropy: float | No
     plan = plan.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_full") + 1)))
     shuffled = Window.partitionBy("_source", "_pass").orderBy(F.md5(F.concat_ws("|", F.lit(SEED), "_pass", "_source", "_block")), "_block")
     rest = F.col("budget") - F.col("_full") * F.col("tokens")
-    ordered = plan.withColumns({"_place": F.row_number().over(shuffled), "_before": F.sum("_block_tokens").over(shuffled.rowsBetween(Window.unboundedPreceding, 0))})
-    taken = ordered.filter((F.col("_pass") <= F.col("_full")) | (F.col("_before") <= rest))
+    ordered = plan.withColumn("_place", F.row_number().over(shuffled)).withColumn("_rest", rest)
+    whole = ordered.filter(F.col("_pass") <= F.col("_full")).select("_source", "_block", "_pass", "_place")
+    taken = whole.unionByName(_partial(ordered.filter(F.col("_pass") > F.col("_full"))))
     passes = taken.groupBy("_source", "_block").agg(F.sort_array(F.collect_list(F.struct("_pass", "_place"))).alias("_passes"))
     found = lookup_join(keyed, staged(passes, "passes"), ["_source", "_block"])
     each = found.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_tokens").alias("n_tokens"), F.explode("_passes").alias("_taken"))
-    return each.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_tokens", "pass_no", "place")], "n_tokens", F.col("_taken._pass").cast("long").alias("pass_no"), F.col("_taken._place").cast("long").alias("place"))
+    return named_back(each.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_tokens", "pass_no", "place")], "n_tokens", F.col("_taken._pass").cast("long").alias("pass_no"), F.col("_taken._place").cast("long").alias("place")))

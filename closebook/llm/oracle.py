@@ -52,12 +52,24 @@ plan AS (
 ),
 passes AS (SELECT *, unnest(range(1, full_passes + 2)) AS pass_no FROM plan),
 ordered AS (
-  SELECT *, row_number() OVER w AS place, sum(block_tokens) OVER (w ROWS UNBOUNDED PRECEDING) AS before
-  FROM passes WINDOW w AS (PARTITION BY src, pass_no ORDER BY md5('mix|' || pass_no || '|' || src || '|' || block), block)
+  SELECT *, row_number() OVER (PARTITION BY src, pass_no ORDER BY md5('mix|' || pass_no || '|' || src || '|' || block), block) AS place FROM passes
+),
+partial AS (
+  SELECT src, pass_no, any_value(budget - full_passes * tokens) AS rest, list({'total': block_tokens, 'taken': [block]} ORDER BY place) AS blocks
+  FROM ordered WHERE pass_no > full_passes AND budget IS NOT NULL GROUP BY src, pass_no
+),
+fitted AS (
+  SELECT src, pass_no, list_reduce(list_prepend({'total': 0::BIGINT, 'taken': []::INT[]}, blocks),
+    lambda a, b: CASE WHEN a.total + b.total <= rest THEN {'total': a.total + b.total, 'taken': a.taken || b.taken} ELSE a END).taken AS taken
+  FROM partial
+),
+taken AS (
+  SELECT src, block, pass_no, place FROM ordered WHERE pass_no <= full_passes
+  UNION ALL
+  SELECT src, unnest(taken), pass_no, generate_subscripts(taken, 1) FROM fitted
 )
 SELECT k.doc_id, k.source, k.n_tokens, o.pass_no, o.place
-FROM keyed k JOIN ordered o USING (src, block)
-WHERE o.pass_no <= full_passes OR o.before <= budget - full_passes * tokens
+FROM keyed k JOIN taken o USING (src, block)
 """
 
 # Levels are built from the leaves up; each leaf then takes the siblings of its ancestors in turn.

@@ -1,4 +1,4 @@
-"""Number tables of fixed size, added up over all tasks."""
+"""Number tables of fixed size, added up over all tasks, and input columns kept apart from helper columns."""
 
 from __future__ import annotations
 
@@ -47,3 +47,17 @@ def summed_tables(rows: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], I
     for found in tables.repartition(PARTS, "slice").mapInArrow(add, schema).collect():
         total[found["slice"]] += np.frombuffer(found["total"], "<i8")
     return total.reshape(-1)
+
+
+def set_aside(df: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with the columns renamed that begin with an underscore, as helper columns do, and what names them back."""
+    others = {c for c in df.columns if not c.startswith("_")}
+    renamed: dict[str, str] = {}
+    for c in df.columns:
+        if c.startswith("_"):
+            new = f"kept{c}"
+            while new in others:
+                new = f"kept_{new}"
+            others.add(new)
+            renamed[c] = new
+    return df.withColumnsRenamed(renamed), lambda done: done.withColumnsRenamed({new: old for old, new in renamed.items()})

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from closebook.llm.lines import drop_boilerplate
-from closebook.llm.mixing import mixed, source_weights, token_count
+from closebook.llm.mixing import mixed, realised_weights, source_weights, token_count
 from closebook.operators import lookup
 
 
@@ -84,6 +84,25 @@ def test_repetitions(spark, docs):
     assert all(min(p) >= 1 for p in passes.values())
 
 
+def test_partial_pass_takes_what_fits(spark):
+    """A long document early in the last pass is passed over, and what fits after it is taken."""
+    rows = [(i, "big", "w " * 40) for i in range(400)] + [(1000 + i, "small", "w " * (3000 if i == 7 else 20)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").selectExpr("*", "'kept' AS _source", "1 AS _block", "2 AS _tokens")
+    got = mixed(docs, repetitions=1.4)
+    assert got.columns == [*docs.columns, "n_tokens", "pass_no", "place"]
+    assert {(r["_source"], r["_block"], r["_tokens"]) for r in got.collect()} == {("kept", 1, 2)}
+    small = got.filter("source = 'small'").groupBy("pass_no").sum("n_tokens").collect()
+    passes = {r["pass_no"]: r["sum(n_tokens)"] for r in small}
+    total = 199 * 20 + 3000
+    assert passes[1] == total and 0.35 * total < passes[2] <= 0.4 * total + 1
+    weights = {r["source"]: r["weight"] for r in realised_weights(got).collect()}
+    aim = {"big": 16_000, "small": 1.4 * total}
+    for source, tokens in aim.items():
+        assert weights[source] == pytest.approx(tokens / sum(aim.values()), abs=0.01)
+    blocks = got.filter("source = 'small' AND pass_no = 2").select("place").distinct().collect()
+    assert sorted(r["place"] for r in blocks) == list(range(1, len(blocks) + 1))
+
+
 def test_entropy(spark, docs):
     parts = docs.withColumn("tokens", token_count()).selectExpr("coalesce('s' || source, 'n') AS _source", "tokens")
     high = source_weights(parts, entropy=0.9).collect()
