@@ -38,7 +38,7 @@ class Digest:
 
     def __init__(self, df: DataFrame):
         row = F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}))
-        halves = [F.sum(F.conv(F.substring(row, at, 16), 16, 10).cast("decimal(20,0)")).alias(name) for name, at in (("high", 1), ("low", 17))]
+        halves = [F.sum(F.conv(F.substring(row, at, 16), 16, 10).cast("decimal(38,0)")).alias(name) for name, at in (("high", 1), ("low", 17))]
         self.observation = Observation()
         self.seen = df.observe(self.observation, F.count(F.lit(1)).alias("rows"), *halves)
 
