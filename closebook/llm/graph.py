@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from closebook.session import staged
+from closebook.session import discard, staged
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -34,10 +34,14 @@ def components(links: DataFrame) -> DataFrame:
         )
         seen = staged(seen, "hooks")
         if seen.isEmpty():
+            discard(edges, seen)
             return labels.withColumnRenamed("label", "component")
         hooked = labels.join(seen, "node", "left").select("node", F.coalesce("low", "label").alias("label"))
+        read = [labels, seen]
         for _ in range(2):
             hooked = staged(_jump(hooked), "labels")
+            read.append(hooked)
+        discard(*read[:-1])
         labels = _settled(hooked)
 
 
@@ -53,4 +57,6 @@ def _settled(labels: DataFrame) -> DataFrame:
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("root"))
         if labels.join(up, "label").filter("label <> root").isEmpty():
             return labels
-        labels = staged(_jump(labels), "labels")
+        above = staged(_jump(labels), "labels")
+        discard(labels)
+        labels = above

@@ -35,9 +35,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from closebook.llm.graph import components
-from closebook.llm.tables import summed_tables
+from closebook.llm.tables import set_aside, summed_tables
 from closebook.llm.words import SOLID, lean, mix, ngrams, release, slices, words_of
-from closebook.session import staged
+from closebook.session import discard, staged
 
 PERCENT = 90
 SIZE = 3
@@ -497,7 +497,9 @@ def _suspect_sets(docs: DataFrame, ids: DataFrame, clusters: DataFrame, size: in
 
     found = docs.select(row.alias("row"), "text").mapInArrow(lean(fetch), "digest binary, grams binary")
     once = found.groupBy("digest").agg(F.first("grams").alias("grams"))
-    return staged(once.join(wanted.select("digest", "cluster"), "digest"), "sets")
+    sets = staged(once.join(wanted.select("digest", "cluster"), "digest"), "sets")
+    discard(wanted)
+    return sets
 
 
 def _block_groups(sets: DataFrame, block_bytes: int) -> DataFrame:
@@ -545,12 +547,16 @@ def _grouped(docs: DataFrame, percent: int, size: int, block_bytes: int) -> Data
     stars = staged(candidates(docs, ids, percent, size), "candidates")
     clusters = components(stars)
     sets = _suspect_sets(docs, ids, clusters, size)
+    discard(stars, clusters)
     links = staged(_block_links(sets, percent, block_bytes), "links")
+    discard(sets)
     labels = components(links).withColumnRenamed("node", "digest")
     classes = ids.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("low"))
     classes = classes.join(labels, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
     lows = classes.groupBy("component").agg(F.min("low").alias("component_id"))
-    return ids.join(staged(classes.join(lows, "component").drop("low"), "classes"), "digest", "left")
+    found = staged(classes.join(lows, "component").drop("low"), "classes")
+    discard(links, labels)
+    return ids.join(found, "digest", "left")
 
 
 def similarity_groups(docs: DataFrame, percent: int = PERCENT, size: int = SIZE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -586,11 +592,14 @@ def _sieved(docs: DataFrame, extra: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def one_of_each_group(docs: DataFrame, percent: int = PERCENT, size: int = SIZE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with all their columns, one row of each component: the smallest doc_id, nulls
+    """``docs`` with all their columns, whatever their names, one row of each component: the smallest doc_id, nulls
     last, and of several such rows the smallest hash of the text. Blank texts all stay.
     """
+    docs, named_back = set_aside(docs)
     names = docs.columns
-    rows = staged(_grouped(docs, percent, size, block_bytes).filter("digest IS NOT NULL").select("doc_id", "text_hash", "component"), "rows")
+    grouped = _grouped(docs, percent, size, block_bytes)
+    rows = staged(grouped.filter("digest IS NOT NULL").select("doc_id", "text_hash", "component"), "rows")
+    discard(grouped)
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))
     first = rows.groupBy("component").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
     extra = rows.join(first, "component").filter(order != F.col("first"))
@@ -602,6 +611,6 @@ def one_of_each_group(docs: DataFrame, percent: int = PERCENT, size: int = SIZE,
     near, far = _sieved(docs.withColumn("_own_text", F.xxhash64("text")), extra)
     kept = without(near, "_own_text").unionByName(far)
     if without(rows, "text_hash").groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():
-        return kept.select(*names)
+        return named_back(kept.select(*names))
     blank = F.coalesce(F.trim(F.translate("text", "\t\n\x0b\x0c\r", "     ")), F.lit("")) == ""
-    return kept.filter(~blank).dropDuplicates(["doc_id", "_own_text"]).unionByName(kept.filter(blank)).select(*names)
+    return named_back(kept.filter(~blank).dropDuplicates(["doc_id", "_own_text"]).unionByName(kept.filter(blank)).select(*names))

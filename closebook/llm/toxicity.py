@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from closebook.llm.classify import PREDICT_FROM, fold, labelled_sample, sigmoid, temperature
 from closebook.llm.words import lean, slices
-from closebook.session import staged
+from closebook.session import discard, staged
 
 SAMPLE = 6_000  # most labelled documents of each class that the fit reads
 TERMS = 600  # most terms of the lexicon
@@ -279,7 +279,8 @@ def learn_lexicon(sample: DataFrame, most: int = TERMS) -> list[str]:
     totals = distinct.agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")).first()
     if not totals["toxic"] or not totals["clean"]:
         return []
-    words = staged(_term_counts(sample), "terms").filter(F.length("term") >= 3)
+    counts = staged(_term_counts(sample), "terms")
+    words = counts.filter(F.length("term") >= 3)
     beginnings = None
     for n in PREFIX:
         part = words.filter(F.length("term") > n).groupBy(F.concat(F.substring("term", 1, n), F.lit("*")).alias("term"))
@@ -298,6 +299,7 @@ def learn_lexicon(sample: DataFrame, most: int = TERMS) -> list[str]:
     ratio = 2 * (part(F.col("toxic"), n1, F.col("share")) + part(F.col("clean"), n0, F.col("share")))
     chosen = every.withColumn("ratio", ratio).filter((F.col("ratio") > SIGNIFICANT) & (F.col("toxic") / n1 > 10 * F.col("clean") / n0))
     rows = chosen.orderBy(F.desc("ratio"), F.length("term"), "term").limit(10 * most).collect()
+    discard(counts)
     terms: list[str] = []
     beside: list[str] = []
     stems: set[str] = set()
@@ -355,6 +357,7 @@ def learn(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, mos
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(labels, pa.int32()), pa.array([_sparse(r) for r in rows], pa.binary())], ["doc_id", "label", "x"])
 
     rows = texts.mapInArrow(lean(run), "doc_id long, label int, x binary").orderBy("doc_id").collect()  # at most 2 * most small rows
+    discard(texts)
     y = np.array([r["label"] for r in rows], np.float32)
     if not len(y) or y.min() == y.max():
         return Model([], np.zeros(6, np.float32), 0.0 if not len(y) else float(6 * y[0] - 3), 1.0)

@@ -78,6 +78,13 @@ def test_one_of_each(spark, rows):
     assert sorted(r["doc_id"] for r in kept.collect() if not shingles(r["text"])) == [200, 201, 202]
 
 
+def test_columns_named_like_helpers_are_kept(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "doc_id AS _own_text", "'b' AS _bucket", "1 AS _at", "2 AS kept_at")
+    kept = one_of_each_group(docs)
+    assert kept.columns == docs.columns
+    assert all((r["_own_text"], r["_bucket"], r["_at"], r["kept_at"]) == (r["doc_id"], "b", 1, 2) for r in kept.collect())
+
+
 def test_sieve_loses_no_row(spark):
     docs = spark.range(3000).selectExpr("IF(id = 7, NULL, id) AS doc_id", "'t' AS text")
     extra = spark.range(0, 3000, 10).selectExpr("IF(id = 10, NULL, id) AS _extra_id")
