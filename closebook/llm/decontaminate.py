@@ -25,8 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from closebook.llm.words import ALNUM, Words, lean, ngram_inside, ngrams, slices, text_bytes, words_of
+from closebook.llm.words import ALNUM, Words, ngram_inside, ngrams, slices, text_bytes, words_of
 from closebook.session import staged
+from closebook.workers import lean
 
 SPAN = 10
 GRAM = 6

@@ -36,8 +36,9 @@ from pyspark.sql import functions as F
 
 from closebook.llm.graph import components
 from closebook.llm.tables import set_aside, summed_tables
-from closebook.llm.words import SOLID, lean, mix, ngrams, release, slices, words_of
+from closebook.llm.words import SOLID, mix, ngrams, slices, words_of
 from closebook.session import discard, staged
+from closebook.workers import lean, release
 
 PERCENT = 90
 SIZE = 3

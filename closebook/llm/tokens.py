@@ -21,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from closebook.llm.words import lean, slices
+from closebook.llm.words import slices
 from closebook.session import work_folder
+from closebook.workers import lean
 
 BLOCK_IDS = 65_536
 CACHE_WORDS = 150_000

@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from closebook.llm.classify import PREDICT_FROM, fold, labelled_sample, sigmoid, temperature
-from closebook.llm.words import lean, slices
+from closebook.llm.words import slices
 from closebook.session import discard, staged
+from closebook.workers import lean
 
 SAMPLE = 6_000  # most labelled documents of each class that the fit reads
 TERMS = 600  # most terms of the lexicon

@@ -555,7 +555,7 @@ def letter_files(spark, sf):
     written = F.replace("output_path", F.lit(f"{folder}/out"), F.lit(V.LETTERS_DIR))
     made = done.tables["letters"].withColumns({"output_path": written, "service_lines": F.array_join("service_lines", "|")})
     # What the files hold is what the table holds.
-    held = spark.read.format("binaryFile").load(f"{folder}/out/*.docx").select(F.url_decode(F.element_at(F.split(F.col("path"), "/"), -1)).alias("_name"), F.col("content").cast("string").alias("letter_text"))
+    held = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(f"{folder}/out").select(F.url_decode(F.element_at(F.split(F.col("path"), "/"), -1)).alias("_name"), F.col("content").cast("string").alias("letter_text"))
     return made.drop("letter_text").withColumn("_name", F.element_at(F.split("output_path", "/"), -1)).join(held, "_name").drop("_name")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +36,24 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def with_settings(spark: SparkSession, values: dict[str, object]) -> Iterator[None]:
+    """Settings of the session for what is planned or listed inside, put back after it."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, str(value))
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def few_listing_tasks(spark: SparkSession):
+    """A path that matches many files is listed by four tasks a core at most, not by a task for each file."""
+    return with_settings(spark, {"spark.sql.sources.parallelPartitionDiscovery.parallelism": 4 * spark.sparkContext.defaultParallelism})
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the ``staged`` tables that these read, when nothing reads them any more: long jobs then hold less disk."""
     for table in tables:

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from closebook.operators import fx
 from closebook.operators.catalog import other_fields
-from closebook.session import staged
+from closebook.session import few_listing_tasks, staged, with_settings
 from closebook.sources import delimited as D
 from closebook.sources import workbook as W
+from closebook.workers import LONG_ROWS
 
 PRIOR_NAME = r"^(.*)_EngagementLetter_FY([0-9]+)\.docx$"
 
@@ -45,7 +46,8 @@ def _named(df: DataFrame) -> DataFrame:
 def _binary_files(spark: SparkSession, path: str) -> DataFrame | None:
     """Files at ``path`` (a glob may match none) with their metadata path."""
     try:
-        files = spark.read.format("binaryFile").load(path)
+        with few_listing_tasks(spark):
+            files = spark.read.format("binaryFile").load(path)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
@@ -75,7 +77,8 @@ def read_delimited(spark: SparkSession, path: str) -> RawTables | None:
     found, rows = D.read_records_of(spark, path)
     # A file without a record has an empty header.
     found = files.select("file_path").join(found, "file_path", "left")
-    headers = staged(found.withColumn("header", F.coalesce("header", F.array().cast("array<string>"))), "found_headers")
+    with with_settings(spark, LONG_ROWS):
+        headers = staged(found.withColumn("header", F.coalesce("header", F.array().cast("array<string>"))), "found_headers")
     width = headers.agg(F.max(F.size("header"))).first()[0] or 1
     blank = F.array_repeat(F.lit(None).cast("string"), width)
     cells = F.slice(F.concat("cells", blank), 1, width).alias("cells")

@@ -1,28 +1,35 @@
 """One file per row, as a set: a data source that shows its files only when all of them are written.
 
-Tasks write into a staging folder beside the files. When all tasks are done, the commit moves the files into place;
-when the job fails, the abort removes the folder. Attempts that failed leave their files in the staging folder
-alone, as the commit moves only what the tasks' messages list.
+Tasks write into a staging folder beside the files. When all tasks are done, the commit lists their folders, and tasks
+of a second job move the files into place; when the first job fails, the abort removes the folder. Attempts that
+failed leave their files in the staging folder alone, as only the folders of the commit are moved.
 """
 
 from __future__ import annotations
 
+import io
 import json
 import sys
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import batched
 
+import pyarrow as pa
 from pyspark.cloudpickle import register_pickle_by_value
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+
+from closebook.session import with_settings
+from closebook.workers import LONG_ROWS, release
 
 # Tasks get this module's classes with the job, so executors need not have the package.
 register_pickle_by_value(sys.modules[__name__])
 
 MOVES_AT_ONCE = 16
+COMMITTED = "committed"
 
 
 def _file_system(path: str):
@@ -34,44 +41,35 @@ def _file_system(path: str):
 
 @dataclass
 class Staged(WriterCommitMessage):
-    """The list of a task's moves, itself a file, so that the driver holds one task's at a time."""
+    """The folder of a task's files, in the staging folder; the file ``moves`` in it lists where they belong."""
 
-    moves: str
+    folder: str
 
 
-class LetterWriter(DataSourceWriter):
+class LetterWriter(DataSourceArrowWriter):
     def __init__(self, options: dict):
         self.staging = options["staging"]
 
-    def write(self, rows: Iterator[Row]) -> Staged:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Staged:
         system, root = _file_system(self.staging)
-        folder = f"{root}/{uuid.uuid4().hex}"
-        system.create_dir(folder, recursive=True)
-        with system.open_output_stream(f"{folder}/moves") as moves:
-            for i, row in enumerate(rows):
-                with system.open_output_stream(f"{folder}/{i}") as stream:
-                    stream.write(row["letter_text"].encode("utf-8"))
-                moves.write((json.dumps([f"{folder}/{i}", _file_system(row["output_path"])[1]]) + "\n").encode())
-        return Staged(f"{folder}/moves")
+        name, n = uuid.uuid4().hex, 0
+        system.create_dir(f"{root}/{name}", recursive=True)
+        with system.open_output_stream(f"{root}/{name}/moves") as moves:
+            for batch in iterator:
+                for path, text in zip(batch.column("output_path"), batch.column("letter_text")):
+                    with system.open_output_stream(f"{root}/{name}/{n}") as stream:
+                        stream.write(text.as_buffer())
+                    moves.write((json.dumps([f"{root}/{name}/{n}", _file_system(path.as_py())[1]]) + "\n").encode())
+                    n += 1
+        release()
+        return Staged(name)
 
     def commit(self, messages: list[Staged | None]) -> None:
+        """Lists the folders of the tasks that count, for ``move_all``."""
         system, root = _file_system(self.staging)
-        made: set[str] = set()
-
-        def move(line: bytes) -> None:
-            aside, name = json.loads(line)
-            folder = name.rsplit("/", 1)[0]
-            if folder not in made:
-                system.create_dir(folder, recursive=True)
-                made.add(folder)
-            system.move(aside, name)
-
-        with ThreadPoolExecutor(MOVES_AT_ONCE) as pool:
-            for message in messages:
-                if message is not None:
-                    with system.open_input_stream(message.moves) as moves:
-                        list(pool.map(move, moves.read().splitlines()))
-        system.delete_dir(root)
+        system.create_dir(root, recursive=True)
+        with system.open_output_stream(f"{root}/{COMMITTED}") as stream:
+            stream.write("\n".join(m.folder for m in messages if m is not None).encode())
 
     def abort(self, messages: list[Staged | None]) -> None:
         from pyarrow import fs
@@ -92,11 +90,44 @@ class LetterFiles(DataSource):
         return LetterWriter(dict(self.options))
 
 
+def move_all(staging: str, folder: str) -> None:
+    """Move the files of one task's folder into place. What an earlier attempt has moved is in place already."""
+    from pyarrow import fs
+
+    system, root = _file_system(staging)
+    made: set[str] = set()
+
+    def move(line: bytes) -> None:
+        aside, name = json.loads(line)
+        parent = name.rsplit("/", 1)[0]
+        if parent not in made:
+            system.create_dir(parent, recursive=True)
+            made.add(parent)
+        try:
+            system.move(aside, name)
+        except FileNotFoundError:
+            if system.get_file_info(aside).type != fs.FileType.NotFound or system.get_file_info(name).type != fs.FileType.File:
+                raise
+
+    with system.open_input_stream(f"{root}/{folder}/moves") as moves, ThreadPoolExecutor(MOVES_AT_ONCE) as pool:
+        for lines in batched(io.BufferedReader(moves), 64 * MOVES_AT_ONCE):
+            list(pool.map(move, lines))
+
+
 def write_files(texts: DataFrame) -> None:
     """Write (output_path, letter_text), paths being distinct, on one file system that the executors share."""
     least = texts.agg(F.min("output_path")).first()[0]
     if least is None:
         return
-    texts.sparkSession.dataSource.register(LetterFiles)
+    spark = texts.sparkSession
+    spark.dataSource.register(LetterFiles)
     staging = f"{least.rsplit('/', 1)[0]}/.staging-{uuid.uuid4().hex}"
-    texts.write.format("closebook_letters").option("staging", staging).mode("append").save()
+    with with_settings(spark, LONG_ROWS):
+        texts.select("output_path", "letter_text").write.format("closebook_letters").option("staging", staging).mode("append").save()
+    system, root = _file_system(staging)
+    try:
+        with system.open_input_stream(f"{root}/{COMMITTED}") as stream:
+            folders = stream.read().decode().split()
+        spark.sparkContext.parallelize(folders, max(1, len(folders))).foreach(lambda folder: move_all(staging, folder))
+    finally:
+        system.delete_dir(root)

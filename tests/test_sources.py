@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import zipfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from closebook.operators import columns, fx
 from closebook.sources import files, sinks
 from closebook.sources import workbook as W
+from closebook.sources.letter_files import move_all
 from closebook.sources.workbook import header_names
 
 
@@ -228,3 +230,39 @@ def test_date_cells(tmp_path, date1904, shift):
             '<xf numFmtId="14"/><xf numFmtId="170"/><xf numFmtId="171"/></cellXfs></styleSheet>',
         )
     assert list(W.table_rows((tmp_path / "d.xlsx").read_bytes())) == [["2025-01-01", "2025-01-01 12:00:00", "45658", "7"]]
+
+
+def _tasks_of(spark, run) -> list[int]:
+    """Numbers of tasks of the stages that ``run`` starts."""
+    group = f"test-{id(run)}"
+    spark.sparkContext.setJobGroup(group, "")
+    run()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    seen = spark.sparkContext.statusTracker()
+    stages = [s for j in seen.getJobIdsForGroup(group) for s in seen.getJobInfo(j).stageIds]
+    return [seen.getStageInfo(s).numTasks for s in stages if seen.getStageInfo(s)]
+
+
+def test_listing_takes_few_tasks(spark, tmp_path):
+    for i in range(100):
+        (tmp_path / f"A{i}_EngagementLetter_FY2024.docx").write_text(f"letter {i}")
+    found = []
+    tasks = _tasks_of(spark, lambda: found.append(files.read_prior_letters(spark, str(tmp_path))))
+    assert tasks and max(tasks) <= 4 * spark.sparkContext.defaultParallelism
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == "10000"
+    assert {(r["slug"], r["text"]) for r in found[0].collect()} == {(f"A{i}", f"letter {i}") for i in range(100)}
+
+
+def test_moves_of_a_task_can_be_repeated(tmp_path):
+    staging, out = tmp_path / ".staging", tmp_path / "out"
+    (staging / "t").mkdir(parents=True)
+    moves = [[f"{staging}/t/{i}", f"{out}/é{i}.docx"] for i in range(3000)]
+    for aside, _ in moves:
+        Path(aside).write_text("text")
+    (staging / "t" / "moves").write_text("".join(json.dumps(m) + "\n" for m in moves))
+    move_all(str(staging), "t")
+    move_all(str(staging), "t")
+    assert len(list(out.iterdir())) == 3000 and (out / "é7.docx").read_text() == "text"
+    (out / "é7.docx").unlink()
+    with pytest.raises(FileNotFoundError):
+        move_all(str(staging), "t")
