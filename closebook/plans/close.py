@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from closebook.functions.text import quoted_list
 from closebook.operators import columns, fx, normalize, quality, support
 from closebook.schemas import TB
-from closebook.session import staged
+from closebook.session import staged, with_settings
 from closebook.sources import sinks
 from closebook.sources.files import ORDER, RawTables, file_hashes, read_rates, read_table, read_tb_files
+from closebook.workers import LONG_ROWS
 
 SHOWN = 20  # names listed in messages; the report that the last message names holds all of them
 
@@ -67,7 +68,8 @@ def collect_tb(
         written = sinks.write_table(columns.add_missing(empty, {c: F.lit(None).cast("string") for c in required}), out_path, required)
         return StepResult(True, ["Master TB rows=0 files=0"], {"files": 0, "rows": 0}, outputs={out_path: written.digest})
 
-    headers = staged(normalize.file_headers(raw.headers, required, fuzzy), "headers")
+    with with_settings(spark, LONG_ROWS):
+        headers = staged(normalize.file_headers(raw.headers, required, fuzzy), "headers")
     counts = headers.agg(
         F.count("*").alias("files"),
         F.coalesce(F.sum("aliased"), F.lit(0)).alias("aliased_columns"),
@@ -81,7 +83,8 @@ def collect_tb(
 
     rows = normalize.ledger_of_cells(RawTables(headers, raw.rows), required)
     decoded = sinks.Digest(rows)
-    ledger = staged(decoded.seen, "ledger")
+    with with_settings(spark, LONG_ROWS):
+        ledger = staged(decoded.seen, "ledger")
     inputs = {f"{folder.rstrip('/')}/TB_*_{period}": decoded.written().digest}
     metrics.update(quality.collect_metrics(ledger, "file_name").drop("files", "rows").first().asDict())
     filled = normalize.fill_from_name(ledger, "file_name", fill)

@@ -24,8 +24,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from closebook.operators.lookup import lookup_join
-from closebook.session import staged
+from closebook.session import few_listing_tasks, staged, with_settings
 from closebook.sources.workbook import header_names
+from closebook.workers import LONG_ROWS, lean, one_by_one
 
 # Tasks get this module's functions with the job, so executors need not have the package.
 register_pickle_by_value(sys.modules[__name__])
@@ -159,25 +160,23 @@ def _records(path: str, block: int, first_no: int, is_first: bool, rows: list[li
 
 def _parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks with their state to the records that lie in one chunk."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            whole = pieces(row["text"], row["inside"])[1] if row["inside"] or row["ends"] else row["text"]
-            rows = rows_of(whole, row["latin"])
-            if rows:
-                yield _records(row["file_path"], row["block"], row["chunk"] << _IN_CHUNK, row["first_here"], rows)
+    for row in one_by_one(batches):
+        whole = pieces(row["text"], row["inside"])[1] if row["inside"] or row["ends"] else row["text"]
+        rows = rows_of(whole, row["latin"])
+        if rows:
+            yield _records(row["file_path"], row["block"], row["chunk"] << _IN_CHUNK, row["first_here"], rows)
 
 
 def _split_pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks that begin or end inside quotes to the pieces of records they share with others."""
-    for batch in batches:
+    for row in one_by_one(batches):
         found = []
-        for row in batch.to_pylist():
-            head, whole, tail = pieces(row["text"], row["inside"])
-            own = {"file_path": row["file_path"], "latin": row["latin"], "place": {"block": row["block"], "chunk": row["chunk"]}}
-            if head is not None:
-                found.append(own | {"opener": row["opener"], "is_first": False, "text": head})
-            if tail is not None:
-                found.append(own | {"opener": own["place"], "is_first": row["first_here"] and not rows_of(whole, row["latin"]), "text": tail})
+        head, whole, tail = pieces(row["text"], row["inside"])
+        own = {"file_path": row["file_path"], "latin": row["latin"], "place": {"block": row["block"], "chunk": row["chunk"]}}
+        if head is not None:
+            found.append(own | {"opener": row["opener"], "is_first": False, "text": head})
+        if tail is not None:
+            found.append(own | {"opener": own["place"], "is_first": row["first_here"] and not rows_of(whole, row["latin"]), "text": tail})
         yield pa.RecordBatch.from_pylist(found, _PIECES)
 
 
@@ -187,11 +186,10 @@ PIECES = "file_path string, latin boolean, opener struct<block:bigint,chunk:bigi
 
 
 def _parse_joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            rows = rows_of(b"\n".join(p["text"] for p in row["parts"]), row["latin"])
-            if rows:
-                yield _records(row["file_path"], row["opener"]["block"], (row["opener"]["chunk"] << _IN_CHUNK) + _JOINED, row["is_first"], rows)
+    for row in one_by_one(batches):
+        rows = rows_of(b"\n".join(p["text"] for p in row["parts"]), row["latin"])
+        if rows:
+            yield _records(row["file_path"], row["opener"]["block"], (row["opener"]["chunk"] << _IN_CHUNK) + _JOINED, row["is_first"], rows)
 
 
 def _name_headers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,10 +200,12 @@ def _name_headers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def chunks_of(spark: SparkSession, path: str, limit: int = CHUNK_BYTES) -> DataFrame:
     """The files' lines in chunks (CHUNKS), staged, so that all that follows sees one set of splits."""
-    lines = spark.read.text(path, lineSep="\n").select(
+    with few_listing_tasks(spark):
+        text = spark.read.text(path, lineSep="\n")
+    lines = text.select(
         F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value")
     )
-    return staged(lines.mapInArrow(_cut(limit), CHUNKS), "chunks")
+    return staged(lines.mapInArrow(lean(_cut(limit)), CHUNKS), "chunks")
 
 
 def states_of(chunks: DataFrame) -> DataFrame:
@@ -258,14 +258,15 @@ def read_records_of(spark: SparkSession, path: str, limit: int = CHUNK_BYTES) ->
         F.coalesce("first_here", F.expr("block = 0 AND chunk = 0")).alias("first_here"),
         F.coalesce("ends", F.lit(0)).alias("ends"), "opener",
     )
-    parts = [known.drop("opener").mapInArrow(_parse, RECORDS)]
-    firsts = [known.filter("first_here").drop("opener").mapInArrow(_parse, RECORDS)]
+    parts = [known.drop("opener").mapInArrow(lean(_parse), RECORDS)]
+    firsts = [known.filter("first_here").drop("opener").mapInArrow(lean(_parse), RECORDS)]
     if not special.filter("ends = 1").isEmpty():
-        shared = known.filter("inside = 1 OR ends = 1").mapInArrow(_split_pieces, PIECES)
+        shared = known.filter("inside = 1 OR ends = 1").mapInArrow(lean(_split_pieces), PIECES)
         joined = shared.groupBy("file_path", "opener").agg(
             F.array_sort(F.collect_list(F.struct("place", "text"))).alias("parts"), F.bool_or("is_first").alias("is_first"), F.bool_or("latin").alias("latin")
         )
-        records = staged(joined.mapInArrow(_parse_joined, RECORDS), "joined_records")
+        with with_settings(spark, LONG_ROWS):
+            records = staged(joined.mapInArrow(lean(_parse_joined), RECORDS), "joined_records")
         parts.append(records)
         firsts.append(records)
     headers = reduce(DataFrame.unionByName, firsts).filter("is_first").select("file_path", "cells").mapInArrow(_name_headers, "file_path string, header array<string>")

@@ -10,6 +10,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from closebook.plans import close
+from closebook.schemas import TB
 from closebook.sources import delimited as D
 from closebook.sources import files
 
@@ -106,3 +108,24 @@ def test_table_of_records_over_several_lines(spark, tmp_path):
     assert [(r["Code"], r["Text"]) for r in got.collect()] == [("A", "one\ntwo"), ("B", None)]
     with pytest.raises(FileNotFoundError):
         files.read_table(spark, str(tmp_path / "none.csv"))
+
+
+def test_workers_get_few_chunks_at_once(spark, tmp_path, monkeypatch):
+    for i in range(120):
+        (tmp_path / f"TB_N{i}_202501.csv").write_text(f"Entity,AccountCode,Dr,Cr\nN{i},a,5,0\nN{i},b,0,5\n")
+    parse = D._parse
+
+    def checked(batches):
+        def few():
+            for batch in batches:
+                if batch.num_rows > 16:
+                    raise ValueError(f"{batch.num_rows} chunks in one batch")
+                yield batch
+
+        return parse(few())
+
+    monkeypatch.setattr(D, "_parse", checked)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    done = close.collect_tb(spark, str(tmp_path), "202501", TB.names, str(tmp_path / "out" / "master"))
+    assert done.ok and done.metrics["rows"] == 240 and spark.conf.get(name) == before
