@@ -49,6 +49,9 @@ BATCH_KEYS = 500_000
 BATCH_TEXT = 1 << 18
 BUCKET_KEYS = 2_000_000
 COUNTERS = 1 << 20
+# What is sent of a key beside its bucket, and of a digest. Equal ones by accident only make a cluster larger.
+KEY_BYTES = 6
+NAME_BYTES = 8
 
 
 # Sets and their digests
@@ -180,7 +183,7 @@ def _slice_keys(grams: np.ndarray, count: int, high: int, kind: int) -> tuple[np
 
 
 def _packed(digests: list[bytes], keys: list[np.ndarray], buckets: int) -> pa.RecordBatch:
-    """A row for each bucket of keys: keys, places in the digest table, the table."""
+    """A row for each bucket of keys: keys, a bit for each that tells whether its owner is the next one, names of the owners."""
     sizes = [len(k) for k in keys]
     key, owner = np.concatenate(keys), np.repeat(np.arange(len(keys), dtype=np.uint32), sizes)
     bucket = (key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
@@ -189,11 +192,25 @@ def _packed(digests: list[bytes], keys: list[np.ndarray], buckets: int) -> pa.Re
     rows = []
     for b, low, high in zip(*_runs(bucket)):
         used, place = np.unique(owner[low:high], return_inverse=True)
-        rows.append({"bucket": int(bucket[low]), "keys": key[low:high].tobytes(), "owners": place.astype(np.uint32).tobytes(), "digests": b"".join(digests[i] for i in used)})
+        steps = np.packbits(np.diff(place, prepend=0).astype(np.uint8))
+        rows.append({"bucket": int(bucket[low]), "keys": _key_bytes(key[low:high]), "owners": steps.tobytes(), "names": b"".join(digests[i][:NAME_BYTES] for i in used)})
     return pa.RecordBatch.from_pylist(rows, _PACKED)
 
 
-_PACKED = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("owners", pa.binary()), ("digests", pa.binary())])
+def _unpacked(keys: bytes, owners: bytes, names: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a row of ``_packed``, and the name of each one's owner, as a number."""
+    low = np.frombuffer(keys, np.uint8).reshape(-1, KEY_BYTES)
+    full = np.zeros((len(low), 8), np.uint8)
+    full[:, :KEY_BYTES] = low
+    place = np.cumsum(np.unpackbits(np.frombuffer(owners, np.uint8), count=len(low)), dtype=np.int64)
+    return full.view("<u8").ravel(), np.frombuffer(names, np.uint64)[place]
+
+
+def _key_bytes(keys: np.ndarray) -> bytes:
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+
+
+_PACKED = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("owners", pa.binary()), ("names", pa.binary())])
 
 
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -241,7 +258,7 @@ def _buckets(ids: DataFrame, percent: int) -> int:
 
 
 def candidates(docs: DataFrame, ids: DataFrame, percent: int = PERCENT, size: int = SIZE) -> DataFrame:
-    """(a, b): digests of classes that share a key, as a star for each key.
+    """(a, b): names (NAME_BYTES of the digest) of classes that share a key, as a star for each key.
 
     Keys travel packed, several megabytes a row at most; a key that many classes of a batch share is sent
     for one of them, with the star of the rest beside it. ``ids``, with_digests(docs), tells how
@@ -250,7 +267,7 @@ def candidates(docs: DataFrame, ids: DataFrame, percent: int = PERCENT, size: in
     spark = docs.sparkSession
     buckets = _buckets(ids, percent)
     sent_counters = spark.sparkContext.broadcast(np.packbits(frequent_counters(docs, size)))
-    pair = "bucket int, keys binary, owners binary, digests binary, a binary, b binary"
+    pair = "bucket int, keys binary, owners binary, names binary, a binary, b binary"
 
     def emit(batches):
         digests: list[bytes] = []
@@ -300,17 +317,15 @@ def candidates(docs: DataFrame, ids: DataFrame, percent: int = PERCENT, size: in
                     yield from matched(rows)
                     rows = []
                 bucket = row["bucket"]
-                rows.append((row["keys"], row["owners"], row["digests"]))
+                rows.append((row["keys"], row["owners"], row["names"]))
             if found:
                 yield _links(found)
         if rows:
             yield from matched(rows)
 
     def matched(rows):
-        names = np.unique(np.concatenate([np.frombuffer(d, "S16") for _, _, d in rows]))
-        key = np.concatenate([np.frombuffer(k, np.uint64) for k, _, _ in rows])
-        owner = np.concatenate([np.searchsorted(names, np.frombuffer(d, "S16"))[np.frombuffer(o, np.uint32)] for _, o, d in rows])
-        found = [(_full(names[a]), _full(names[b])) for a, b in _stars(key, owner)]
+        key, owner = map(np.concatenate, zip(*[_unpacked(*row) for row in rows]))
+        found = [(a.tobytes(), b.tobytes()) for a, b in _stars(key, owner)]
         if found:
             yield _links(found)
 
@@ -318,11 +333,6 @@ def candidates(docs: DataFrame, ids: DataFrame, percent: int = PERCENT, size: in
     return sent.mapInArrow(lean(match), "a binary, b binary").distinct()
 
 
-def _full(name: bytes) -> bytes:
-    """Numpy drops zero bytes at the end of a string."""
-    return bytes(name).ljust(16, b"\0")
-
-
 def _links(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     a, b = zip(*pairs)
     return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
@@ -330,10 +340,10 @@ def _links(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
 
 def _both(packed: pa.RecordBatch, stars: np.ndarray, digests: list[bytes]) -> pa.RecordBatch:
     n, m = len(packed), len(stars)
-    columns = [pa.concat_arrays([packed.column(c), pa.nulls(m, packed.column(c).type)]) for c in ("keys", "owners", "digests")]
+    columns = [pa.concat_arrays([packed.column(c), pa.nulls(m, packed.column(c).type)]) for c in ("keys", "owners", "names")]
     bucket = pa.concat_arrays([packed.column("bucket"), pa.array(np.arange(m) % 1000, pa.int32())])
-    ends = [pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([digests[i] for i in stars[:, k]], pa.binary())]) for k in (0, 1)]
-    return pa.RecordBatch.from_arrays([bucket, *columns, *ends], ["bucket", "keys", "owners", "digests", "a", "b"])
+    ends = [pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([digests[i][:NAME_BYTES] for i in stars[:, k]], pa.binary())]) for k in (0, 1)]
+    return pa.RecordBatch.from_arrays([bucket, *columns, *ends], ["bucket", "keys", "owners", "names", "a", "b"])
 
 
 # The prefix tree
@@ -474,10 +484,10 @@ def _wanted(digests: DataFrame) -> bytes:
 
 
 def _suspect_sets(docs: DataFrame, ids: DataFrame, clusters: DataFrame, size: int) -> DataFrame:
-    """(cluster, digest, grams) of every class in a cluster, made again from one of its texts."""
+    """(cluster, digest, grams) of every class whose name is in a cluster, made again from one of its texts."""
     spark = docs.sparkSession
     row = F.xxhash64("doc_id")
-    wanted = staged(ids.join(clusters, F.col("digest") == F.col("node")).groupBy("digest", F.col("component").alias("cluster")).agg(F.min(row).alias("row")), "suspects")
+    wanted = staged(ids.join(clusters, F.substring("digest", 1, NAME_BYTES) == F.col("node")).groupBy("digest", F.col("component").alias("cluster")).agg(F.min(row).alias("row")), "suspects")
     sent = spark.sparkContext.broadcast(_wanted(wanted))
 
     def fetch(batches):

@@ -131,3 +131,20 @@ def test_groups_and_buckets_follow_the_data(spark, rows, monkeypatch):
     sizes = [len(keys_of(one, 90)) for one in ngram_join.sets_of([(t or "").encode() for _, t in rows])]
     assert ngram_join._buckets(ngram_join.with_digests(table), 90) >= sum(sizes) / 100 > 16
     assert ordered(similarity_groups(table).collect()) == ordered(brute(rows)[0])
+
+
+def test_packed_keys_come_back():
+    """Fewer than 15 bytes a key, where each owner has one key in a bucket."""
+    rng = np.random.default_rng(3)
+    digests = [rng.bytes(15) + b"\0" for _ in range(3000)]
+    digests[7] = digests[8][:8] + digests[7][8:]  # one name for two classes
+    keys = [rng.integers(0, 1 << 64, int(n), np.uint64) for n in rng.integers(0, 12, 3000)]
+    packed = ngram_join._packed(digests, keys, 5000)
+    found = set()
+    for row in packed.to_pylist():
+        key, owner = ngram_join._unpacked(row["keys"], row["owners"], row["names"])
+        found |= {(row["bucket"], int(k), o.tobytes()) for k, o in zip(key, owner)}
+    wanted = {((int(k) >> 32) * 5000 >> 32, int(k) & (1 << 48) - 1, d[:8]) for d, own in zip(digests, keys) for k in own}
+    assert found == wanted
+    sent = sum(len(row["keys"]) + len(row["owners"]) + len(row["names"]) for row in packed.to_pylist())
+    assert sent < 15.2 * sum(map(len, keys))
