@@ -71,3 +71,17 @@ def test_files(spark, tmp_path, block_ids):
 def test_no_rows(spark, tmp_path):
     write_tokens(spark.createDataFrame([], "doc_id long, text string"), str(tmp_path / "t"), tokenizer_path())
     assert read_tokens(spark, str(tmp_path / "t")).collect() == []
+
+
+def test_many_words_are_made_once():
+    encoder = Encoder(tokenizer_path())
+    texts = [" ".join(f"w{i}x{k}" for i in range(2000)) for k in range(100)]
+    for text in texts:
+        encoder.encode(text)
+
+    def again(word):
+        raise AssertionError(f"{word} was forgotten")
+
+    encoder.words.make = again
+    for text in texts:
+        encoder.encode(text)
