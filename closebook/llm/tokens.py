@@ -22,18 +22,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from closebook.llm.words import slices
-from closebook.session import work_folder
-from closebook.workers import lean
+from closebook.session import small_batches, work_folder
+from closebook.workers import lean, one_by_one
 
 BLOCK_IDS = 65_536
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000  # words whose ids are remembered, some 200 bytes each
+CACHE_BYTES = 64  # longer words are not remembered
 BLOCKS = "shard int, block int, width int, n_ids long, doc_ids array<long>, offsets array<long>, payload binary"
 
 # The tokenizer's own rules for texts of Latin-1 characters; other texts go to the tokenizer whole.
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0"
 _LETTER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
 _DIGIT = "0-9\xb2\xb3\xb9\xbc-\xbe"
-_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^{_SPACE}{_LETTER}{_DIGIT}]+")
+_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^{_SPACE}{_LETTER}{_DIGIT}]+".encode("latin-1"))
+_LOWER = bytes(0x20 if chr(c) in _SPACE else ord(chr(c).lower()) for c in range(256))
 
 
 def width_of(largest: int) -> int:
@@ -62,14 +64,18 @@ def unpack(payload: bytes, width: int, begin: int, end: int) -> np.ndarray:
 
 
 class _Known(dict):
-    """Ids of words, made at first sight."""
+    """Ids of words, made at first sight. Short words are remembered, up to CACHE_WORDS."""
 
     def __init__(self, make):
         super().__init__()
         self.make = make
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self[word] = self.make(word)
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.make(word)
+        if len(word) <= CACHE_BYTES:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = ids
         return ids
 
 
@@ -77,9 +83,9 @@ class Encoder:
     """Ids of texts under a BPE tokenizer file whose pieces never cross white space.
 
     The pieces of a text depend on the word between white space alone, and the ids of a piece on
-    the piece alone, so both are encoded once and remembered, up to CACHE_WORDS of each. A text
-    with characters beyond Latin-1, with control characters that only some call white space, or
-    with a special token's string, is encoded by the tokenizer as a whole.
+    the piece alone, so both are encoded once and remembered, as Latin-1 bytes in one table: a piece
+    is a word of one piece. A text with characters beyond Latin-1, with control characters that only
+    some call white space, or with a special token's string, is encoded by the tokenizer as a whole.
     """
 
     def __init__(self, path: str):
@@ -89,8 +95,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.letters = {i: c for i, c in enumerate(self._byte_letters())}
-        self.pieces = _Known(self._piece)
+        of_byte = self._byte_letters()
+        self.letters = {c: "".join(of_byte[b] for b in chr(c).encode()) for c in range(256)}
         self.words = _Known(self._word)
 
     @staticmethod
@@ -100,27 +106,28 @@ class Encoder:
         rest = iter(range(256, 512))
         return "".join(chr(b if b in plain else next(rest)) for b in range(256))
 
-    def _piece(self, piece: str) -> bytes:
-        letters = piece.encode().decode("latin-1").translate(self.letters)
+    def _piece(self, piece: bytes) -> bytes:
+        letters = piece.decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        return b"".join([self.pieces[p] for p in _PIECE.findall(word)])
+    def _word(self, word: bytes) -> bytes:
+        pieces = _PIECE.findall(word)
+        return self._piece(word) if len(pieces) == 1 else b"".join([self.words[p] for p in pieces])
 
-    def _plain(self, text: str) -> bool:
+    def _plain(self, text: str) -> bytes | None:
+        """The text in Latin-1, if its words can be encoded one by one."""
         try:
             data = text.encode("latin-1")
         except UnicodeEncodeError:
-            return False
-        return len(data.translate(None, b"\x1c\x1d\x1e\x1f")) == len(data) and not any(s in text for s in self.special)
+            return None
+        whole = len(data.translate(None, b"\x1c\x1d\x1e\x1f")) == len(data) and not any(s in text for s in self.special)
+        return data if whole else None
 
     def encode(self, text: str) -> np.ndarray:
-        if not self._plain(text):
+        data = self._plain(text)
+        if data is None:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        for known in (self.words, self.pieces):
-            if len(known) > CACHE_WORDS:
-                known.clear()
-        return np.frombuffer(b"".join(map(self.words.__getitem__, text.lower().split())), np.uint32)
+        return np.frombuffer(b"".join(map(self.words.__getitem__, data.translate(_LOWER).split())), np.uint32)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -172,7 +179,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, bl
             yield full()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").orderBy("doc_id", F.xxhash64("text"))
-    ordered.mapInArrow(lean(encode), BLOCKS).write.mode("overwrite").parquet(path)
+    with small_batches(docs.sparkSession):
+        ordered.mapInArrow(lean(encode), BLOCKS).write.mode("overwrite").parquet(path)
 
 
 _BLOCK = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("width", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("payload", pa.binary())])
@@ -199,19 +207,18 @@ def read_tokens(spark, path: str) -> DataFrame:
     places = places.join(bases, "shard").select("shard", "block", (F.col("base") + F.col("local")).alias("first"))
 
     def digest(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                offsets, width = row["offsets"], row["width"]
-                ids = unpack(row["payload"], width, 0, offsets[-1])
-                crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(offsets, offsets[1:])]
-                n = len(crc)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(row["doc_ids"], pa.int64()), pa.array([row["shard"]] * n, pa.int32()), pa.array([row["block"]] * n, pa.int32()),
-                        pa.array(offsets[:-1], pa.int64()), pa.array(np.diff(offsets), pa.int64()), pa.array(crc, pa.int64()),
-                    ],
-                    ["doc_id", "shard", "block", "offset", "n_tokens", "ids_crc32"],
-                )
+        for row in one_by_one(batches):
+            offsets, width = row["offsets"], row["width"]
+            ids = unpack(row["payload"], width, 0, offsets[-1])
+            crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(offsets, offsets[1:])]
+            n = len(crc)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(row["doc_ids"], pa.int64()), pa.array([row["shard"]] * n, pa.int32()), pa.array([row["block"]] * n, pa.int32()),
+                    pa.array(offsets[:-1], pa.int64()), pa.array(np.diff(offsets), pa.int64()), pa.array(crc, pa.int64()),
+                ],
+                ["doc_id", "shard", "block", "offset", "n_tokens", "ids_crc32"],
+            )
 
     digests = blocks.select("shard", "block", "width", "doc_ids", "offsets", "payload").mapInArrow(lean(digest), "doc_id long, shard int, block int, offset long, n_tokens long, ids_crc32 long")
     return digests.join(places, ["shard", "block"]).select("doc_id", (F.col("first") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")

@@ -54,6 +54,11 @@ def few_listing_tasks(spark: SparkSession):
     return with_settings(spark, {"spark.sql.sources.parallelPartitionDiscovery.parallelism": 4 * spark.sparkContext.defaultParallelism})
 
 
+def small_batches(spark: SparkSession):
+    """Jobs inside send rows to Python workers in batches of about 1 MB, whatever a row holds."""
+    return with_settings(spark, {"spark.sql.execution.arrow.maxBytesPerBatch": "1m"})
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the ``staged`` tables that these read, when nothing reads them any more: long jobs then hold less disk."""
     for table in tables:

@@ -12,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from closebook.llm import tokens
 from closebook.llm.queries import tokenizer_path
 from closebook.llm.tokens import Encoder, ids_of, pack, read_tokens, unpack, width_of, write_tokens
 
@@ -85,3 +86,36 @@ def test_many_words_are_made_once():
     encoder.words.make = again
     for text in texts:
         encoder.encode(text)
+
+
+def test_remembered_words_are_bounded(monkeypatch):
+    """Within a text too, words and pieces together, and words of any length."""
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 100)
+    own, whole = Encoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    text = " ".join([f"W{i}é, x{i}'s\xa0{i}." for i in range(500)] + ["longword" * 1000, "after\x85"])
+    for _ in range(2):
+        assert own.encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids
+        known = [table for table in vars(own).values() if isinstance(table, tokens._Known)]
+        assert 0 < sum(map(len, known)) <= 100
+        assert max(len(word) for table in known for word in table) <= 64
+
+
+def test_workers_get_small_batches(spark, tmp_path, monkeypatch):
+    def checked(run):
+        def run_checked(batches):
+            def small():
+                for batch in batches:
+                    assert batch.nbytes < 1_200_000, f"a batch of {batch.nbytes} bytes"
+                    yield batch
+
+            yield from run(small())
+
+        return run_checked
+
+    setting = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.range(4000, numPartitions=1).selectExpr("id AS doc_id", "repeat('a word ', 150) AS text")
+    with monkeypatch.context() as patched:
+        patched.setattr(tokens, "lean", checked)
+        write_tokens(docs, str(tmp_path / "t"), tokenizer_path())
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == setting
+    assert read_tokens(spark, str(tmp_path / "t")).agg({"n_tokens": "sum"}).first()[0] == 4000 * 301
