@@ -107,10 +107,14 @@ class Encoder:
         return "".join(chr(b if b in plain else next(rest)) for b in range(256))
 
     def _piece(self, piece: bytes) -> bytes:
-        letters = piece.decode("latin-1").translate(self.letters)
+        letters = piece.decode("latin-1")
+        if not piece.isalpha():  # of bytes: a letter of ASCII stands for itself
+            letters = letters.translate(self.letters)
         return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def _word(self, word: bytes) -> bytes:
+        if word.isalpha():
+            return self._piece(word)
         pieces = _PIECE.findall(word)
         return self._piece(word) if len(pieces) == 1 else b"".join([self.words[p] for p in pieces])
 
