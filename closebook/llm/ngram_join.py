@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from closebook.llm.graph import components
 from closebook.llm.tables import set_aside, summed_tables
 from closebook.llm.words import SOLID, mix, ngrams, slices, words_of
-from closebook.session import discard, staged
+from closebook.session import discard, small_batches, staged
 from closebook.workers import lean, release
 
 PERCENT = 90
@@ -80,7 +80,7 @@ def with_digests(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """(doc_id, text_hash, n_shingles, digest); a document without words has no digest."""
 
     def run(batches):
-        for batch, texts in slices(batches):
+        for batch, texts in slices(batches, limit=BATCH_TEXT):
             sets = sets_of(texts, size)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(digest_of, sets), pa.binary())],
@@ -134,8 +134,8 @@ def frequent_counters(docs: DataFrame, size: int = SIZE) -> np.ndarray:
 
     def count(batches):
         total = np.zeros(COUNTERS, np.int64)
-        for _, texts in slices(batches):
-            total += np.bincount((np.concatenate(sets_of(texts, size)) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        for _, texts in slices(batches, limit=BATCH_TEXT):
+            np.add.at(total, (np.concatenate(sets_of(texts, size)) & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
         yield total
 
     total = summed_tables(docs.select("text").filter("text <> ''"), lean(count), COUNTERS)
@@ -499,7 +499,7 @@ def _suspect_sets(docs: DataFrame, ids: DataFrame, clusters: DataFrame, size: in
             place = np.where(at > 0, (at - 1) % 32768, 0)
             chosen = np.flatnonzero((bits[bucket, place // 8] >> (place % 8)) & 1)
             seen: set[bytes] = set()
-            for _, texts in slices([batch.take(pa.array(chosen))]):
+            for _, texts in slices([batch.take(pa.array(chosen))], limit=BATCH_TEXT):
                 sets = {digest_of(s): s for s in sets_of(texts, size)}
                 new = [d for d in sets if d is not None and d not in seen]
                 seen.update(new)
@@ -554,6 +554,11 @@ def _block_links(sets: DataFrame, percent: int, block_bytes: int) -> DataFrame:
 
 def _grouped(docs: DataFrame, percent: int, size: int, block_bytes: int) -> DataFrame:
     """with_digests(docs) with each class's component, a digest, and its smallest doc_id."""
+    with small_batches(docs.sparkSession):
+        return _labelled(docs, percent, size, block_bytes)
+
+
+def _labelled(docs: DataFrame, percent: int, size: int, block_bytes: int) -> DataFrame:
     ids = staged(with_digests(docs, size), "digests")
     stars = staged(candidates(docs, ids, percent, size), "candidates")
     clusters = components(stars)

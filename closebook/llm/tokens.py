@@ -144,6 +144,10 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def _forget_encoders() -> None:
+    _encoders.clear()
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, block_ids: int = BLOCK_IDS) -> None:
     """Write the ids of all texts, each with ``end_id`` after it, as blocks in ``path``.
 
@@ -211,6 +215,7 @@ def read_tokens(spark, path: str) -> DataFrame:
     places = places.join(bases, "shard").select("shard", "block", (F.col("base") + F.col("local")).alias("first"))
 
     def digest(batches):
+        _forget_encoders()  # all ids are written: this worker's memory is for other tasks now
         for row in one_by_one(batches):
             offsets, width = row["offsets"], row["width"]
             ids = unpack(row["payload"], width, 0, offsets[-1])

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from closebook.llm.classify import PREDICT_FROM, fold, labelled_sample, sigmoid, temperature
 from closebook.llm.words import slices
-from closebook.session import discard, staged
+from closebook.session import discard, small_batches, staged
 from closebook.workers import lean
 
 SAMPLE = 6_000  # most labelled documents of each class that the fit reads
@@ -344,6 +344,11 @@ def learn(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, mos
     Rows of the held-out fold are never read. Without rows of both classes every score is 0.5 or
     the only class's.
     """
+    with small_batches(docs.sparkSession):
+        return _learn(docs, labels, parts, held, most)
+
+
+def _learn(docs: DataFrame, labels: DataFrame, parts: int, held: int, most: int) -> Model:
     sample = labelled_sample(labels.select("doc_id", "toxic"), "toxic", parts, held, most)
     found = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(sample), "doc_id")
     texts = staged(_sketched(found.select("doc_id", "label", "text")), "sample")

@@ -39,7 +39,7 @@ LOWER[0x41:0x5B] += 0x20
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64, at least ``n`` of each."""
     if len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 65_536)
+        size = -(-n // 65_536) * 65_536 + 65_536  # a little more, as the next chunk may be a little longer
         for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1

@@ -54,9 +54,19 @@ def few_listing_tasks(spark: SparkSession):
     return with_settings(spark, {"spark.sql.sources.parallelPartitionDiscovery.parallelism": 4 * spark.sparkContext.defaultParallelism})
 
 
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "1m"}
+
+
 def small_batches(spark: SparkSession):
     """Jobs inside send rows to Python workers in batches of about 1 MB, whatever a row holds."""
-    return with_settings(spark, {"spark.sql.execution.arrow.maxBytesPerBatch": "1m"})
+    return with_settings(spark, SMALL_BATCHES)
+
+
+def small_batches_from_now(spark: SparkSession) -> None:
+    """The same for all later jobs of the session, such as the caller's on a table that is returned. A session that has a setting of its own keeps it."""
+    for name, value in SMALL_BATCHES.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, value)
 
 
 def discard(*tables: DataFrame) -> None:

@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from closebook.llm import decontaminate, mixing, ngram_join, tokens, toxicity
 from closebook.llm.queries import REPETITIONS, table, tokenizer_path
-from closebook.session import staged
+from closebook.session import small_batches_from_now, staged
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic, by terms learned from the labels outside the held-out fold."""
+    small_batches_from_now(spark)
     return toxicity.without_toxic(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
@@ -27,6 +28,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window of words with a benchmark item."""
+    small_batches_from_now(spark)
     return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 

@@ -11,8 +11,10 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from closebook.llm import decontaminate, ngram_join, toxicity
 from closebook.llm.oracle import ORACLE_SQL
 from closebook.llm.queries import QUERIES, tokenizer_path
+from closebook.session import with_settings
 
 SF = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not SF.exists(), reason="test tables absent")
@@ -53,6 +55,35 @@ def test_stages(spark, tmp_path):
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(SF)).collect())) == sorted(want)
 
 
+def test_workers_get_small_batches(spark, monkeypatch):
+    """In the jobs of a stage, and in the caller's on its result."""
+
+    def checked(run):
+        def run_checked(batches):
+            def small():
+                for batch in batches:
+                    assert batch.nbytes < 1_200_000, f"a batch of {batch.nbytes} bytes"
+                    yield batch
+
+            yield from run(small())
+
+        return run_checked
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(4000, numPartitions=1).selectExpr("id AS doc_id", "concat(repeat('a word ', 150), id, ' ', id * 7, ' ', id * 9) AS text")
+    for module in (toxicity, ngram_join, decontaminate):
+        monkeypatch.setattr(module, "lean", checked)
+    with with_settings(spark, {name: "64m"}):  # put back after it
+        spark.conf.unset(name)
+        assert 0 < corpus_pipeline.drop_toxic(spark, docs, str(SF)).count() <= 4000
+        spark.conf.unset(name)
+        assert 0 < corpus_pipeline.drop_contaminated(spark, docs, str(SF)).count() <= 4000
+        spark.conf.set(name, "64m")
+        ngram_join.similarity_groups(docs, percent=80, size=5)
+        corpus_pipeline.drop_toxic(spark, docs, str(SF))
+        assert spark.conf.get(name) == "64m"
+
+
 def test_no_documents(spark):
     docs = spark.read.parquet(str(SF / "documents.parquet")).limit(0)
     for _, stage in corpus_pipeline.STAGES:

@@ -69,6 +69,22 @@ def test_files(spark, tmp_path, block_ids):
     assert ids_of(spark, str(tmp_path / "t"), 31) == []
 
 
+def test_encoder_is_freed_when_ids_are_read(spark, tmp_path, monkeypatch):
+    """Workers go on to other tasks, so they must not hold the encoder's words and tokenizer any more."""
+
+    def freed(batches):
+        from closebook.llm import tokens as own
+
+        assert not own._encoders
+        yield from one_by_one(batches)
+
+    docs = spark.range(50, numPartitions=1).selectExpr("id AS doc_id", "'some words' AS text")
+    one_by_one = tokens.one_by_one
+    monkeypatch.setattr(tokens, "one_by_one", freed)
+    for _ in range(2):
+        assert tokens.token_digests(docs, tokenizer_path()).count() == 50
+
+
 def test_no_rows(spark, tmp_path):
     write_tokens(spark.createDataFrame([], "doc_id long, text string"), str(tmp_path / "t"), tokenizer_path())
     assert read_tokens(spark, str(tmp_path / "t")).collect() == []
