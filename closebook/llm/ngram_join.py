@@ -10,9 +10,13 @@ sets are one class, known by a digest of the set. Classes are compared as follow
    N-grams that very many documents have (a shared passage) would make unrelated documents alike, so
    slices hold the others only, as far as these fill enough slices: two sets differ in no more of
    them than in all. What is frequent, a table of counters of fixed size tells; any choice is exact.
+   A slice may hold a single n-gram, which unrelated sets of a large table share by chance, the more of them the
+   larger it is, until they hang together in one cluster. So each key has a mark: the parities, by MARK_BITS
+   classes of hashes, of the n-grams in the MARK_SLICES slices that follow. With more slices than
+   differences, some slice that two sets agree on is followed by few differences for its distance, whatever their places.
 
-2. Classes with a common key are candidates. Only a star for each key is written, and the stars'
-   connected components are the candidate clusters: all links lie inside them.
+2. Classes with a common key, and marks that differ in no more bits than slices, are candidates. Only a star for
+   each group of them is written, and the stars' connected components are the candidate clusters: all links lie inside them.
 3. A cluster's sets are dealt into blocks of bounded size, and each pair of blocks is one group:
    one block's sets are stored in a prefix tree, the other's are looked up in it. A walk counts
    the overlap of a path once for all sets below it, and leaves a branch when the overlap so far
@@ -52,6 +56,12 @@ COUNTERS = 1 << 20
 # What is sent of a key beside its bucket, and of a digest. Equal ones by accident only make a cluster larger.
 KEY_BYTES = 6
 NAME_BYTES = 8
+MARK_BYTES = 6
+MARK_BITS = 8 * MARK_BYTES
+MARK_SLICES = 6
+# Marks of a key are compared at once up to so many, one after the other up to so many, and beyond that taken as alike.
+FEW_MARKS = 16
+MOST_MARKS = 1 << 15
 
 
 # Sets and their digests
@@ -143,74 +153,97 @@ def frequent_counters(docs: DataFrame, size: int = SIZE) -> np.ndarray:
 
 
 def keys_of(one: np.ndarray, percent: int, frequent: np.ndarray | None = None) -> np.ndarray:
-    """Keys of a set: sets within the similarity, and not equal, have one in common.
+    """Keys of a set: sets within the similarity, and not equal, have one in common."""
+    return marked_keys(one, percent, frequent)[0]
 
-    Of ``count`` slices two such sets differ in at most ``differ``. If one of them has no more
-    than ``spare`` empty slices, they agree on one that is not empty. A set with more empty slices, for lack of
+
+def marked_keys(one: np.ndarray, percent: int, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a set and the mark of each: sets within the similarity, and not equal, have a key in common
+    whose marks differ in MARK_SLICES bits at most.
+
+    Of ``count`` slices two such sets differ in at most ``differ``, by as many n-grams. So at least ``count - differ``
+    slices are places from which on, around the ring of slices, any first k hold less than k differences
+    (the cycle lemma): the sets agree on the first, and the next MARK_SLICES hold no more differences than there are slices, nor
+    do their parities. If one of the sets has no more
+    than ``spare`` empty slices, one such place is not empty. A set with more empty slices, for lack of
     rare n-grams, also gives keys for slices of all its n-grams; and if of those too many are
     empty, for the empty ones. Two sets that both lack rare ones so meet there.
     """
     n, found = len(one), []
     if not n:
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), np.empty(0, np.uint64)
     rare = one if frequent is None else one[~frequent[(one & np.uint64(COUNTERS - 1)).astype(np.int64)]]
     own, below = level(n, percent), level(least_partner(n, percent), percent)
     while True:
         low, high = own
         count, spare = slices_of_level(low, high, percent)
         if count:
-            keys, empty = _slice_keys(rare, count, high, 1)
-            found.append(keys)
+            keys, marks, places, empty = _slice_keys(rare, count, high, 1)
+            found.append((keys, marks[places]))
             if len(empty) > spare:
-                keys, empty = _slice_keys(one, count, high, 2)
-                found.append(keys)
+                keys, marks, places, empty = _slice_keys(one, count, high, 2)
+                found.append((keys, marks[places]))
                 if len(empty) > spare:
-                    found.append(mix(empty * np.uint64(0x9E3779B97F4A7C15) + np.uint64((high << 20) + 3)))
+                    found.append((mix(empty * np.uint64(0x9E3779B97F4A7C15) + np.uint64((high << 20) + 3)), marks[empty]))
         if own == below:
-            return np.concatenate(found) if found else np.empty(0, np.uint64)
+            return tuple(map(np.concatenate, zip(*found))) if found else (np.empty(0, np.uint64), np.empty(0, np.uint64))
         own = level(low - 1, percent)
 
 
-def _slice_keys(grams: np.ndarray, count: int, high: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the slices that hold n-grams, and the numbers of the empty ones."""
+def _slice_keys(grams: np.ndarray, count: int, high: int, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the slices that hold n-grams, marks of all slices, and the numbers of those that hold any and of the empty ones."""
     every = np.arange(count, dtype=np.uint64)
     if not len(grams):
-        return np.empty(0, np.uint64), every
+        return np.empty(0, np.uint64), np.zeros(count, np.uint64), every[:0], every
     slot = (grams >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)
     begins = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
     sums, places = np.add.reduceat(mix(grams), begins), slot[begins]
-    return mix(sums + places * np.uint64(0x9E3779B97F4A7C15) + np.uint64((high << 20) + kind)), np.setdiff1d(every, places)
-
-
-def _packed(digests: list[bytes], keys: list[np.ndarray], buckets: int) -> pa.RecordBatch:
-    """A row for each bucket of keys: keys, a bit for each that tells whether its owner is the next one, names of the owners."""
+    # Bits of the hash that tell neither its slice nor its counter.
+    classes = (grams >> np.uint64(20) & np.uint64(0xFFF)) % np.uint64(MARK_BITS)
+    after = min(MARK_SLICES, count - 1)
+    ring = np.zeros(count + after, np.uint64)
+    ring[places] = np.bitwise_xor.reduceat(np.uint64(1) << classes, begins)
+    ring[count:] = ring[:after]
+    passed = np.bitwise_xor.accumulate(ring)
+    marks = passed[after:] ^ passed[:count]
+    return mix(sums + places * np.uint64(0x9E3779B97F4A7C15) + np.uint64((high << 20) + kind)), marks, places, np.setdiff1d(every, places)
+
+
+def _packed(digests: list[bytes], keys: list[np.ndarray], buckets: int, marks: list[np.ndarray] | None = None) -> pa.RecordBatch:
+    """A row for each bucket of keys: keys, a bit for each that tells whether its owner is the next one, names of the owners, marks."""
     sizes = [len(k) for k in keys]
     key, owner = np.concatenate(keys), np.repeat(np.arange(len(keys), dtype=np.uint32), sizes)
+    mark = np.zeros(len(key), np.uint64) if marks is None else np.concatenate(marks)
     bucket = (key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
     order = np.argsort(bucket, kind="stable")
-    key, owner, bucket = key[order], owner[order], bucket[order]
+    key, owner, bucket, mark = key[order], owner[order], bucket[order], mark[order]
     rows = []
     for b, low, high in zip(*_runs(bucket)):
         used, place = np.unique(owner[low:high], return_inverse=True)
         steps = np.packbits(np.diff(place, prepend=0).astype(np.uint8))
-        rows.append({"bucket": int(bucket[low]), "keys": _key_bytes(key[low:high]), "owners": steps.tobytes(), "names": b"".join(digests[i][:NAME_BYTES] for i in used)})
+        rows.append({"bucket": int(bucket[low]), "keys": _low_bytes(key[low:high], KEY_BYTES), "owners": steps.tobytes(), "names": b"".join(digests[i][:NAME_BYTES] for i in used), "marks": _low_bytes(mark[low:high], MARK_BYTES)})
     return pa.RecordBatch.from_pylist(rows, _PACKED)
 
 
 def _unpacked(keys: bytes, owners: bytes, names: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Keys of a row of ``_packed``, and the name of each one's owner, as a number."""
-    low = np.frombuffer(keys, np.uint8).reshape(-1, KEY_BYTES)
-    full = np.zeros((len(low), 8), np.uint8)
-    full[:, :KEY_BYTES] = low
-    place = np.cumsum(np.unpackbits(np.frombuffer(owners, np.uint8), count=len(low)), dtype=np.int64)
-    return full.view("<u8").ravel(), np.frombuffer(names, np.uint64)[place]
+    key = _from_low_bytes(keys, KEY_BYTES)
+    place = np.cumsum(np.unpackbits(np.frombuffer(owners, np.uint8), count=len(key)), dtype=np.int64)
+    return key, np.frombuffer(names, np.uint64)[place]
+
 
+def _low_bytes(numbers: np.ndarray, width: int) -> bytes:
+    return numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
-def _key_bytes(keys: np.ndarray) -> bytes:
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+
+def _from_low_bytes(data: bytes, width: int) -> np.ndarray:
+    low = np.frombuffer(data, np.uint8).reshape(-1, width)
+    full = np.zeros((len(low), 8), np.uint8)
+    full[:, :width] = low
+    return full.view("<u8").ravel()
 
 
-_PACKED = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("owners", pa.binary()), ("names", pa.binary())])
+_PACKED = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("owners", pa.binary()), ("names", pa.binary()), ("marks", pa.binary())])
 
 
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -219,14 +252,58 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.arange(len(begins)), begins, np.append(begins[1:], len(values))
 
 
-def _stars(key: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Distinct (owner, smallest owner of the key) for keys with several owners."""
-    order = np.lexsort((owner, key))
-    key, owner = key[order], owner[order]
-    _, begins, ends = _runs(key)
-    center = np.repeat(owner[begins], ends - begins)
+def _same(key: np.ndarray, mark: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Distinct (owner, smallest owner of the same key and mark) for those with several owners, and keys, marks
+    and smallest owners without repeats, by key and owner."""
+    order = np.lexsort((owner, mark, key))
+    key, mark, owner = key[order], mark[order], owner[order]
+    begins = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])]))
+    center = np.repeat(owner[begins], np.diff(begins, append=len(key)))
     several = center != owner
-    return np.unique(np.stack([owner[several], center[several]], 1), axis=0)
+    key, mark, first = key[begins], mark[begins], owner[begins]
+    order = np.lexsort((first, key))
+    return np.unique(np.stack([owner[several], center[several]], 1), axis=0), (key[order], mark[order], first[order])
+
+
+def _stars(key: np.ndarray, mark: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Distinct (owner, smallest owner of its group) for owners of one key that marks with few differences connect."""
+    equal, (key, mark, owner) = _same(key, mark, owner)
+    _, begins, ends = _runs(key)
+    label = np.arange(len(key))
+    many = ends - begins
+    stop = np.repeat(np.where(many <= FEW_MARKS, ends, 0), many)
+    i, pairs = label, [(label[:0], label[:0])]
+    for step in range(1, FEW_MARKS):
+        i = i[i + step < stop[i]]
+        near = i[np.bitwise_count(mark[i] ^ mark[i + step]) <= MARK_SLICES]
+        pairs.append((near, near + step))
+    a, b = map(np.concatenate, zip(*pairs))
+    while len(a):
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        np.minimum.at(label, high, low)
+        label = label[label]
+        differ = label[a] != label[b]
+        a, b = a[differ], b[differ]
+    while (label[label] != label).any():
+        label = label[label]
+    for low, high in zip(begins[many > FEW_MARKS], ends[many > FEW_MARKS]):
+        label[low:high] = low + _connected(mark[low:high])
+    moved = owner != owner[label]
+    return np.unique(np.concatenate([equal, np.stack([owner[moved], owner[label[moved]]], 1)]), axis=0)
+
+
+def _connected(marks: np.ndarray) -> np.ndarray:
+    """For each mark the first one that steps of few differences lead to."""
+    label, rest = np.zeros(len(marks), np.int64), np.arange(len(marks))
+    while len(rest) and len(marks) <= MOST_MARKS:
+        first, rest = rest[0], rest[1:]
+        label[first], waiting = first, [first]
+        while waiting and len(rest):
+            near = np.bitwise_count(marks[rest] ^ marks[waiting.pop()]) <= MARK_SLICES
+            label[rest[near]] = first
+            waiting += rest[near].tolist()
+            rest = rest[~near]
+    return label
 
 
 def most_keys(n: int, percent: int) -> int:
@@ -258,20 +335,20 @@ def _buckets(ids: DataFrame, percent: int) -> int:
 
 
 def candidates(docs: DataFrame, ids: DataFrame, percent: int = PERCENT, size: int = SIZE) -> DataFrame:
-    """(a, b): names (NAME_BYTES of the digest) of classes that share a key, as a star for each key.
+    """(a, b): names (NAME_BYTES of the digest) of classes that share a key with marks of few differences, as stars.
 
-    Keys travel packed, several megabytes a row at most; a key that many classes of a batch share is sent
+    Keys travel packed, several megabytes a row at most; a key and mark that many classes of a batch share are sent
     for one of them, with the star of the rest beside it. ``ids``, with_digests(docs), tells how
     many buckets the keys take; a task holds one bucket at a time.
     """
     spark = docs.sparkSession
     buckets = _buckets(ids, percent)
     sent_counters = spark.sparkContext.broadcast(np.packbits(frequent_counters(docs, size)))
-    pair = "bucket int, keys binary, owners binary, names binary, a binary, b binary"
+    pair = "bucket int, keys binary, owners binary, names binary, marks binary, a binary, b binary"
 
     def emit(batches):
         digests: list[bytes] = []
-        keys: list[np.ndarray] = []
+        keys: list[tuple[np.ndarray, np.ndarray]] = []
         seen: set[bytes] = set()
         total = 0
         frequent = np.unpackbits(sent_counters.value).astype(bool)
@@ -280,12 +357,12 @@ def candidates(docs: DataFrame, ids: DataFrame, percent: int = PERCENT, size: in
                 digest = digest_of(one)
                 if digest is None or digest in seen:
                     continue
-                own = keys_of(one, percent, frequent)
-                if len(own):
+                own = marked_keys(one, percent, frequent)
+                if len(own[0]):
                     seen.add(digest)
                     digests.append(digest)
                     keys.append(own)
-                    total += len(own)
+                    total += len(own[0])
             if total > BATCH_KEYS:
                 yield from flush(digests, keys)
                 digests, keys, seen, total = [], [], set(), 0
@@ -295,14 +372,11 @@ def candidates(docs: DataFrame, ids: DataFrame, percent: int = PERCENT, size: in
     def flush(digests, keys):
         order = np.argsort(np.array(digests, "S16"), kind="stable")
         digests, keys = [digests[i] for i in order], [keys[i] for i in order]
-        key, owner = np.concatenate(keys), np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-        stars = _stars(key, owner)
-        first = np.unique(key, return_index=True)[1]  # owners ascend, so the first is the star's center
-        kept, owners = key[first], owner[first]
-        by_owner = np.argsort(owners, kind="stable")
-        kept, owners = kept[by_owner], owners[by_owner]
-        bounds = np.searchsorted(owners, np.arange(len(keys) + 1))
-        packed = _packed(digests, [kept[bounds[i] : bounds[i + 1]] for i in range(len(keys))], buckets)
+        owner = np.repeat(np.arange(len(keys)), [len(k) for k, _ in keys])
+        stars, (key, mark, owner) = _same(*map(np.concatenate, zip(*keys)), owner)
+        by_owner = np.argsort(owner, kind="stable")
+        bounds = np.searchsorted(owner[by_owner], np.arange(1, len(keys)))
+        packed = _packed(digests, np.split(key[by_owner], bounds), buckets, np.split(mark[by_owner], bounds))
         yield _both(packed, stars, digests)
 
     def match(batches):
@@ -317,15 +391,16 @@ def candidates(docs: DataFrame, ids: DataFrame, percent: int = PERCENT, size: in
                     yield from matched(rows)
                     rows = []
                 bucket = row["bucket"]
-                rows.append((row["keys"], row["owners"], row["names"]))
+                rows.append((row["keys"], row["owners"], row["names"], row["marks"]))
             if found:
                 yield _links(found)
         if rows:
             yield from matched(rows)
 
     def matched(rows):
-        key, owner = map(np.concatenate, zip(*[_unpacked(*row) for row in rows]))
-        found = [(a.tobytes(), b.tobytes()) for a, b in _stars(key, owner)]
+        key, owner = map(np.concatenate, zip(*[_unpacked(*row[:3]) for row in rows]))
+        mark = _from_low_bytes(b"".join(row[3] for row in rows), MARK_BYTES)
+        found = [(a.tobytes(), b.tobytes()) for a, b in _stars(key, mark, owner)]
         if found:
             yield _links(found)
 
@@ -340,10 +415,10 @@ def _links(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
 
 def _both(packed: pa.RecordBatch, stars: np.ndarray, digests: list[bytes]) -> pa.RecordBatch:
     n, m = len(packed), len(stars)
-    columns = [pa.concat_arrays([packed.column(c), pa.nulls(m, packed.column(c).type)]) for c in ("keys", "owners", "names")]
+    columns = [pa.concat_arrays([packed.column(c), pa.nulls(m, packed.column(c).type)]) for c in ("keys", "owners", "names", "marks")]
     bucket = pa.concat_arrays([packed.column("bucket"), pa.array(np.arange(m) % 1000, pa.int32())])
     ends = [pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([digests[i][:NAME_BYTES] for i in stars[:, k]], pa.binary())]) for k in (0, 1)]
-    return pa.RecordBatch.from_arrays([bucket, *columns, *ends], ["bucket", "keys", "owners", "names", "a", "b"])
+    return pa.RecordBatch.from_arrays([bucket, *columns, *ends], ["bucket", "keys", "owners", "names", "marks", "a", "b"])
 
 
 # The prefix tree

@@ -148,3 +148,70 @@ def test_packed_keys_come_back():
     assert found == wanted
     sent = sum(len(row["keys"]) + len(row["owners"]) + len(row["names"]) for row in packed.to_pylist())
     assert sent < 15.2 * sum(map(len, keys))
+
+
+def grown_together(pairs):
+    """Sizes of the connected components of the pairs."""
+    nodes = {n: {n} for pair in pairs for n in pair}
+    for a, b in pairs:
+        if nodes[a] is not nodes[b]:
+            nodes[a] |= nodes[b]
+            for n in nodes[b]:
+                nodes[n] = nodes[a]
+    return sorted(len(c) for c in {id(c): c for c in nodes.values()}.values())
+
+
+def test_chance_does_not_grow_clusters(spark):
+    """Texts that share single n-grams by chance stay apart, near copies meet."""
+    rnd = random.Random(8)
+    docs = [[f"w{rnd.randrange(30)}" for _ in range(120)] for _ in range(600)]
+    for i in range(0, 600, 60):
+        docs[i + 1] = [*docs[i][:50], "new", *docs[i][51:]]
+    table = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    ids = ngram_join.with_digests(table)
+    names = {r["doc_id"]: bytes(r["digest"][:8]) for r in ids.collect()}
+    found = [(bytes(r["a"]), bytes(r["b"])) for r in ngram_join.candidates(table, ids, 80, 3).collect()]
+    assert grown_together(found)[-1] <= 8
+    linked = {frozenset(p) for p in found}
+    assert all(frozenset((names[i], names[i + 1])) in linked for i in range(0, 600, 60))
+    kept = [r["doc_id"] for r in one_of_each_group(table, 80, 3).select("doc_id").collect()]
+    assert sorted(kept) == [i for i in range(600) if i % 60 != 1]
+
+
+@pytest.mark.parametrize("percent", [80, 90, 95])
+def test_similar_sets_have_a_key_with_a_like_mark(percent):
+    """Wherever the differences lie, also side by side, and whatever n-grams are frequent."""
+    rng, rnd = np.random.default_rng(percent), random.Random(percent)
+    checked = 0
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 1 << 64, rnd.choice([3, 5, 8, 12, 20, 40, 150, 700]), np.uint64))
+        n = len(a)
+        most = n * (100 - percent) // 100
+        gone = rnd.randint(0, most)
+        places = (rnd.randrange(n) + np.arange(gone)) % n if rnd.random() < 0.5 else rng.permutation(n)[:gone]
+        b = np.unique(np.concatenate([np.delete(a, places), rng.integers(0, 1 << 64, most - gone, np.uint64)]))
+        frequent = rng.random(ngram_join.COUNTERS) < rnd.choice([0, 0.1, 0.6, 1])
+        if np.array_equal(a, b) or 100 * len(np.intersect1d(a, b)) < percent * len(np.union1d(a, b)):
+            continue
+        (key_a, mark_a), (key_b, mark_b) = (ngram_join.marked_keys(s, percent, frequent) for s in (a, b))
+        _, at_a, at_b = np.intersect1d(key_a, key_b, return_indices=True)
+        assert (np.bitwise_count(mark_a[at_a] ^ mark_b[at_b]) <= ngram_join.MARK_SLICES).any()
+        checked += 1
+    assert checked > 100
+
+
+@pytest.mark.parametrize("most", [1 << 15, 40])
+def test_stars_connect_like_marks_of_a_key(monkeypatch, most):
+    monkeypatch.setattr(ngram_join, "MOST_MARKS", most)
+    rng = np.random.default_rng(4)
+    key = rng.choice(np.array([1, 2, 3, 4, *range(10, 200)], np.uint64), 1500, p=[0.2, 0.1, 0.02, 0.02, *[0.66 / 190] * 190])
+    near = rng.integers(0, 1 << 48, 6, np.uint64)[rng.integers(0, 6, 1500)] ^ np.uint64(1) << rng.integers(0, 48, 1500).astype(np.uint64)
+    mark = np.where(rng.random(1500) < 0.6, near, rng.integers(0, 1 << 48, 1500, np.uint64))
+    owner = np.arange(1500) % 1400
+    for k in np.unique(key):
+        at = np.flatnonzero(key == k)
+        one = ngram_join._stars(key[at], mark[at], owner[at])
+        want = [(int(owner[i]), int(owner[j])) for i in at for j in at if len(at) > most or int(mark[i] ^ mark[j]).bit_count() <= ngram_join.MARK_SLICES]
+        assert grown_together([(int(a), int(b)) for a, b in one]) == [n for n in grown_together(want) if n > 1]
+    every = ngram_join._stars(key, mark, owner)
+    assert {tuple(s) for s in every.tolist()} == {tuple(s) for k in np.unique(key) for s in ngram_join._stars(key[key == k], mark[key == k], owner[key == k]).tolist()}
