@@ -20,6 +20,7 @@ from closebook.schemas import FX_ADJ, TB
 from closebook.session import staged, work_folder
 from closebook.sources import sinks
 from closebook.sources.files import prior_letter_keys, read_catalog
+from closebook.sources.letter_files import read_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -553,10 +554,9 @@ def letter_files(spark, sf):
         f"{folder}/out", f"{folder}/prior", generated_on=V.STAMP,
     )
     written = F.replace("output_path", F.lit(f"{folder}/out"), F.lit(V.LETTERS_DIR))
-    made = done.tables["letters"].withColumns({"output_path": written, "service_lines": F.array_join("service_lines", "|")})
+    made = done.tables["letters"].drop("letter_text").withColumn("service_lines", F.array_join("service_lines", "|"))
     # What the files hold is what the table holds.
-    held = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(f"{folder}/out").select(F.url_decode(F.element_at(F.split(F.col("path"), "/"), -1)).alias("_name"), F.col("content").cast("string").alias("letter_text"))
-    return made.drop("letter_text").withColumn("_name", F.element_at(F.split("output_path", "/"), -1)).join(held, "_name").drop("_name")
+    return read_files(made).withColumns({"output_path": written, "letter_text": F.col("content").cast("string")}).drop("content")
 
 
 @query

@@ -21,14 +21,16 @@ from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from closebook.session import with_settings
-from closebook.workers import LONG_ROWS, release
+from closebook.workers import LONG_ROWS, lean, release
 
 # Tasks get this module's classes with the job, so executors need not have the package.
 register_pickle_by_value(sys.modules[__name__])
 
 MOVES_AT_ONCE = 16
+READ_BYTES = 1 << 20
 COMMITTED = "committed"
 
 
@@ -131,3 +133,34 @@ def write_files(texts: DataFrame) -> None:
         spark.sparkContext.parallelize(folders, max(1, len(folders))).foreach(lambda folder: move_all(staging, folder))
     finally:
         system.delete_dir(root)
+
+
+def read_files(rows: DataFrame, path: str = "output_path") -> DataFrame:
+    """``rows`` with ``content``, the bytes of the file at ``path``; a row whose file is not there, or whose path is null, is left out.
+
+    The rows name the files, so none are listed, and a task reads those of its rows one by one: a listing of very many
+    files goes through the driver, and a scan of them has a task for every few.
+    """
+
+    def read(batches):
+        for batch in batches:
+            begin, size, found = 0, 0, []
+            for i, name in enumerate(batch.column(path).to_pylist(), 1):
+                found.append(None if name is None else _content(name))
+                size += len(found[-1] or b"")
+                if size >= READ_BYTES or i == batch.num_rows:
+                    held = pa.array(found, pa.binary())
+                    part = batch.slice(begin, i - begin)
+                    yield pa.RecordBatch.from_arrays([*part.columns, held], [*part.schema.names, "content"]).filter(held.is_valid())
+                    begin, size, found = i, 0, []
+
+    return rows.mapInArrow(lean(read), StructType([*rows.schema.fields, StructField("content", BinaryType())]))
+
+
+def _content(path: str) -> bytes | None:
+    system, name = _file_system(path)
+    try:
+        with system.open_input_stream(name) as stream:
+            return stream.read()
+    except FileNotFoundError:
+        return None

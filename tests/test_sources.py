@@ -11,9 +11,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from closebook.operators import columns, fx
+from closebook.plans.queries import QUERIES
 from closebook.sources import files, sinks
 from closebook.sources import workbook as W
-from closebook.sources.letter_files import move_all
+from closebook.sources.letter_files import move_all, read_files
 from closebook.sources.workbook import header_names
 
 
@@ -190,6 +191,29 @@ def test_failed_letters_leave_nothing(spark, tmp_path):
     assert len(list((tmp_path / "out").iterdir())) == 39 and (tmp_path / "out" / "3.docx").read_text() == "text"
 
 
+def test_files_are_read_by_the_paths_of_rows(spark, tmp_path):
+    (tmp_path / "a+b.docx").write_text("é" * 700_000)
+    (tmp_path / "_c.docx").write_text("")
+    rows = [("a+b.docx", 1), ("none.docx", 2), ("_c.docx", 3), ("a+b.docx", 4), (None, 5)]
+    df = spark.createDataFrame([(n and f"{tmp_path}/{n}", i) for n, i in rows], "output_path string, id int").coalesce(1)
+    got = read_files(df)
+    assert got.columns == ["output_path", "id", "content"]
+    assert {r["id"]: (r["output_path"], len(r["content"].decode())) for r in got.collect()} == {
+        1: (f"{tmp_path}/a+b.docx", 700_000), 3: (f"{tmp_path}/_c.docx", 0), 4: (f"{tmp_path}/a+b.docx", 700_000),
+    }
+
+
+def test_letters_are_read_back_without_a_listing(spark, tmp_path):
+    """A listing of the letters goes through the driver, and a scan of them has a task for every 32."""
+    spark.range(40).selectExpr("id AS c_custkey", "concat('Customer#', lpad(id, 9, '0')) AS c_name", "cast(id % 25 AS int) AS c_nationkey", "cast(50 * id AS double) AS c_acctbal", "'BUILDING' AS c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(60).selectExpr("id AS p_partkey", "'p' AS p_name", "concat('Brand#', id % 30) AS p_brand", "'STANDARD' AS p_type", "1 AS p_size", "cast(id AS double) AS p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(10).selectExpr("id AS doc_id", "'For {{ClientName}}' AS text", "'en' AS lang", "'src5' AS source", "1L AS n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["letter_files"](spark, str(tmp_path))
+    rows = got.collect()
+    assert len(rows) == 40 and all(r["client_name"] in r["letter_text"] and r["output_path"].startswith("/close/letters/") for r in rows)
+    assert "binaryFile" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_mixed_headers_resolve_per_file(spark):
     headers = spark.createDataFrame([("f", ["Entity", "Dr"])], "file_name string, header array<string>")
     assert columns.resolve_headers(headers, ["EntityCode"]).first()["resolved"] == {"EntityCode": "Entity"}
